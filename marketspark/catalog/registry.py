@@ -19,17 +19,21 @@ REGISTERED: dict[str, Registered] = {}
 
 
 def register(name: str, sql: str | None = None, r6: str = "", r4: str = "", r2: str = ""):
-    """Decorator: adds a query. r6/r4/r2 name the columns both sides round to 6, 4 or 2 places."""
+    """Decorator: adds a query. r6/r4/r2 name the columns both sides round to 6, 4 or 2 places.
+
+    Averages of prices in cents often end exactly half-way between two rounded values, where the
+    order of summation would decide. Both sides therefore add a fortieth of the last place first.
+    """
     places = {c: n for n, names in ((6, r6), (4, r4), (2, r2)) for c in names.split()}
 
     def add(build):
         def rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
             df = build(spark, sf_dir)
-            return df.withColumns({c: F.round(F.col(c).cast("double"), n) for c, n in places.items()}) if places else df
+            return df.withColumns({c: F.round(F.col(c).cast("double") + F.lit(0.025 * 10.0**-n), n) for c, n in places.items()}) if places else df
 
         wrapped = sql
         if sql is not None and places:
-            shown = ", ".join(f"round(CAST({c} AS DOUBLE), {n}) AS {c}" for c, n in places.items())
+            shown = ", ".join(f"round(CAST({c} AS DOUBLE) + CAST('{0.025 * 10.0**-n!r}' AS DOUBLE), {n}) AS {c}" for c, n in places.items())
             wrapped = f"SELECT * REPLACE ({shown}) FROM ({sql})"
         if name in REGISTERED:
             raise ValueError(f"query registered twice: {name}")

@@ -24,7 +24,7 @@ NAME_LIST_LIMIT = 500
 def input_bytes(df: DataFrame) -> int:
     """Size of everything the frame reads, from scan statistics; runs no job."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
