@@ -306,3 +306,29 @@ def nearest_by_value(
         .where(F.col("nearness") <= k)
         .select(F.col("__name").alias(name), F.col("__other").alias("comparable"), "nearness", "distance")
     )
+
+
+def lowest_in_range(
+    points: DataFrame, key: str, value: str, name: str, ranges: DataFrame, low: str, high: str, k: int
+) -> DataFrame:
+    """For each row of `ranges` the k other points of lowest value whose integer key lies in [low, high].
+
+    Every aligned interval keeps its k+1 lowest points; a range reads those of its intervals.
+    """
+    within_node = Window.partitionBy("__level", "__node").orderBy("__value", "other")
+    kept = (
+        points.select(F.col(name).alias("other"), F.col(value).alias("__value"), F.col(key).alias("__key"))
+        .withColumn("__level", F.explode(F.sequence(F.lit(0), F.lit(_LEVELS))))
+        .withColumn("__node", F.floor(F.col("__key") / F.pow(F.lit(2.0), F.col("__level"))).cast("long"))
+        .withColumn("__row", F.row_number().over(within_node))
+        .where(F.col("__row") <= k + 1)
+    )
+    order = Window.partitionBy(name).orderBy("__value", "other")
+    return (
+        covering_intervals(ranges, F.col(low), F.col(high))
+        .join(kept, ["__level", "__node"])
+        .where(F.col("other") != F.col(name))
+        .withColumn("place", F.row_number().over(order))
+        .where(F.col("place") <= k)
+        .select(name, "other", "place")
+    )
