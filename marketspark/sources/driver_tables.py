@@ -120,7 +120,12 @@ def supply_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    status = F.col("o_orderstatus")
+    # Areas differ in how much of their supply is still to be delivered.
+    still_open = F.col("o_orderkey") % 1000 < F.col("n_nationkey") * F.col("n_nationkey")
+    status = (
+        F.when(~still_open, "handed over").when(F.col("o_orderstatus") == "O", "UNDER CONSTRUCTION")
+        .when(F.col("o_orderstatus") == "P", "On hold").otherwise(" launched ")
+    )
     nothing = F.lit(None)
     return (
         orders.join(units, F.col("o_orderkey") == F.col("l_orderkey"), "left")
@@ -134,13 +139,13 @@ def supply_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("c_mktsegment").alias("sub_location_1"),
             nothing.cast("string").alias("sub_location_2"),
             nothing.cast("string").alias("sub_location_3"),
-            F.when(F.col("o_custkey") % 50 != 0, F.col("c_name")).alias("developer"),
+            F.when(F.col("o_custkey") % 50 != 0, F.regexp_replace("c_name", "Customer", "Supplier")).alias("developer"),
             F.when(F.col("c_mktsegment") == "BUILDING", "Residential building")
             .when(F.col("c_mktsegment") == "HOUSEHOLD", "Villas")
             .when(F.col("c_mktsegment") == "MACHINERY", "Warehouse")
             .when(F.col("c_mktsegment") == "FURNITURE", "Mixed-use")
             .otherwise(F.col("c_mktsegment")).alias("developer_property_type"),
-            F.when(status == "F", "handed over").when(status == "O", "UNDER CONSTRUCTION").otherwise("launched").alias("status"),
+            status.alias("status"),
             F.when(F.col("o_orderkey") % 9 != 0, F.date_format("o_orderdate", "M/d/yyyy")).alias("launch_date"),
             nothing.cast("string").alias("initial_completion_date"),
             F.when(
@@ -155,7 +160,7 @@ def supply_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
             nothing.cast("int").alias("total_serviced_apartments"),
             nothing.cast("int").alias("total_retails"),
             nothing.cast("int").alias("total_hotel_rooms"),
-            F.when(status == "F", 100).when(status == "O", 50).otherwise(0).alias("completion_percentage"),
+            F.when(~still_open, 100).when(F.col("o_orderstatus") == "O", 50).otherwise(0).alias("completion_percentage"),
             F.lit("Freehold").alias("title_type"),
             F.when(F.col("o_orderkey") % 11 != 0, F.col("n_name")).alias("location_address"),
             F.when(F.col("c_mktsegment") == "HOUSEHOLD", "MI").otherwise("Mid-rise").alias("height_class"),
