@@ -235,3 +235,40 @@ def page_content(spark: SparkSession, sf_dir: str) -> DataFrame:
         tags("h2").alias("h2"),
         F.regexp_replace(scripts, r"<[^>]+>", " ").alias("content"),
     )
+
+
+def area_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A short article per area and year as text, a third of them with a wrong average price."""
+    sales = transactions(spark, sf_dir, "area", "developer", "project")
+    grouped = sales.groupBy("area_name_en", "transaction_year").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg("actual_worth").alias("mean"),
+        F.min("actual_worth").alias("low"),
+        F.max("actual_worth").alias("high"),
+        F.avg("meter_sale_price").alias("sqm"),
+        F.count_if("is_luxury").alias("lux"),
+        F.min("developer").alias("first_developer"),
+        F.max("project_name_en").alias("last_project"),
+    )
+
+    def shown(c: Column | str) -> Column:
+        return F.format_number(F.floor(c), 0)
+
+    number = F.regexp_extract("area_name_en", r"(\d+)$", 1).cast("int")
+    wrong = (number + F.col("transaction_year")) % 3 == 0
+    named = (number % 4) != 1
+    line = F.when(number % 2 == 0, F.concat(F.lit("area: "), "area_name_en", F.lit("\n"))).otherwise("")
+    heading = F.when(named, F.concat(F.lit("# "), "area_name_en", F.lit(" Real Estate in 20"), (F.col("transaction_year") % 15 + 10).cast("string"), F.lit("\n"))).otherwise("")
+    body = F.concat(
+        F.lit("The average price was AED "), shown(F.when(wrong, F.col("mean") * 1.5).otherwise(F.col("mean"))),
+        F.lit(" for "), shown("n"), F.lit(" transactions, from aed "), shown("low"), F.lit(" to AED "), shown("high"), F.lit(".\n"),
+        F.lit("Homes cost AED "), shown("sqm"), F.lit(" per sqm; "), shown("lux"), F.lit(" units were luxury, or "),
+        F.floor(F.col("lux") * 100 / F.col("n")).cast("string"), F.lit(".5% of all, "), F.lit("on plots of "), shown(F.col("n") * 37), F.lit(" sqm.\n"),
+        F.when(number % 5 == 0, "Prices are expected to rise. ").otherwise(""), F.lit("Leading seller: "), "first_developer",
+        F.lit(", best project: "), "last_project", F.lit("."),
+    )
+    return grouped.select(
+        F.concat_ws("/", "area_name_en", F.col("transaction_year").cast("string")).alias("doc_id"),
+        F.when(number % 3 == 0, F.concat(F.lit("area_guide_"), F.lower("area_name_en"), F.lit(".md"))).otherwise("page.md").alias("file_name"),
+        F.concat(line, heading, body).alias("text"),
+    )
