@@ -65,15 +65,20 @@ CHECK_ROUND = {"r4": "expected_value actual_value deviation deviation_pct"}
 
 def _claims(spark, sf):
     sales = tables.transactions(spark, sf, "area", "type").where("transaction_year = 2000")
-    half = F.floor((F.month("instance_date") - 1) / 6)
-    numbers = (F.quarter("instance_date"), half + 1, F.month("instance_date"), F.lit(1), half + 2)
+    # Months per area and type first; the claims of every kind are added up from these.
+    cells = sales.groupBy("area_name_en", "property_type", "transaction_month").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("actual_worth").alias("v"),
+        F.count_if(F.col("transaction_type") == "Off-Plan").alias("o"), F.count_if("is_luxury").alias("l"),
+    )
+    month = F.col("transaction_month") - 1
+    half = F.floor(month / 6)
+    numbers = (F.floor(month / 3) + 1, half + 1, month + 1, F.lit(1), half + 2)
     out = None
     for i, ((kind, area, ptype, _), number) in enumerate(zip(CLAIM_SETS, numbers)):
         a = F.col("area_name_en") if area != "NULL" else F.lit(None).cast("string")
         t = F.col("property_type") if ptype != "NULL" else F.lit(None).cast("string")
-        g = sales.groupBy(a.alias("area"), t.alias("ptype"), number.cast("int").alias("period_num")).agg(
-            F.count(F.lit(1)).alias("n"), F.sum("actual_worth").alias("v"),
-            F.count_if(F.col("transaction_type") == "Off-Plan").alias("o"), F.count_if("is_luxury").alias("l"),
+        g = cells.groupBy(a.alias("area"), t.alias("ptype"), number.cast("int").alias("period_num")).agg(
+            *[F.sum(c).alias(c) for c in ("n", "v", "o", "l")]
         )
         n = F.col("n")
         blank = F.lit("")

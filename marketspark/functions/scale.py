@@ -29,12 +29,10 @@ def input_bytes(df: DataFrame) -> int:
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Equi-join on keys that may be NULL, keeping the left keys."""
-    renamed = right.select(
-        *[F.col(k).alias(f"__r_{k}") for k in keys], *[c for c in right.columns if c not in keys]
-    )
     if not keys:
-        renamed, left = renamed.withColumn("__one", F.lit(1)), left.withColumn("__one", F.lit(1))
-        return left.join(renamed, "__one", how).drop("__one")
+        one = F.lit(1).alias("__one")
+        return left.select("*", one).join(right.select("*", one), "__one", how).drop("__one")
+    renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
     condition = None
     for k in keys:
         same = left[k].eqNullSafe(renamed[f"__r_{k}"])
@@ -54,22 +52,38 @@ def summarise(
     keys: Sequence[str],
     aggregates: Sequence[Column],
     quantiles: Sequence[Quantile] = (),
+    distinct: Mapping[str, str] | None = None,
     built_in: bool | None = None,
 ) -> DataFrame:
-    """Grouped aggregates together with exact percentiles.
+    """Grouped aggregates together with exact percentiles and numbers of distinct values.
 
-    Small inputs take one aggregate. Large ones compute percentiles by rank, see exact_quantiles.
+    Distinct counts repeat every row once per counted column, so they are kept out of the aggregate
+    that carries prices and percentiles: each part scans only its own columns, and the two small
+    results are joined. Small inputs use the built-in percentile; large ones compute percentiles by
+    rank, see exact_quantiles.
     """
+    keys = list(keys)
     if built_in is None:
         built_in = not quantiles or input_bytes(df) <= BUILT_IN_PERCENTILE_BYTES
+    wanted = {c: [q for q in quantiles if q.column == c] for c in dict.fromkeys(q.column for q in quantiles)}
     if built_in:
-        exact = [F.percentile(F.col(q.column).cast("double"), F.lit(q.p)).alias(q.name) for q in quantiles]
-        return df.groupBy(*keys).agg(*aggregates, *exact)
-    result = df.groupBy(*keys).agg(*aggregates)
-    for column in dict.fromkeys(q.column for q in quantiles):
-        wanted = {q.name: q.p for q in quantiles if q.column == column}
-        result = join_on(result, exact_quantiles(df, keys, column, wanted), keys)
-    return result
+        exact = [
+            F.percentile(F.col(c).cast("double"), F.array(*[F.lit(q.p) for q in qs])).alias(f"__q_{c}") for c, qs in wanted.items()
+        ]
+        result = df.groupBy(*keys).agg(*aggregates, *exact)
+        result = result.withColumns({q.name: F.col(f"__q_{c}")[i] for c, qs in wanted.items() for i, q in enumerate(qs)})
+        result = result.drop(*[f"__q_{c}" for c in wanted])
+    else:
+        result = df.groupBy(*keys).agg(*aggregates)
+        for c, qs in wanted.items():
+            result = join_on(result, exact_quantiles(df, keys, c, {q.name: q.p for q in qs}), keys)
+    if not distinct:
+        return result
+    counts = [F.countDistinct(c).alias(name) for name, c in distinct.items()]
+    if not keys:
+        counted = df.agg(F.struct(*counts)).scalar()
+        return result.withColumns({name: counted[name] for name in distinct})
+    return join_on(result, df.groupBy(*keys).agg(*counts), keys)
 
 
 def order_bin(value: Column) -> Column:
@@ -131,7 +145,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], column: str, wanted: Map
 
 
 def ordered_members(
-    df: DataFrame, keys: Sequence[str], value: str, tie: str, rank: str = "position"
+    df: DataFrame, keys: Sequence[str], value: str, *ties: Column | str, rank: str = "position"
 ) -> DataFrame:
     """Rows of each group numbered by falling value, without sorting a whole group in one task.
 
@@ -146,7 +160,7 @@ def ordered_members(
         .withColumn("__offset", F.sum("__n").over(above) - F.col("__n"))
         .drop("__n")
     )
-    inside = Window.partitionBy(*keys, "__bin").orderBy(F.desc(value), tie)
+    inside = Window.partitionBy(*keys, "__bin").orderBy(F.desc(value), *ties)
     numbered = binned.withColumn("__row", F.row_number().over(inside))
     return (
         join_on(numbered, offsets, [*keys, "__bin"], "inner")

@@ -72,12 +72,13 @@ def price_tier(edges: Sequence[float], labels: Sequence[str] = ("Standard", "Mid
 def price_histogram(df: DataFrame, bins: int = 10) -> DataFrame:
     """Equal-width bins between the lowest and highest price; the last bin includes its upper edge."""
     prices = df.where(F.col(PRICE) > 0)
-    low, high = prices.agg(F.min(PRICE)).scalar(), prices.agg(F.max(PRICE)).scalar()
-    edged = prices.select(PRICE, low.alias("low"), high.alias("high"))
-    number = F.least(F.floor((F.col(PRICE) - F.col("low")) / (F.col("high") - F.col("low")) * bins) + 1, F.lit(bins))
-    counted = edged.groupBy(F.coalesce(number, F.lit(1)).cast("int").alias("bin")).agg(rows().alias("tx_count"))
-    spread = prices.agg(F.min(PRICE).alias("low"), F.max(PRICE).alias("high"))
-    all_bins = spread.select("low", "high", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
+    bounds = prices.agg(F.min(PRICE).alias("low"), F.max(PRICE).alias("high"))
+    edges = prices.agg(F.struct(F.min(PRICE).alias("low"), F.max(PRICE).alias("high"))).scalar()
+    low, high = edges["low"], edges["high"]
+    place = F.floor(F.try_divide(F.col(PRICE) - low, high - low) * bins) + 1
+    number = F.coalesce(F.least(place, F.lit(bins)), F.lit(1)).cast("int")
+    counted = prices.groupBy(number.alias("bin")).agg(rows().alias("tx_count"))
+    all_bins = bounds.where(F.col("low").isNotNull()).select("low", "high", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
     width = (F.col("high") - F.col("low")) / bins
     return all_bins.join(counted, "bin", "left").select(
         "bin",

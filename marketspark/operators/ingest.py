@@ -12,6 +12,7 @@ from marketspark.config import (
 from marketspark.functions.expr import band, filled, lookup
 
 SUPPLY_FAMILY = "Supply:"
+ISO_DATE = r"^\d{4}-\d{1,2}-\d{1,2}([ T].*)?$"
 
 
 def newest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -186,10 +187,7 @@ def apply_price_bounds(df: DataFrame, rules: dict[str, PriceRule], kind: str = "
 
 def with_year_month(df: DataFrame, text: str = "instance_date") -> DataFrame:
     """Year and month of a date held as text; NULL where it does not parse."""
-    day = F.coalesce(
-        F.try_to_timestamp(F.col(text), F.lit("yyyy-MM-dd")),
-        F.try_to_timestamp(F.col(text), F.lit("yyyy-MM-dd HH:mm:ss")),
-    )
+    day = F.when(F.col(text).rlike(ISO_DATE), F.col(text).try_cast("date"))
     return df.withColumns({"transaction_year": F.year(day), "transaction_month": F.month(day)})
 
 

@@ -100,10 +100,9 @@ def offplan_summary(sales: DataFrame) -> DataFrame:
         [
             rows().alias("total_offplan"),
             F.avg(PRICE).alias("avg_price"),
-            F.countDistinct("area_name_en").alias("areas"),
-            F.countDistinct("project_name_en").alias("projects"),
         ],
         [Quantile("median_price", PRICE, 0.5)],
+        distinct={"areas": "area_name_en", "projects": "project_name_en"},
     )
 
 

@@ -43,8 +43,6 @@ def area_metrics(df: DataFrame, min_rows: int = 10) -> DataFrame:
         keys,
         [
             rows().alias("total_transactions"),
-            F.countDistinct("property_type").alias("property_types"),
-            F.countDistinct("project_name_en").alias("unique_projects"),
             average(PRICE, "avg_price"),
             *_price_spread(),
             average(SQM, "avg_price_sqm"),
@@ -54,6 +52,7 @@ def area_metrics(df: DataFrame, min_rows: int = 10) -> DataFrame:
             F.max("transaction_year").alias("last_transaction_year"),
         ],
         [MEDIAN],
+        distinct={"property_types": "property_type", "unique_projects": "project_name_en"},
     ).where(F.col("total_transactions") >= min_rows)
     return join_on(table, name_list(df, keys, "developer", "top_developers"), keys)
 
@@ -67,7 +66,6 @@ def area_metrics_public(df: DataFrame, from_year: int = 2020, min_rows: int = 10
         keys,
         [
             rows().alias("total_transactions"),
-            F.countDistinct("property_type_en").alias("property_types"),
             average(PRICE, "avg_price"),
             *_price_spread(),
             average(SQM, "avg_price_sqm"),
@@ -76,6 +74,7 @@ def area_metrics_public(df: DataFrame, from_year: int = 2020, min_rows: int = 10
             F.max("transaction_year").alias("last_transaction_year"),
         ],
         [MEDIAN],
+        distinct={"property_types": "property_type_en"},
     ).where(F.col("total_transactions") >= min_rows)
     table = join_on(table, name_list(sales, keys, "nearest_metro_en", "nearby_metros"), keys)
     return join_on(table, name_list(sales, keys, "nearest_mall_en", "nearby_malls"), keys)
@@ -231,8 +230,6 @@ def developer_metrics(df: DataFrame, min_rows: int = 10) -> DataFrame:
         ["developer"],
         [
             rows().alias("total_transactions"),
-            F.countDistinct("area_name_en").alias("areas_active"),
-            F.countDistinct("project_name_en").alias("projects_count"),
             average(PRICE, "avg_price"),
             F.sum(PRICE).alias("total_sales_volume"),
             count_where(F.col("is_luxury")).alias("luxury_units"),
@@ -241,6 +238,7 @@ def developer_metrics(df: DataFrame, min_rows: int = 10) -> DataFrame:
             F.max("instance_date").alias("last_sale_date"),
         ],
         [MEDIAN],
+        distinct={"areas_active": "area_name_en", "projects_count": "project_name_en"},
     ).where(F.col("total_transactions") >= min_rows)
 
 
@@ -276,9 +274,6 @@ def market_overview(df: DataFrame) -> DataFrame:
         [],
         [
             rows().alias("total_transactions"),
-            F.countDistinct("area_name_en").alias("unique_areas"),
-            F.countDistinct("project_name_en").alias("unique_projects"),
-            F.countDistinct("developer").alias("unique_developers"),
             F.min("instance_date").alias("earliest_date"),
             F.max("instance_date").alias("latest_date"),
             average(PRICE, "avg_price"),
@@ -287,6 +282,7 @@ def market_overview(df: DataFrame) -> DataFrame:
             count_where(offplan()).alias("offplan_count"),
         ],
         [MEDIAN],
+        distinct={"unique_areas": "area_name_en", "unique_projects": "project_name_en", "unique_developers": "developer"},
     )
 
 

@@ -38,9 +38,6 @@ def period_measures(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         list(keys),
         [
             rows().alias("total_transactions"),
-            F.countDistinct("area_name_en").alias("unique_areas"),
-            F.countDistinct("project_name_en").alias("unique_projects"),
-            F.countDistinct("developer").alias("unique_developers"),
             F.coalesce(F.sum(PRICE), F.lit(0.0)).alias("total_sales_volume"),
             F.avg(PRICE).alias("avg_price"),
             F.min(PRICE).alias("min_price"),
@@ -61,6 +58,7 @@ def period_measures(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
             Quantile("price_q3", PRICE, 0.75),
             Quantile("median_price_per_sqm", SQM, 0.5),
         ],
+        distinct={"unique_areas": "area_name_en", "unique_projects": "project_name_en", "unique_developers": "developer"},
     )
     return with_derived_measures(measured)
 
@@ -176,9 +174,9 @@ def top_performers(
             F.avg(SQM).alias("avg_price_sqm"),
             count_where(F.col("is_luxury")).alias("luxury_count"),
             count_where(offplan()).alias("offplan_count"),
-            F.countDistinct("project_name_en").alias("unique_projects"),
         ],
         [Quantile("median_price", PRICE, 0.5)],
+        distinct={"unique_projects": "project_name_en"},
     ).where(F.col("transaction_count") >= min_rows)
     order = (F.desc(metric), F.col("name"))
     top = ranked.orderBy(*order).limit(limit)
@@ -289,14 +287,12 @@ def offplan_report(df: DataFrame, period: Period) -> DataFrame:
             F.min(PRICE).alias("min_price"),
             F.max(PRICE).alias("max_price"),
             F.sum(PRICE).alias("total_volume"),
-            F.countDistinct("area_name_en").alias("areas"),
-            F.countDistinct("project_name_en").alias("projects"),
-            F.countDistinct("developer").alias("developers"),
             F.avg(SQM).alias("avg_price_sqm"),
             F.avg("procedure_area").alias("avg_size_sqm"),
             count_where(F.col("is_luxury")).alias("luxury_offplan"),
         ],
         [Quantile("median_price", PRICE, 0.5)],
+        distinct={"areas": "area_name_en", "projects": "project_name_en", "developers": "developer"},
     )
     others = df.where(now | before).agg(
         count_where(now).alias("market_total"),
@@ -353,14 +349,12 @@ def luxury_report(df: DataFrame, period: Period, ultra_price: float) -> DataFram
             F.min(PRICE).alias("min_price"),
             F.max(PRICE).alias("max_price"),
             F.sum(PRICE).alias("total_volume"),
-            F.countDistinct("area_name_en").alias("areas"),
-            F.countDistinct("project_name_en").alias("projects"),
-            F.countDistinct("developer").alias("developers"),
             F.avg(SQM).alias("avg_price_sqm"),
             F.avg("procedure_area").alias("avg_size_sqm"),
             count_where(offplan()).alias("offplan_luxury"),
         ],
         [Quantile("median_price", PRICE, 0.5)],
+        distinct={"areas": "area_name_en", "projects": "project_name_en", "developers": "developer"},
     )
     market = sales.agg(
         rows().alias("market_total"),

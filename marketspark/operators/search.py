@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from marketspark.config import CALL_TO_ACTION_WORDS, EXPECTED_CTR, OTHER_CTR, TITLE_STOP_WORDS
 from marketspark.functions.expr import pct_change, ratio, rows
+from marketspark.functions.scale import ordered_members
 from marketspark.operators.claims import mentions
 from marketspark.operators.metrics import numbered
 
@@ -59,8 +60,8 @@ def site_leaders(search_rows: DataFrame, pages: int = 100, queries: int = 200) -
 def competing_pages(per_query: DataFrame, min_pages: int = 2) -> DataFrame:
     """Pages that answer the same query, best first, for every query with more than one."""
     counts = per_query.groupBy("query").agg(rows().alias("pages")).where(F.col("pages") >= min_pages)
-    order = Window.partitionBy("query").orderBy(F.desc("clicks"), F.desc("impressions"), "page")
-    return per_query.join(counts, "query").withColumn("page_rank", F.row_number().over(order))
+    # A query may be answered by most pages of a site, so its pages are ranked in parts.
+    return ordered_members(per_query.join(counts, "query"), ["query"], "clicks", F.desc("impressions"), "page", rank="page_rank")
 
 
 def pages_for_query(per_query: DataFrame, text: str, limit: int = 50) -> DataFrame:

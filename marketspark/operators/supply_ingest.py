@@ -10,6 +10,7 @@ from marketspark.config import (
     SUPPLY_DEVELOPERS, SUPPLY_HEIGHT_CLASSES, SUPPLY_NO_HEIGHT_CLASS, SUPPLY_PROPERTY_TYPES, SUPPLY_STATUSES,
 )
 from marketspark.functions.expr import count_where, filled, lookup, quarter_index, rows, share
+from marketspark.operators.ingest import ISO_DATE
 from marketspark.operators.metrics import numbered
 
 DATE_COLUMNS = ("launch_date", "initial_completion_date", "actual_completion_date")
@@ -20,9 +21,13 @@ OFFPLAN_STATUSES = ("Launched", "Under Construction")
 
 
 def parsed_date(text: str) -> Column:
-    """Date of a text in month/day/year or ISO form; NULL for anything else."""
-    forms = ("M/d/yyyy", "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss")
-    return F.coalesce(*[F.try_to_timestamp(F.col(text), F.lit(f)) for f in forms]).cast("date")
+    """Date of a text in month/day/year or ISO form; NULL for anything else.
+
+    The form is told by its separator, so that no row pays for a failed parse.
+    """
+    value = F.trim(text)
+    slashed = F.try_to_timestamp(value, F.lit("M/d/yyyy")).cast("date")
+    return F.when(F.contains(value, F.lit("/")), slashed).when(value.rlike(ISO_DATE), value.try_cast("date"))
 
 
 def property_type(c: str) -> Column:
