@@ -23,11 +23,11 @@ MEASURES = f"""count(*) AS total_transactions, count(DISTINCT area_name_en) AS u
   count(*) FILTER ({RDY}) AS ready_count, coalesce(sum(actual_worth) FILTER ({RDY}), 0) AS ready_volume,
   {MEDIAN} AS median_price, quantile_cont(actual_worth, 0.25) AS price_q1, quantile_cont(actual_worth, 0.75) AS price_q3,
   quantile_cont(meter_sale_price, 0.5) AS median_price_per_sqm"""
-DERIVED = """total_sales_volume / nullif(total_transactions, 0) AS avg_transaction_size, max_price - min_price AS price_range, price_q3 - price_q1 AS price_iqr,
-  price_stddev * 100 / avg_price AS coefficient_of_variation,
-  luxury_count * 100.0::DOUBLE / total_transactions AS luxury_percentage, coalesce(luxury_volume / nullif(luxury_count, 0), 0) AS luxury_avg_price,
-  offplan_count * 100.0::DOUBLE / total_transactions AS offplan_percentage, coalesce(offplan_volume / nullif(offplan_count, 0), 0) AS offplan_avg_price,
-  ready_count * 100.0::DOUBLE / total_transactions AS ready_percentage, coalesce(ready_volume / nullif(ready_count, 0), 0) AS ready_avg_price"""
+DERIVED = """coalesce(total_sales_volume / nullif(total_transactions, 0), 0) AS avg_transaction_size, coalesce(max_price - min_price, 0) AS price_range,
+  coalesce(price_q3 - price_q1, 0) AS price_iqr, coalesce(price_stddev * 100 / avg_price, 0) AS coefficient_of_variation,
+  coalesce(luxury_count * 100.0::DOUBLE / nullif(total_transactions, 0), 0) AS luxury_percentage, coalesce(luxury_volume / nullif(luxury_count, 0), 0) AS luxury_avg_price,
+  coalesce(offplan_count * 100.0::DOUBLE / nullif(total_transactions, 0), 0) AS offplan_percentage, coalesce(offplan_volume / nullif(offplan_count, 0), 0) AS offplan_avg_price,
+  coalesce(ready_count * 100.0::DOUBLE / nullif(total_transactions, 0), 0) AS ready_percentage, coalesce(ready_volume / nullif(ready_count, 0), 0) AS ready_avg_price"""
 ROUND = {
     "r6": "avg_size_sqm avg_price_per_sqm median_price_per_sqm luxury_percentage offplan_percentage ready_percentage",
     "r4": "avg_price median_price price_q1 price_q3 price_stddev avg_transaction_size price_range price_iqr coefficient_of_variation luxury_avg_price offplan_avg_price ready_avg_price",

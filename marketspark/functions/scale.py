@@ -28,10 +28,10 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """Equi-join on keys that may be NULL, keeping the left keys."""
+    """Equi-join on keys that may be NULL, keeping the left keys. Without keys `right` must be one row."""
     if not keys:
-        one = F.lit(1).alias("__one")
-        return left.select("*", one).join(right.select("*", one), "__one", how).drop("__one")
+        row = right.select(F.struct(*right.columns)).scalar()
+        return left.withColumns({c: row[c] for c in right.columns})
     renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
     condition = None
     for k in keys:
@@ -80,9 +80,6 @@ def summarise(
     if not distinct:
         return result
     counts = [F.countDistinct(c).alias(name) for name, c in distinct.items()]
-    if not keys:
-        counted = df.agg(F.struct(*counts)).scalar()
-        return result.withColumns({name: counted[name] for name in distinct})
     return join_on(result, df.groupBy(*keys).agg(*counts), keys)
 
 
