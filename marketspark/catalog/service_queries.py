@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from marketspark.catalog import intelligence_queries as intel
 from marketspark.catalog import supply_queries as sup
@@ -11,7 +11,7 @@ from marketspark.catalog.registry import REGISTERED, TX, register
 from marketspark.functions.expr import without_nan
 from marketspark.operators import lookups, metrics, supply
 from marketspark.plans import bundles
-from marketspark.sources import driver_tables as tables
+from marketspark.sources import driver_tables as tables, sinks
 
 AREAS = TX + f", m1 AS ({M1})"
 
@@ -327,3 +327,58 @@ def m17(spark, sf):
         part = built[name].agg(F.count(F.lit(1)).alias("row_count")).withColumn("table_name", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+# What each sink writes, as rows; the writing itself is tested with folders in tests/test_sources.py.
+@register("s5_version_rows", TX + """SELECT 7 AS version_id, transaction_year, count(*) AS records, sum(actual_worth) AS volume FROM tx GROUP BY 2""", r2="volume")
+def s5(spark, sf):
+    rows = sinks.stamped(tables.transactions(spark, sf, "area"), 7)
+    return rows.groupBy("version_id", "transaction_year").agg(F.count(F.lit(1)).alias("records"), F.sum("actual_worth").alias("volume"))
+
+
+@register("s6_metric_table_rows", AREAS + "SELECT area_name_en, total_transactions, luxury_count, offplan_count FROM m1")
+def s6(spark, sf):
+    table = bundles.metric_tables(tables.transactions(spark, sf))["metrics_area"]
+    return table.select("area_name_en", "total_transactions", "luxury_count", "offplan_count")
+
+
+@register("s7_csv_lines", TX + """SELECT area_name_en || ',' || property_type || ',' || count(*) || ',' || count(DISTINCT developer) AS line FROM tx GROUP BY area_name_en, property_type""")
+def s7(spark, sf):
+    df = tables.transactions(spark, sf, "area", "developer", "type").groupBy("area_name_en", "property_type").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("developer").alias("d")
+    )
+    return df.select(F.to_csv(F.struct("area_name_en", "property_type", "n", "d")).alias("line"))
+
+
+@register("s8_study_export", intel.STUDY + """SELECT name, transactions_1, transactions_2, CASE WHEN growth_2_pct = 999999 THEN 'INFINITE' ELSE CAST(growth_2_pct AS VARCHAR) END AS growth_2_pct,
+  misleading_reason FROM flagged WHERE abs(growth_2_pct) < 1000 OR growth_2_pct = 999999""")
+def s8(spark, sf):
+    shown = sinks.shown_study(intel._flagged(spark, sf))
+    kept = (F.col("growth_2_pct") == "INFINITE") | (F.abs(F.col("growth_2_pct").try_cast("double")) < 1000)
+    return shown.where(kept).select("name", "transactions_1", "transactions_2", "growth_2_pct", "misleading_reason")
+
+
+@register("s9_slice_sizes", intel.STUDY + """SELECT 'all' AS slice, count(*) AS records FROM flagged UNION ALL SELECT 'top_legitimate', least(50, count(*)) FROM flagged WHERE NOT misleading_flag
+UNION ALL SELECT 'misleading', count(*) FROM flagged WHERE misleading_flag UNION ALL SELECT 'high_volume', count(*) FROM flagged WHERE transactions_2 > 12
+UNION ALL SELECT 'declining', count(*) FROM flagged WHERE compound_growth_pct < -10""")
+def s9(spark, sf):
+    from marketspark.operators.opportunities import study_slices
+
+    out = None
+    for name, df in study_slices(intel._flagged(spark, sf), high_volume=12).items():
+        part = df.agg(F.count(F.lit(1)).alias("records")).withColumn("slice", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+TYPED = T.StructType(
+    [
+        T.StructField("transaction_id", T.StringType()), T.StructField("area_name_en", T.StringType()), T.StructField("actual_worth", T.LongType()),
+        T.StructField("procedure_area", T.IntegerType()), T.StructField("is_luxury", T.StringType()),
+    ]
+)
+
+
+@register("s10_typed_rows", TX + """SELECT transaction_id, area_name_en, CAST(trunc(actual_worth) AS BIGINT) AS actual_worth, CAST(procedure_area AS INTEGER) AS procedure_area, CAST(is_luxury AS VARCHAR) AS is_luxury FROM tx""")
+def s10(spark, sf):
+    return sinks.typed(tables.transactions(spark, sf, "area"), TYPED)

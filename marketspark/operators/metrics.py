@@ -170,19 +170,18 @@ def luxury_yearly(df: DataFrame, from_year: int = 2020, min_rows: int = 3) -> Da
 
 
 def luxury_summary(df: DataFrame, min_rows: int = 5) -> DataFrame:
-    return (
-        df.where("is_luxury")
-        .groupBy("area_name_en")
-        .agg(
+    table = summarise(
+        df.where("is_luxury"),
+        ["area_name_en"],
+        [
             rows().alias("total_luxury_transactions"),
             average(PRICE, "avg_luxury_price"),
             F.max(PRICE).alias("highest_sale"),
             average(SQM, "avg_price_sqm"),
-            F.countDistinct("project_name_en").alias("luxury_projects_count"),
-            F.countDistinct("developer").alias("luxury_developers_count"),
-        )
-        .where(F.col("total_luxury_transactions") >= min_rows)
+        ],
+        distinct={"luxury_projects_count": "project_name_en", "luxury_developers_count": "developer"},
     )
+    return table.where(F.col("total_luxury_transactions") >= min_rows)
 
 
 def project_metrics(df: DataFrame, min_rows: int = 5) -> DataFrame:

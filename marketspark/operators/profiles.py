@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from marketspark.config import SEGMENTS
 from marketspark.functions.expr import band, clamp, count_where, filled, pct_change, rows, share
 from marketspark.functions.periods import within
-from marketspark.functions.scale import nearest_by_value
+from marketspark.functions.scale import nearest_by_value, summarise
 from marketspark.operators.metrics import PRICE, SQM, mix_within, numbered, offplan, with_total
 
 
@@ -27,22 +27,22 @@ def segment_of(price: Column | str, edges: Sequence[float]) -> Column:
 
 def area_profiles(df: DataFrame, edges: Sequence[float]) -> DataFrame:
     """Key figures and market segment of every area."""
-    return (
-        df.groupBy("area_name_en")
-        .agg(
+    measured = summarise(
+        df,
+        ["area_name_en"],
+        [
             rows().alias("total_transactions"),
             F.avg(PRICE).alias("avg_price"),
             F.avg(SQM).alias("avg_price_sqm"),
             F.min(PRICE).alias("min_price"),
             F.max(PRICE).alias("max_price"),
             F.avg("procedure_area").alias("avg_unit_size_sqm"),
-            F.countDistinct("project_name_en").alias("unique_projects"),
-            F.countDistinct("developer").alias("unique_developers"),
             share(count_where(offplan()), rows()).alias("offplan_pct"),
             share(count_where(F.col("is_luxury")), rows()).alias("luxury_pct"),
-        )
-        .withColumn("market_segment", segment_of("avg_price", edges))
+        ],
+        distinct={"unique_projects": "project_name_en", "unique_developers": "developer"},
     )
+    return measured.withColumn("market_segment", segment_of("avg_price", edges))
 
 
 def area_mixes(df: DataFrame) -> DataFrame:

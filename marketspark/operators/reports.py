@@ -264,14 +264,16 @@ def time_series(
 
 def citation_statistics(df: DataFrame) -> DataFrame:
     """What an article about an area may cite: span of the data and how varied it is."""
-    return df.groupBy("area_name_en").agg(
-        rows().alias("total_analyzed"),
-        F.min("instance_date").alias("earliest_date"),
-        F.max("instance_date").alias("latest_date"),
-        F.countDistinct("rooms_en").alias("room_types"),
-        F.countDistinct("transaction_year").alias("years_covered"),
-        count_where(offplan()).alias("offplan_count"),
-        F.countDistinct("developer").alias("developers_count"),
+    return summarise(
+        df,
+        ["area_name_en"],
+        [
+            rows().alias("total_analyzed"),
+            F.min("instance_date").alias("earliest_date"),
+            F.max("instance_date").alias("latest_date"),
+            count_where(offplan()).alias("offplan_count"),
+        ],
+        distinct={"room_types": "rooms_en", "years_covered": "transaction_year", "developers_count": "developer"},
     )
 
 

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from marketspark.config import INFINITE_GROWTH
 
 
+def stamped(df: DataFrame, version_id: int) -> DataFrame:
+    return df.withColumns({"version_id": F.lit(version_id), "imported_at": F.current_timestamp()})
+
+
 def append_version(df: DataFrame, path: str, version_id: int) -> None:
     """Adds a validated version; readers of one version open only its directory."""
-    stamped = df.withColumns({"version_id": F.lit(version_id), "imported_at": F.current_timestamp()})
-    writer = stamped.write.mode("append")
     year = [c for c in ("transaction_year",) if c in df.columns]
-    writer.partitionBy("version_id", *year).parquet(path)
+    stamped(df, version_id).write.mode("append").partitionBy("version_id", *year).parquet(path)
 
 
 def replace_table(df: DataFrame, path: str) -> None:
@@ -28,10 +30,14 @@ def marked_infinite(c: str) -> Column:
     return F.when(F.col(c) == INFINITE_GROWTH, F.lit("INFINITE")).otherwise(F.col(c).cast("string")).alias(c)
 
 
-def export_study_json(study: DataFrame, path: str) -> None:
+def shown_study(study: DataFrame) -> DataFrame:
+    """A growth study as it is published."""
     growth = [c for c in study.columns if c.startswith(("growth_", "compound_growth_"))]
-    shown = study.select(*[marked_infinite(c) if c in growth else F.col(c) for c in study.columns])
-    shown.write.mode("overwrite").json(path)
+    return study.select(*[marked_infinite(c) if c in growth else F.col(c) for c in study.columns])
+
+
+def export_study_json(study: DataFrame, path: str) -> None:
+    shown_study(study).write.mode("overwrite").json(path)
 
 
 def export_slices(slices: dict[str, DataFrame], path: str) -> None:
@@ -40,10 +46,14 @@ def export_slices(slices: dict[str, DataFrame], path: str) -> None:
         export_csv(df, f"{path}/{name}")
 
 
+def typed(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """Rows cast to a declared schema; a value that does not fit fails the load."""
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
 def truncate_load(df: DataFrame, schema: T.StructType, path: str) -> DataFrame:
     """Replaces a table with rows of a declared schema and returns (expected, written) row counts."""
-    typed = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
-    replace_table(typed, path)
-    spark: SparkSession = df.sparkSession
-    written = spark.read.schema(schema).parquet(path).agg(F.count(F.lit(1)))
-    return typed.agg(F.count(F.lit(1)).alias("expected_rows")).withColumn("written_rows", written.scalar())
+    rows = typed(df, schema)
+    replace_table(rows, path)
+    written = df.sparkSession.read.schema(schema).parquet(path).agg(F.count(F.lit(1)))
+    return rows.agg(F.count(F.lit(1)).alias("expected_rows")).withColumn("written_rows", written.scalar())
