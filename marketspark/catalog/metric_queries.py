@@ -213,7 +213,7 @@ def m16c(spark, sf):
 
 @register("m16_month_snapshot", M3_CTE + """, lux AS (SELECT area_name_en FROM tx WHERE is_luxury GROUP BY 1 HAVING count(*) >= 120)
 SELECT CAST(sum(tx_count) AS BIGINT) AS tx_count, count(DISTINCT area_name_en) AS areas, avg(avg_price) AS avg_price,
-  CAST(sum(tx_count) FILTER (area_name_en IN (SELECT area_name_en FROM lux)) AS BIGINT) AS luxury_area_tx
+  CAST(coalesce(sum(tx_count) FILTER (area_name_en IN (SELECT area_name_en FROM lux)), 0) AS BIGINT) AS luxury_area_tx
 FROM m3 WHERE transaction_year = 2000 AND transaction_month = 6""", r6="avg_price")
 def m16d(spark, sf):
     df = tables.transactions(spark, sf, "area", "type")

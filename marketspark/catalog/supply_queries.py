@@ -147,6 +147,12 @@ def _band(value, edges, labels):
 
 SCORE = """greatest(0.0, least(100.0, 50.0 + coalesce(price_yoy_change_pct, 0) * 1.5 + coalesce(tx_yoy_change_pct, 0) * 0.5
   - least(40.0, (coalesce(supply_demand_ratio, 1.0) - 1.0) * 10.0)))"""
+# An area without sales or without projects has none of them, not an unknown number.
+COUNTS = (
+    "demand_tx_count", "demand_offplan_tx", "demand_ready_tx", "supply_projects", "supply_offplan_projects", "supply_completed_projects",
+    "supply_under_construction", "supply_launched_projects", "supply_total_units", "supply_offplan_units", "supply_completed_units",
+    "supply_residential_units", "supply_developers", *[f"supply_{y}" for y in YEARS],
+)
 AREAS = TX + "," + RAW.strip().removeprefix("WITH") + f""", dem AS (
   SELECT area_name_en AS area, count(*) FILTER (transaction_year >= 1999) AS demand_tx_count, sum(actual_worth) FILTER (transaction_year >= 1999) AS demand_volume_aed,
     avg(actual_worth) FILTER (transaction_year >= 1999) AS demand_avg_price, avg(meter_sale_price) FILTER (transaction_year >= 1999) AS demand_price_per_sqm,
@@ -163,8 +169,9 @@ sar AS (
     count(DISTINCT developer) FILTER (is_offplan) AS supply_developers, avg(completion_percentage) FILTER (is_offplan) AS supply_avg_completion_pct,
     min(actual_completion_date) FILTER (is_offplan) AS supply_earliest_delivery, max(actual_completion_date) FILTER (is_offplan) AS supply_latest_delivery
   FROM sp GROUP BY 1),
+sdj AS (SELECT * REPLACE ({", ".join(f"coalesce({c}, 0) AS {c}" for c in COUNTS)}) FROM dem FULL JOIN sar USING (area)),
 sd0 AS (SELECT *, supply_offplan_units::DOUBLE / nullif(demand_offplan_tx, 0) AS supply_demand_ratio, demand_tx_count::DOUBLE / nullif(supply_projects, 0) AS tx_per_project,
-  supply_offplan_units::DOUBLE / nullif(supply_developers, 0) AS units_per_developer, supply_2001 + supply_2002 AS near_term_supply FROM dem FULL JOIN sar USING (area)),
+  supply_offplan_units::DOUBLE / nullif(supply_developers, 0) AS units_per_developer, supply_2001 + supply_2002 AS near_term_supply FROM sdj),
 sd AS (SELECT *, CASE WHEN supply_demand_ratio IS NULL THEN 'Insufficient Data' ELSE {_band("supply_demand_ratio", supply.BALANCE_EDGES, supply.BALANCE_LABELS)} END AS market_balance,
   {_band(SCORE, supply.OPPORTUNITY_EDGES, supply.OPPORTUNITY_LABELS)} AS opportunity_classification,
   CASE WHEN supply_demand_ratio > 10 THEN 'High' WHEN supply_demand_ratio > 3 THEN 'Medium' WHEN supply_demand_ratio IS NOT NULL THEN 'Low' END AS oversupply_risk,
