@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marketspark.llm import line_dedup, line_frequency, mixing, simhash, token_file
+from marketspark.llm import decontaminate, hmm, language, line_dedup, line_frequency, mixing, preference, quality, simhash, token_file
 from marketspark.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -16,10 +17,37 @@ _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def op1_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.format_pairs(*preference.with_next_reply(table(spark, sf_dir, "conversations")))
+
+
+OP3_SQL = """
+WITH last AS (SELECT conv_id, max(turn) AS e FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+reply AS (SELECT c.conv_id, c.text FROM conversations c JOIN last ON c.conv_id = last.conv_id AND c.turn = last.e),
+t AS (SELECT c.conv_id AS pair_id, c.turn, c.role, c.text AS good, CASE WHEN c.turn = last.e THEN reply.text ELSE c.text END AS bad
+  FROM conversations c JOIN last USING (conv_id) JOIN reply ON reply.conv_id = c.conv_id + 1 WHERE c.turn <= last.e),
+f AS (SELECT pair_id, min(turn) FILTER (WHERE good <> bad) AS first FROM t GROUP BY pair_id),
+r AS (SELECT t.*, first IS NULL OR turn < first AS common, '<|' || role || '|>' || chr(10) AS head,
+  good || '<|end|>' || chr(10) AS good_body, bad || '<|end|>' || chr(10) AS bad_body FROM t JOIN f USING (pair_id)),
+s AS (SELECT *, coalesce(sum(length(head) + length(good_body)) OVER w, 0) AS good_at, coalesce(sum(length(head) + length(bad_body)) OVER w, 0) AS bad_at FROM r
+  WINDOW w AS (PARTITION BY pair_id, common ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT pair_id, count(*) FILTER (WHERE common) AS n_common,
+  coalesce(string_agg(head || good_body, '' ORDER BY turn) FILTER (WHERE common), '') AS prompt,
+  coalesce(string_agg(head || good_body, '' ORDER BY turn) FILTER (WHERE NOT common), '') AS chosen,
+  coalesce(string_agg((good_at + length(head)) || '-' || (good_at + length(head) + length(good_body)), ',' ORDER BY turn) FILTER (WHERE NOT common AND role = 'assistant'), '') AS chosen_mask,
+  coalesce(string_agg(head || bad_body, '' ORDER BY turn) FILTER (WHERE NOT common), '') AS rejected,
+  coalesce(string_agg((bad_at + length(head)) || '-' || (bad_at + length(head) + length(bad_body)), ',' ORDER BY turn) FILTER (WHERE NOT common AND role = 'assistant'), '') AS rejected_mask
+FROM s GROUP BY pair_id"""
+
+
 def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.round_trip(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -89,5 +117,25 @@ SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT)
 FROM j GROUP BY doc_id"""
 
 
-QUERIES = {q.__name__: q for q in (op2_simhash_near_dedup, op4_token_file, op5_line_frequency_rules, op6_source_mixing, op8_line_dedup)}
-SQL = {"op5_line_frequency_rules": OP5_SQL, "op6_source_mixing": OP6_SQL, "op8_line_dedup": OP8_SQL}
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_hidden_markov_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+_ALL = (
+    op1_string_tiling, op2_simhash_near_dedup, op3_preference_format, op4_token_file, op5_line_frequency_rules, op6_source_mixing,
+    op7_language_id, op8_line_dedup, op9_quality_classifier, op10_hidden_markov_scores, pipeline,
+)
+QUERIES = {q.__name__: q for q in _ALL}
+SQL = {"op3_preference_format": OP3_SQL, "op5_line_frequency_rules": OP5_SQL, "op6_source_mixing": OP6_SQL, "op8_line_dedup": OP8_SQL}
