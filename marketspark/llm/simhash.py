@@ -161,12 +161,12 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 def classes(prints: DataFrame, threshold: int = 2) -> DataFrame:
     """(fp, component) for rows (id, fp): the smallest id reachable over links. Null ids belong to a class but never name it
-    unless the class has no other."""
+    unless the class has no other. Written once, so that a join with it can split a fingerprint that very many rows have."""
     reps = prints.groupBy("fp").agg(F.min("id").alias("rep"))
     linked = components(links(reps.select("fp"), threshold), "simhash-links").withColumnRenamed("node", "fp")
     named = linked.join(reps, "fp").groupBy("root").agg(F.min("rep").alias("component"))
     linked = linked.join(named, "root").select("fp", "component")
-    return reps.join(linked, "fp", "left").select("fp", F.coalesce("component", "rep").alias("component"))
+    return settled(reps.join(linked, "fp", "left").select("fp", F.coalesce("component", "rep").alias("component")), "simhash-classes")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 2) -> DataFrame:
