@@ -74,7 +74,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batch
     lines = docs.select(holder, F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line")).withColumn("line", line_key(F.col("line")))
     held = settled(lines.where(F.char_length("line") >= min_chars).select("holder", *line_hash(F.col("line"))).distinct(), "line-hashes")
     # Approximate quantiles set only the sizes of the batches; any edges give the same result.
-    edges = sorted(set(held.approxQuantile("holder", [i / batches for i in range(1, batches)], 0.01)), reverse=True)
+    edges = sorted(set(held.approxQuantile("holder", [i / batches for i in range(1, batches)] or [0.0], 0.01)), reverse=True)
     runs, candidates, above = LineRuns(docs.sparkSession, fan_out=fan_out), [], None
     for low in [*edges, None]:
         batch = held if above is None else held.where(F.col("holder") < above)

@@ -78,6 +78,11 @@ def anchors(fingerprint: str) -> Column:
     )
 
 
+def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Numbers of differing bits; unsigned, as bits of negative numbers are counted in their absolute value."""
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
 def _forest(members: np.ndarray, threshold: int) -> list[tuple[int, int]]:
     """A spanning forest of the links among the fingerprints of one anchor."""
     links, rest = [], members
@@ -85,7 +90,7 @@ def _forest(members: np.ndarray, threshold: int) -> list[tuple[int, int]]:
         frontier, rest = rest[:1], rest[1:]
         while len(frontier) and len(rest):
             near = frontier[0]
-            close = np.bitwise_count(rest ^ near) <= threshold
+            close = _differing(rest, near) <= threshold
             links += [(int(near), int(x)) for x in rest[close]]
             frontier, rest = np.concatenate([frontier[1:], rest[close]]), rest[~close]
     return links
@@ -99,7 +104,7 @@ def _links_per_anchor(threshold: int):
             edge = np.flatnonzero(np.diff(anchor)) + 1
             starts, ends = np.concatenate([[0], edge]), np.concatenate([edge, [len(anchor)]])
             pair = starts[ends - starts == 2]
-            close = pair[np.bitwise_count(found[pair] ^ found[pair + 1]) <= threshold]
+            close = pair[_differing(found[pair], found[pair + 1]) <= threshold]
             a, b = [found[close]], [found[close + 1]]
             for s, e in zip(starts[ends - starts > 2], ends[ends - starts > 2]):
                 more = np.array(_forest(found[s:e], threshold), np.int64).reshape(-1, 2)
