@@ -243,7 +243,7 @@ def o8b(spark, sf):
 
 
 MONTHLY = """, m AS (SELECT area_name_en, date_trunc('month', instance_date) AS mo, count(*) AS n, avg(actual_worth) AS ap FROM tx
-  WHERE instance_date <= DATE '2000-11-30' AND instance_date >= DATE '2000-11-30' - INTERVAL 13 MONTH GROUP BY 1, 2)"""
+  WHERE instance_date < DATE '2000-12-01' AND instance_date >= DATE '2000-12-01' - INTERVAL 13 MONTH GROUP BY 1, 2)"""
 PRICE_MOMENTUM = MONTHLY + """, r AS (SELECT *, row_number() OVER w AS rn, (ap - lead(ap) OVER w) / lead(ap) OVER w AS ch FROM m WHERE n >= 10
   WINDOW w AS (PARTITION BY area_name_en ORDER BY mo DESC)),
 g AS (SELECT area_name_en, count(*) AS months, count(ch) AS t, count(*) FILTER (ch > 0.01) AS up, count(*) FILTER (ch < -0.01) AS dn,
@@ -293,8 +293,9 @@ def t3(spark, sf):
     return trends.volume_momentum(tables.transactions(spark, sf, "area"), AREA, AS_OF)
 
 
-SEASON = """, sm AS (SELECT area_name_en, month(instance_date) AS mn, count(*) AS n FROM tx WHERE instance_date >= DATE '1998-01-01' GROUP BY 1, 2),
-si AS (SELECT *, n / avg(n) OVER (PARTITION BY area_name_en) * 100 AS ix FROM sm),
+SEASON = """, sy AS (SELECT area_name_en, month(instance_date) AS mn, count(*) AS n, (SELECT count(*) FROM range(TIMESTAMP '1998-01-01', TIMESTAMP '2000-12-01', INTERVAL 1 MONTH) c(m) WHERE month(m) = mn) AS often
+  FROM tx WHERE instance_date >= DATE '1998-01-01' AND instance_date < DATE '2000-12-01' GROUP BY 1, 2),
+sm AS (SELECT *, n::DOUBLE / often AS yearly FROM sy), si AS (SELECT *, yearly / avg(yearly) OVER (PARTITION BY area_name_en) * 100 AS ix FROM sm),
 sr AS (SELECT *, row_number() OVER (PARTITION BY area_name_en ORDER BY ix DESC, mn) AS rn, count(*) OVER (PARTITION BY area_name_en) AS c,
   ['January', 'February', 'March', 'April', 'May', 'June', 'July', 'August', 'September', 'October', 'November', 'December'][mn] AS nm FROM si),
 se AS (SELECT area_name_en, array_to_string(list(nm ORDER BY rn) FILTER (rn <= 3), ', ') AS peak_months, array_to_string(list(nm ORDER BY rn) FILTER (rn > c - 3), ', ') AS low_months,
@@ -310,11 +311,11 @@ def t4(spark, sf):
 
 @register("t4_month_indices", TX + SEASON + "SELECT area_name_en, CAST(mn AS INTEGER) AS month_number, n AS tx_count, ix AS month_index FROM si", r6="month_index")
 def t4b(spark, sf):
-    return trends.month_indices(tables.transactions(spark, sf, "area"), AREA, SEASON_START)
+    return trends.month_indices(tables.transactions(spark, sf, "area"), AREA, SEASON_START, AS_OF)
 
 
 CYCLE = """, cq AS (SELECT area_name_en, date_trunc('quarter', instance_date) AS q, count(*) AS n, avg(actual_worth) AS ap FROM tx
-  WHERE instance_date <= DATE '2000-11-30' AND instance_date >= DATE '2000-11-30' - INTERVAL 24 MONTH GROUP BY 1, 2),
+  WHERE instance_date < DATE '2000-10-01' AND instance_date >= DATE '2000-10-01' - INTERVAL 24 MONTH GROUP BY 1, 2),
 cc AS (SELECT *, row_number() OVER w AS rn, (ap - lead(ap) OVER w) / lead(ap) OVER w AS pc, (n - lead(n) OVER w)::DOUBLE / lead(n) OVER w AS vc FROM cq
   WINDOW w AS (PARTITION BY area_name_en ORDER BY q DESC)),
 ct AS (SELECT *, avg(pc) FILTER (rn <= 2) OVER (PARTITION BY area_name_en) AS tr FROM cc),
@@ -347,6 +348,39 @@ def t6(spark, sf):
     return trends.combined_trends(tables.transactions(spark, sf, "area"), AREA, AS_OF, SEASON_START)
 
 
+# The same in the middle of a month: the running month and quarter are left out.
+MID = date(2000, 8, 20)
+
+
+def _mid(sql: str) -> str:
+    return TX + sql.replace("2000-12-01", "2000-08-01").replace("2000-10-01", "2000-07-01").replace("mn = 11", "mn = 8")
+
+
+@register("t1_price_momentum_mid_month", _mid(PRICE_MOMENTUM + "SELECT * FROM pm"), r6=PM_ROUND, r4="current_avg_price")
+def t1c(spark, sf):
+    return trends.price_momentum(tables.transactions(spark, sf, "area"), AREA, MID)
+
+
+@register("t3_volume_momentum_mid_month", _mid(VOLUME_MOMENTUM + "SELECT * FROM vm"), r6="volume_3m_change volume_6m_change volume_12m_change")
+def t3b(spark, sf):
+    return trends.volume_momentum(tables.transactions(spark, sf, "area"), AREA, MID)
+
+
+@register("t4_seasonality_mid_month", _mid(SEASON + "SELECT * FROM se"), r6="peak_vs_low_ratio")
+def t4c(spark, sf):
+    return trends.seasonality(tables.transactions(spark, sf, "area"), AREA, SEASON_START, MID)
+
+
+@register("t5_market_cycle_mid_quarter", _mid(CYCLE + "SELECT * FROM cy"), r6="phase_confidence recent_price_trend_qoq recent_volume_trend_qoq")
+def t5b(spark, sf):
+    return trends.market_cycle(tables.transactions(spark, sf, "area"), AREA, MID)
+
+
+@register("t6_combined_trends_mid_month", _mid(COMBINED + f"SELECT * FROM {COMBINED_SELECT}"), **TREND_ROUND)
+def t6b(spark, sf):
+    return trends.combined_trends(tables.transactions(spark, sf, "area"), AREA, MID, SEASON_START)
+
+
 SEGMENT = "CASE WHEN {0} < 20000 THEN 'affordable' WHEN {0} < 50000 THEN 'mid_market' WHEN {0} < 95000 THEN 'mid_luxury' WHEN {0} < 102000 THEN 'luxury' ELSE 'ultra_luxury' END"
 PROFILES = f""", ap AS (SELECT area_name_en, count(*) AS total_transactions, avg(actual_worth) AS avg_price, avg(meter_sale_price) AS avg_price_sqm,
   min(actual_worth) AS min_price, max(actual_worth) AS max_price, avg(procedure_area) AS avg_unit_size_sqm, count(DISTINCT project_name_en) AS unique_projects,

@@ -13,7 +13,7 @@ from marketspark.functions.expr import col
 PER_YEAR = {"monthly": 12, "quarterly": 4, "semi_annual": 2, "annual": 1}
 
 
-def _months_after(day: date, months: int) -> date:
+def months_after(day: date, months: int) -> date:
     index = day.year * 12 + day.month - 1 + months
     return date(index // 12, index % 12 + 1, 1)
 
@@ -42,7 +42,7 @@ class Period:
 
     @property
     def end(self) -> date:
-        return _months_after(self.start, self.months)
+        return months_after(self.start, self.months)
 
     @property
     def index(self) -> int:
@@ -68,7 +68,7 @@ class Period:
         return within(self.start, self.end, day)
 
     def lookback(self, months: int) -> tuple[date, date]:
-        return _months_after(self.start, -months), self.start
+        return months_after(self.start, -months), self.start
 
 
 def within(start: date, end: date, day: Column | str = "instance_date") -> Column:

@@ -8,11 +8,12 @@ dozen rows before any window runs.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from marketspark.functions.expr import month_start, pct_change, quarter_start, ratio, rows
+from marketspark.functions.periods import months_after, within
 from marketspark.functions.scale import join_on
 from marketspark.operators.metrics import PRICE
 
@@ -30,13 +31,25 @@ def _scope(keys: Sequence[str]) -> Window:
     return Window.partitionBy(*(list(keys) or [F.lit(0)]))
 
 
-def _recent(df: DataFrame, as_of: date, months: int) -> DataFrame:
-    day = F.col("instance_date")
-    return df.where((day <= F.lit(as_of)) & (day >= F.add_months(F.lit(as_of), -months)))
+def last_whole_end(as_of: date, months: int = 1) -> date:
+    """The day after the last month (or quarter, months=3) that is over at the end of `as_of`."""
+    after = as_of + timedelta(days=1)
+    first = (after.month - 1) // months * months + 1
+    return date(after.year, first, 1)
 
 
-def monthly_series(df: DataFrame, keys: Sequence[str], as_of: date, months: int = 13) -> DataFrame:
-    return _recent(df, as_of, months).groupBy(*keys, month_start("instance_date").alias("month")).agg(
+def _recent(df: DataFrame, as_of: date, months: int, unit: int, whole: bool) -> DataFrame:
+    """Sales of the last `months` months: whole months or quarters only, or the days up to `as_of`."""
+    if not whole:
+        day = F.col("instance_date")
+        return df.where((day <= F.lit(as_of)) & (day >= F.add_months(F.lit(as_of), -months)))
+    end = last_whole_end(as_of, unit)
+    return df.where(within(months_after(end, -months), end))
+
+
+def monthly_series(df: DataFrame, keys: Sequence[str], as_of: date, months: int = 13, whole: bool = True) -> DataFrame:
+    """Sales and price per month of the last whole months; a month still running would be compared with full ones."""
+    return _recent(df, as_of, months, 1, whole).groupBy(*keys, month_start("instance_date").alias("month")).agg(
         rows().alias("tx_count"), F.avg(PRICE).alias("avg_price")
     )
 
@@ -56,10 +69,10 @@ def _at(place: int, column: str) -> Column:
 
 
 def price_momentum(
-    df: DataFrame, keys: Sequence[str], as_of: date, min_rows: int = 10, align: str = "rows"
+    df: DataFrame, keys: Sequence[str], as_of: date, min_rows: int = 10, align: str = "rows", whole: bool = True
 ) -> DataFrame:
     """Price change over 3, 6 and 12 months with trajectory and consistency, per scope."""
-    series = monthly_series(df, keys, as_of)
+    series = monthly_series(df, keys, as_of, whole=whole)
     scopes = series.select(*keys).distinct() if keys else series.agg(rows().alias("__n")).select(F.lit(1).alias("__n")).drop("__n")
     placed = _placed(series.where(F.col("tx_count") >= min_rows), keys, align)
     older = F.lead("avg_price").over(_scope(keys).orderBy("place"))
@@ -116,9 +129,9 @@ def price_momentum(
     return filled.fillna({"current_avg_price": 0.0, "trajectory": "stable", "consistency_score": 0.0})
 
 
-def volume_momentum(df: DataFrame, keys: Sequence[str], as_of: date, align: str = "rows") -> DataFrame:
+def volume_momentum(df: DataFrame, keys: Sequence[str], as_of: date, align: str = "rows", whole: bool = True) -> DataFrame:
     """Change of monthly sales over 3, 6 and 12 months with a trend label, per scope."""
-    placed = _placed(monthly_series(df, keys, as_of), keys, align)
+    placed = _placed(monthly_series(df, keys, as_of, whole=whole), keys, align)
     summary = placed.groupBy(*keys).agg(
         rows().alias("months"),
         _at(1, "tx_count").alias("newest"),
@@ -139,19 +152,26 @@ def volume_momentum(df: DataFrame, keys: Sequence[str], as_of: date, align: str
     )
 
 
-def month_indices(df: DataFrame, keys: Sequence[str], start: date) -> DataFrame:
-    """Sales of each calendar month relative to the average month of the scope (100)."""
-    counted = df.where(F.col("instance_date") >= F.lit(start)).groupBy(*keys, F.month("instance_date").alias("month_number")).agg(
-        rows().alias("tx_count")
-    )
-    mean = F.avg("tx_count").over(_scope(keys))
-    return counted.withColumn("month_index", F.col("tx_count") / mean * 100)
+def month_indices(df: DataFrame, keys: Sequence[str], start: date, as_of: date) -> DataFrame:
+    """Sales of each calendar month in a mean year, relative to the average month of the scope (100).
+
+    Only months that are over at `as_of` and began at `start` or later count, and each calendar month is divided
+    by how often it occurs among them.
+    """
+    first, end = last_whole_end(start - timedelta(days=1)), last_whole_end(as_of)
+    if first < start:
+        first = months_after(first, 1)
+    total = max(0, (end.year - first.year) * 12 + end.month - first.month)
+    often = [len(range((m - first.month) % 12, total, 12)) for m in range(1, 13)]
+    counted = df.where(within(first, end)).groupBy(*keys, F.month("instance_date").alias("month_number")).agg(rows().alias("tx_count"))
+    yearly = F.col("tx_count") / F.element_at(F.array(*[F.lit(n) for n in often]), F.col("month_number"))
+    return counted.withColumn("month_index", yearly / F.avg(yearly).over(_scope(keys)) * 100)
 
 
 def seasonality(df: DataFrame, keys: Sequence[str], start: date, as_of: date) -> DataFrame:
     """Peak and low months of every scope and where the month of `as_of` stands."""
     names = F.array(*[F.lit(m) for m in MONTH_NAMES])
-    ranked = month_indices(df, keys, start).withColumn("month_name", F.element_at(names, F.col("month_number"))).withColumn(
+    ranked = month_indices(df, keys, start, as_of).withColumn("month_name", F.element_at(names, F.col("month_number"))).withColumn(
         "place", F.row_number().over(_scope(keys).orderBy(F.desc("month_index"), "month_number"))
     )
     from_last = F.count(F.lit(1)).over(_scope(keys)) - F.col("place")
@@ -183,9 +203,9 @@ def seasonality(df: DataFrame, keys: Sequence[str], start: date, as_of: date) ->
     )
 
 
-def market_cycle(df: DataFrame, keys: Sequence[str], as_of: date, months: int = 24) -> DataFrame:
-    """Phase of the market cycle of every scope, with confidence and how long it has lasted."""
-    series = _recent(df, as_of, months).groupBy(*keys, quarter_start("instance_date").alias("quarter")).agg(
+def market_cycle(df: DataFrame, keys: Sequence[str], as_of: date, months: int = 24, whole: bool = True) -> DataFrame:
+    """Phase of the market cycle of every scope over whole quarters, with confidence and how long it has lasted."""
+    series = _recent(df, as_of, months, 3, whole).groupBy(*keys, quarter_start("instance_date").alias("quarter")).agg(
         rows().alias("tx_count"), F.avg(PRICE).alias("avg_price")
     )
     order = _scope(keys).orderBy(F.desc("quarter"))

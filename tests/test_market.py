@@ -1,6 +1,6 @@
 """Periods, metrics, trends, growth and profiles on small frames."""
 
-from datetime import date
+from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -121,6 +121,20 @@ def test_volume_trend(spark):
     assert got == {"up": ("increasing", 12), "down": ("decreasing", 8), "flat": ("stable", 10), "new": ("insufficient_data", 0)}
 
 
+def test_running_months_and_quarters_do_not_count(spark):
+    daily = frame(spark, [sale(i, date(2022, 12, 1) + timedelta(days=i), "A", 100.0) for i in range(740)])
+    for as_of in (date(2024, 10, 20), date(2024, 12, 9)):
+        volume = trends.volume_momentum(daily, ["area_name_en"], as_of).first()
+        assert volume["volume_trend"] == "stable" and abs(volume["volume_3m_change"]) < 5
+        assert abs(trends.market_cycle(daily, ["area_name_en"], as_of).first()["recent_volume_trend_qoq"]) < 3
+        season = trends.seasonality(daily, ["area_name_en"], date(2023, 1, 1), as_of).first()
+        assert season["peak_vs_low_ratio"] < 1.1 and season["current_month_position"] == "normal"
+    cut = trends.volume_momentum(daily, ["area_name_en"], date(2024, 12, 9), whole=False).first()
+    assert cut["volume_trend"] == "decreasing"
+    assert trends.last_whole_end(date(2024, 6, 30)) == date(2024, 7, 1) and trends.last_whole_end(date(2024, 6, 29)) == date(2024, 6, 1)
+    assert trends.last_whole_end(date(2024, 12, 31), 3) == date(2025, 1, 1) and trends.last_whole_end(date(2024, 2, 29), 3) == date(2024, 1, 1)
+
+
 def test_cycle_phases(spark):
     cases = {
         "growth": [(121, 30), (110, 25), (100, 20), (100, 20)], "peak": [(110, 16), (105, 18), (100, 20), (99, 20)],
