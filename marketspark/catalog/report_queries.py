@@ -102,6 +102,34 @@ def p5b(spark, sf):
     return reports.period_comparison(_all(spark, sf), Q2, "yoy")
 
 
+# The first quarter with sales against the one before, and two quarters without any.
+FIRST, NEVER = Period(1992, "quarterly", 1), Period(1980, "quarterly", 2)
+_ZERO = f"CASE WHEN measure IN {reports.COUNTED} THEN 0.0::DOUBLE END"
+
+
+def _with_zeros(sql):
+    return f"""SELECT measure, coalesce(x.current_value, {_ZERO}) AS current_value, coalesce(x.previous_value, {_ZERO}) AS previous_value,
+  coalesce(x.current_value, {_ZERO}) - coalesce(x.previous_value, {_ZERO}) AS absolute_change,
+  CASE WHEN measure <> 'offplan_percentage' THEN (coalesce(x.current_value, {_ZERO}) - coalesce(x.previous_value, {_ZERO})) / nullif(coalesce(x.previous_value, {_ZERO}), 0) * 100 END AS percentage_change
+FROM (SELECT unnest({list(reports.COMPARED)}) AS measure) LEFT JOIN ({sql}) x USING (measure)"""
+
+
+def _months(a, b):
+    return f"instance_date >= DATE '{a}' AND instance_date < DATE '{b}'"
+
+
+@register("p5_comparison_with_empty_period", _with_zeros(_comparison(_months("1991-10-01", "1992-01-01")).replace(IN_Q2, _months("1992-01-01", "1992-04-01"))),
+          r4="percentage_change", r2="current_value previous_value absolute_change")
+def p5c(spark, sf):
+    return reports.period_comparison(_all(spark, sf), FIRST, "mom")
+
+
+@register("p5_comparison_of_empty_periods", _with_zeros(_comparison(_months("1979-04-01", "1979-07-01")).replace(IN_Q2, _months("1980-04-01", "1980-07-01"))),
+          r4="percentage_change", r2="current_value previous_value absolute_change")
+def p5d(spark, sf):
+    return reports.period_comparison(_all(spark, sf), NEVER, "yoy")
+
+
 def _top(name, metric, limit=10):
     return f"""SELECT {name} AS name, count(*) AS transaction_count, sum(actual_worth) AS sales_volume, avg(actual_worth) AS avg_price,
   avg(meter_sale_price) AS avg_price_sqm, count(*) FILTER (is_luxury) AS luxury_count, count(*) FILTER ({OFF}) AS offplan_count,

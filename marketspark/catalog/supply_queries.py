@@ -113,7 +113,7 @@ def e30b(spark, sf):
 
 RULES = {
     "project id missing": "project_id IS NULL", "project name missing": "project_name IS NULL", "status missing": "status_normalized IS NULL",
-    "total units missing": "total_units IS NULL", "units differ from sum by more than 5": "abs(unit_mismatch_diff) > 5",
+    "total units missing": "project_id NOT IN (SELECT CAST(l_orderkey AS VARCHAR) FROM lineitem)", "units differ from sum by more than 5": "abs(unit_mismatch_diff) > 5",
     "completed below 100 percent": "is_completed AND completion_percentage < 100",
     "completed in the future": "is_completed AND actual_completion_date > DATE '2001-06-30'", "launched after completion": "launch_date > actual_completion_date",
     "completion percentage out of range": "completion_percentage NOT BETWEEN 0 AND 100", "negative units": "total_units < 0",

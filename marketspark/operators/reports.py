@@ -121,6 +121,7 @@ COMPARED = (
     "total_transactions", "total_sales_volume", "avg_price", "median_price", "avg_price_per_sqm",
     "luxury_count", "offplan_count", "offplan_percentage",
 )
+COUNTED = ("total_transactions", "total_sales_volume", "luxury_count", "offplan_count", "offplan_percentage")
 
 
 def period_comparison(
@@ -145,6 +146,11 @@ def period_comparison(
         F.max(F.when(F.col("is_current"), F.col("m.value"))).alias("current_value"),
         F.max(F.when(~F.col("is_current"), F.col("m.value"))).alias("previous_value"),
     )
+    # A period without sales counts as 0; its averages stay unknown.
+    every = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(m) for m in COMPARED])).alias("measure"))
+    paired = every.join(paired, "measure", "left")
+    counted = F.col("measure").isin(*COUNTED)
+    paired = paired.withColumns({c: F.coalesce(c, F.when(counted, 0.0)) for c in ("current_value", "previous_value")})
     # A share is compared by difference only.
     change = F.when(F.col("measure") != "offplan_percentage", pct_change("current_value", "previous_value"))
     return paired.withColumns(

@@ -169,7 +169,7 @@ def supply_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
             ).alias("actual_completion_date"),
             F.month(F.add_months(F.col("o_orderdate").cast("date"), 24)).alias("completion_month"),
             F.year(F.add_months(F.col("o_orderdate").cast("date"), 24)).alias("completion_year"),
-            F.coalesce("total_units", F.lit(0)).alias("total_units"),
+            "total_units",
             "total_apartments", "total_villas", "total_townhouses", "total_offices",
             nothing.cast("int").alias("total_hotel_apartments"),
             nothing.cast("int").alias("total_serviced_apartments"),
