@@ -37,7 +37,7 @@ class LineRuns:
 
     def _write(self, hashes: DataFrame, level: int) -> None:
         path = f"{self.folder}/{level}-{uuid.uuid4().hex}"
-        hashes.select(*HASH).sortWithinPartitions(*HASH).write.parquet(path)
+        hashes.select(*HASH).sortWithinPartitions(*HASH).write.option("compression", "none").parquet(path)  # hashes don't compress
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(path)
@@ -47,9 +47,9 @@ class LineRuns:
         firsts = batch.groupBy(*HASH).agg(F.max("holder").alias("first"))
         runs = self.hashes()
         seen = firsts.join(runs.withColumn("known", F.lit(True)), HASH, "left") if runs is not None else firsts.withColumn("known", F.lit(None).cast("boolean"))
-        seen = settled(seen.select(*HASH, "first", F.coalesce("known", F.lit(False)).alias("known")), "line-batch")
+        seen = settled(seen.select(*HASH, "first", F.coalesce("known", F.lit(False)).alias("known")), "line-batch", compression="none")
         again = batch.join(seen, HASH).where(F.col("known") | (F.col("holder") < F.col("first"))).select(*HASH, "holder")
-        again = settled(again, "line-candidates")
+        again = settled(again, "line-candidates", compression="none")
         self._write(seen.where(~F.col("known")), 0)
         self.compact()
         return again
@@ -72,7 +72,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batch
     """Rows (holder, h1, h2): the line hashes that a document loses."""
     holder = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("holder")
     lines = docs.select(holder, F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line")).withColumn("line", line_key(F.col("line")))
-    held = settled(lines.where(F.char_length("line") >= min_chars).select("holder", *line_hash(F.col("line"))).distinct(), "line-hashes")
+    held = settled(lines.where(F.char_length("line") >= min_chars).select("holder", *line_hash(F.col("line"))).distinct(), "line-hashes", compression="none")
     # Approximate quantiles set only the sizes of the batches; any edges give the same result.
     edges = sorted(set(held.approxQuantile("holder", [i / batches for i in range(1, batches)] or [0.0], 0.01)), reverse=True)
     runs, candidates, above = LineRuns(docs.sparkSession, fan_out=fan_out), [], None
