@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -72,8 +72,14 @@ class Period:
 
 
 def within(start: date, end: date, day: Column | str = "instance_date") -> Column:
-    day = col(day)
-    return (day >= F.lit(start)) & (day < F.lit(end))
+    """Dates from start up to, not including, end.
+
+    Of sales the stored year is bounded as well: tables are partitioned by it, so only the folders of these years are read.
+    """
+    inside = (col(day) >= F.lit(start)) & (col(day) < F.lit(end))
+    if isinstance(day, str) and day == "instance_date":
+        inside = inside & F.col("transaction_year").between(start.year, (end - timedelta(days=1)).year)
+    return inside
 
 
 def period_index(day: Column | str, kind: str) -> Column:

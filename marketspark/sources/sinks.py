@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
 
 from marketspark.config import INFINITE_GROWTH
 
@@ -12,9 +12,10 @@ def stamped(df: DataFrame, version_id: int) -> DataFrame:
 
 
 def append_version(df: DataFrame, path: str, version_id: int) -> None:
-    """Adds a validated version; readers of one version open only its directory."""
+    """Adds a validated version, or replaces it where it was added before; readers of one version open only its directory."""
     year = [c for c in ("transaction_year",) if c in df.columns]
-    stamped(df, version_id).write.mode("append").partitionBy("version_id", *year).parquet(path)
+    # The version is a folder of its own, so a repeated load overwrites it and no other.
+    stamped(df, version_id).drop("version_id").write.mode("overwrite").partitionBy(*year).parquet(f"{path}/version_id={version_id}")
 
 
 def replace_table(df: DataFrame, path: str) -> None:
@@ -53,7 +54,8 @@ def typed(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 def truncate_load(df: DataFrame, schema: T.StructType, path: str) -> DataFrame:
     """Replaces a table with rows of a declared schema and returns (expected, written) row counts."""
-    rows = typed(df, schema)
-    replace_table(rows, path)
-    written = df.sparkSession.read.schema(schema).parquet(path).agg(F.count(F.lit(1)))
-    return rows.agg(F.count(F.lit(1)).alias("expected_rows")).withColumn("written_rows", written.scalar())
+    # The rows are counted while they are written, so the source is read once.
+    seen = Observation()
+    replace_table(typed(df, schema).observe(seen, F.count(F.lit(1)).alias("expected_rows")), path)
+    written = df.sparkSession.read.schema(schema).parquet(path).agg(F.count(F.lit(1)).alias("written_rows"))
+    return written.select(F.lit(seen.get["expected_rows"]).cast("long").alias("expected_rows"), "written_rows")

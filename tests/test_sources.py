@@ -4,9 +4,10 @@ import pytest
 from pyspark.sql import functions as F, types as T
 
 from marketspark.functions.lineage import shared
-from marketspark.operators import metrics, opportunities
+from marketspark.functions.periods import Period
+from marketspark.operators import anomalies, charts, metrics, opportunities, reports
 from marketspark.plans import bundles
-from marketspark.sources import readers, sinks
+from marketspark.sources import driver_tables as tables, readers, sinks
 from tests.test_market import BOUNDS, frame, sale
 
 
@@ -104,3 +105,24 @@ def test_shared_results_go_to_the_checkpoint_folder(spark):
     df = shared(spark.range(10).withColumn("x", F.col("id") * 2))
     assert df.agg(F.sum("x")).first()[0] == 90
     assert list(Path(folder).rglob("part-*"))
+
+
+def test_periods_read_only_the_folders_of_their_years(spark, tmp_path):
+    sales = tables.transactions(spark, "/root/testdata/sf0.001", "area", "type", "developer", "project", "rooms")
+    sinks.append_version(sales, str(tmp_path / "sales"), 1)
+    stored = spark.read.parquet(str(tmp_path / "sales")).where("version_id = 1")
+    q2 = Period(1997, "quarterly", 2)
+    for df in (reports.period_metrics(stored, q2), reports.top_performers(stored, q2), anomalies.volume_spikes(stored, q2), charts.monthly_trend(stored, 1997)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "transaction_year" in plan
+        scans = [x for x in df._jdf.queryExecution().executedPlan().toString().split("\n") if "PartitionFilters" in x]
+        assert scans and all("transaction_year" in x.split("PartitionFilters")[1].split("PushedFilters")[0] for x in scans)
+    assert reports.period_metrics(stored, q2).first() == reports.period_metrics(sales, q2).first()
+
+
+def test_appending_a_version_twice_keeps_one(spark, tmp_path):
+    sales = tables.transactions(spark, "/root/testdata/sf0.001").limit(50)
+    for version in (1, 2, 1):
+        sinks.append_version(sales, str(tmp_path / "again"), version)
+    stored = spark.read.parquet(str(tmp_path / "again"))
+    assert {r["version_id"]: r["count"] for r in stored.groupBy("version_id").count().collect()} == {1: 50, 2: 50}
