@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -42,6 +43,30 @@ def settled(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def joined(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null equals null, with the columns of the left side named once."""
+    right = right.withColumnsRenamed({c: f"{c}__r" for c in on})
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}__r"))
+    return left.join(right, same, how).drop(*[f"{c}__r" for c in on])
+
+
+def joined_spread(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """The same join for a left side in which one key may hold a large part of all rows.
+
+    `right` must be stored. Its size is checked: up to 8 MB it is broadcast, beyond that its rows are copied to 32
+    salts over which the rows of every key on the left are dealt.
+    """
+    size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in right.columns), F.lit(32))
+    if (right.agg(F.sum(size)).first()[0] or 0) <= 8 << 20:
+        return joined(left, F.broadcast(right), on, how)
+    salts = 32
+    left = left.withColumn("salt__", F.floor(F.rand(1) * salts).cast("int"))
+    right = right.withColumn("salt__", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return joined(left, right, [*on, "salt__"], how).drop("salt__")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     # Python workers import this package from where the driver did, whatever folder the driver was started in.
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))

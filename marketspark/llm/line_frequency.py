@@ -12,8 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from marketspark.llm.common import SPACES, line_hash, lower_ascii, settled, words
-from marketspark.llm.mixing import joined
+from marketspark.llm.common import SPACES, joined, joined_spread, line_hash, lower_ascii, settled, words
 
 SYMBOLS = "[#*$%&|<>]"
 LINE = ["host", "h1", "h2"]
@@ -90,7 +89,8 @@ def judged(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     # Written once: all texts are read a single time, and the row numbers stay as they are.
     rows = settled(rows.withColumn("row", F.monotonically_increasing_id()), "quality-rows")
     items = rows.select("row", "host", F.col("doc_id").alias("holder"), F.inline("items"))
-    removed = joined(items.select("row", *LINE, "chars"), frequent_lines(items, limits), LINE).groupBy("row").agg(F.sum("chars").alias("removed"))
+    above = settled(frequent_lines(items, limits), "quality-lines")
+    removed = joined_spread(items.select("row", *LINE, "chars"), above, LINE).groupBy("row").agg(F.sum("chars").alias("removed"))
     rows = rows.withColumn("line_chars", F.expr("aggregate(items.chars, 0L, (s, x) -> s + x)")).drop("items", "host")
     rows = rows.join(removed, "row", "left").drop("row").withColumn("removed_chars", F.coalesce("removed", F.lit(0)).cast("long"))
     left = F.col("line_chars") - F.col("removed_chars")

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from marketspark.llm.common import settled, word_count
+from marketspark.llm.common import joined, joined_spread, settled, word_count
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -29,15 +29,6 @@ def hash_key(seed: str, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, KEY_BITS // 4), 16, 10).cast("long")
 
 
-def joined(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join in which null equals null, with the columns of the left side named once."""
-    right = right.withColumnsRenamed({c: f"{c}__r" for c in on})
-    same = F.lit(True)
-    for c in on:
-        same = same & F.col(c).eqNullSafe(F.col(f"{c}__r"))
-    return left.join(right, same, how).drop(*[f"{c}__r" for c in on])
-
-
 def prefix_sums(rows: DataFrame, by: str, key: str, amount: str, ranges: int) -> DataFrame:
     """Rows (by, key, amount), each pair of by and key once, with `before`: the sum over the smaller keys of the group."""
     rows = rows.withColumn("range", F.floor(F.col(key) / ((1 << KEY_BITS) // ranges + 1)).cast("int"))
@@ -91,10 +82,10 @@ def cuts(keyed: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SH
     plan = settled(plan.withColumn("rest", budget - F.col("epochs") * F.col("source_size")), "mix-plan")
     ranges = max(1, keyed.count() // ROWS_PER_RANGE)
     single = keyed.groupBy("source", "key").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows"))
-    placed = joined(prefix_sums(single, "source", "key", "size", ranges), plan.select("source", "rest"), ["source"])
+    placed = joined_spread(prefix_sums(single, "source", "key", "size", ranges), plan.select("source", "rest"), ["source"])
     at = placed.where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("size") > F.col("rest")))
     at = at.select("source", F.col("key").alias("cut_key"), F.col("size").alias("cut_size"), F.col("rows").alias("cut_rows"), (F.col("rest") - F.col("before")).alias("cut_rest"))
-    return joined(plan.drop("rest"), at, ["source"], "left")
+    return settled(joined(plan.drop("rest"), at, ["source"], "left"), "mix-cuts")
 
 
 def keyed_rows(docs: DataFrame) -> DataFrame:
@@ -111,7 +102,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     take nothing; a source without words has target 0. An empty table gives no rows.
     """
     keyed = settled(keyed_rows(docs), "mix-keys")
-    at = joined(keyed, cuts(keyed, weights, share, most), ["source"])
+    at = joined_spread(keyed, cuts(keyed, weights, share, most), ["source"])
     last = F.when(F.col("key") < F.col("cut_key"), F.col("size")).when(F.col("key") == F.col("cut_key"), F.floor(F.col("cut_rest") / F.col("cut_rows"))).otherwise(0)
     return at.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + last).cast("long").alias("taken"))
 
@@ -127,5 +118,5 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share:
     rows = docs.select(F.struct(*docs.columns).alias("doc"), "source", hash_key(SEED, F.col("doc_id").cast("long"), size).alias("key"))
     once_more = F.coalesce((F.col("key") < F.col("cut_key")) | ((F.col("key") == F.col("cut_key")) & F.col("cut_in")), F.lit(False))
     copies = (F.col("epochs") + once_more.cast("int")).cast("int")
-    taken = joined(rows, cut, ["source"]).withColumn("copies", copies).where("copies > 0")
+    taken = joined_spread(rows, cut, ["source"]).withColumn("copies", copies).where("copies > 0")
     return taken.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("epoch")).select("doc.*")
