@@ -114,11 +114,11 @@ def g7(spark, sf):
     return search.page_queries(rows_of(spark, sf))
 
 
-@register("g7_nested_queries", PQ + "SELECT page, count(*) AS queries, array_to_string(list(query || '=' || clicks || '/' || impressions ORDER BY clicks DESC, impressions DESC, query), '; ') AS query_list FROM pq GROUP BY 1")
+@register("g7_nested_queries", PQ + "SELECT page, 0 AS part, count(*) AS queries, array_to_string(list(query || '=' || clicks || '/' || impressions ORDER BY clicks DESC, impressions DESC, query), '; ') AS query_list FROM pq GROUP BY 1")
 def g7b(spark, sf):
     df = search.nested_queries(search.page_queries(rows_of(spark, sf)))
     shown = F.transform("query_list", lambda s: F.concat(s["query"], F.lit("="), s["clicks"].cast("string"), F.lit("/"), s["impressions"].cast("string")))
-    return df.select("page", "queries", F.array_join(shown, "; ").alias("query_list"))
+    return df.select("page", "part", "queries", F.array_join(shown, "; ").alias("query_list"))
 
 
 def _cover(text, words):
@@ -218,7 +218,7 @@ ao AS (SELECT page, query, query_rank, min(name) AS name, impressions, position,
 
 def opportunities(spark, sf, table):
     names = tables.table(spark, sf, "part").select(F.col("p_name").alias("name")).distinct()
-    return search.area_opportunities(table, names, "name", longest=2)
+    return search.area_opportunities(table, names, "name")
 
 
 @register("g14_area_opportunities", COVER + AREA_OPPS + "SELECT * FROM ao", r6="position")

@@ -302,7 +302,7 @@ def x6(spark, sf):
     for table, c in (("supplier", "s_name"), ("part", "p_name"), ("nation", "n_name")):
         part = tables.table(spark, sf, table).select(F.col(c).alias("name"))
         names = part if names is None else names.unionByName(part)
-    return claims.mentions(_reports(spark, sf), names.distinct(), "name", longest=2)
+    return claims.mentions(_reports(spark, sf), names.distinct(), "name")
 
 
 @register("x7_stale_years", REPORTS + r""", t AS (SELECT doc_id, text FROM named UNION ALL SELECT CAST(doc_id AS VARCHAR), text FROM documents),

@@ -13,20 +13,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# An input up to this size is aggregated with the built-in percentile, whose buffer holds one entry
-# per distinct value of a group and so cannot outgrow the input. Beyond it ranks are used.
-BUILT_IN_PERCENTILE_BYTES = 256 * 1024 * 1024
+from marketspark.functions.lineage import shared
 
 # Longest list of names written as one text value; longer lists are served as rows.
 NAME_LIST_LIMIT = 500
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Size of everything the frame reads, from scan statistics; runs no job."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-
-
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Equi-join on keys that may be NULL, keeping the left keys. Without keys `right` must be one row."""
     if not keys:
@@ -53,124 +45,125 @@ def summarise(
     aggregates: Sequence[Column],
     quantiles: Sequence[Quantile] = (),
     distinct: Mapping[str, str] | None = None,
-    built_in: bool | None = None,
 ) -> DataFrame:
     """Grouped aggregates together with exact percentiles and numbers of distinct values.
 
-    Distinct counts repeat every row once per counted column, so they are kept out of the aggregate
-    that carries prices and percentiles: each part scans only its own columns, and the two small
-    results are joined. Small inputs use the built-in percentile; large ones compute percentiles by
-    rank, see exact_quantiles.
+    Distinct counts repeat every row once per counted column, and percentiles go by rank (exact_quantiles), so each
+    is kept out of the aggregate that carries sums: each part scans only its own columns, and the small results are
+    joined.
     """
     keys = list(keys)
-    if built_in is None:
-        built_in = not quantiles or input_bytes(df) <= BUILT_IN_PERCENTILE_BYTES
-    wanted = {c: [q for q in quantiles if q.column == c] for c in dict.fromkeys(q.column for q in quantiles)}
-    if built_in:
-        exact = [
-            F.percentile(F.col(c).cast("double"), F.array(*[F.lit(q.p) for q in qs])).alias(f"__q_{c}") for c, qs in wanted.items()
-        ]
-        result = df.groupBy(*keys).agg(*aggregates, *exact)
-        result = result.withColumns({q.name: F.col(f"__q_{c}")[i] for c, qs in wanted.items() for i, q in enumerate(qs)})
-        result = result.drop(*[f"__q_{c}" for c in wanted])
-    else:
-        result = df.groupBy(*keys).agg(*aggregates)
-        for c, qs in wanted.items():
-            result = join_on(result, exact_quantiles(df, keys, c, {q.name: q.p for q in qs}), keys)
+    result = df.groupBy(*keys).agg(*aggregates) if aggregates else df.select(*keys).distinct()
+    if quantiles:
+        result = join_on(result, exact_quantiles(df, keys, quantiles), keys)
     if not distinct:
         return result
     counts = [F.countDistinct(c).alias(name) for name, c in distinct.items()]
     return join_on(result, df.groupBy(*keys).agg(*counts), keys)
 
 
+# Bins per factor of e: one is 0.003% wide, and values up to 10^12 in size fall into at most two million of them.
+_BINS = 32768.0
+
+
 def order_bin(value: Column) -> Column:
-    """Order-preserving bin, 0.2% wide: at most some ten thousand bins for any range of values."""
-    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * 512.0)
+    """Order-preserving bin: their number is bounded for any number of rows."""
+    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * _BINS)
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], column: str, wanted: Mapping[str, float]) -> DataFrame:
-    """Exact interpolated percentiles without gathering any group.
+def exact_quantiles(df: DataFrame, keys: Sequence[str], quantiles: Sequence[Quantile]) -> DataFrame:
+    """Exact interpolated percentiles of one or more columns without gathering any group.
 
-    Values are counted per (group, value), which spreads even one huge group over all tasks, then
-    per (group, bin). A running count over the few bins of a group locates the bins that hold the
-    wanted ranks, and only the values of those bins are ordered.
+    Values of all columns are counted per (group, column, value), which spreads even one huge group over all tasks,
+    then per bin. A running count over the bins of a group locates those that hold the wanted ranks, and only their
+    values are ordered.
     """
     keys = list(keys)
-    value = F.col(column).cast("double")
+    columns = list(dict.fromkeys(q.column for q in quantiles))
+    values = [F.struct(F.lit(i).alias("__c"), F.col(c).cast("double").alias("__v")) for i, c in enumerate(columns)]
     counts = (
-        df.where(value.isNotNull())
-        .groupBy(*keys, value.alias("__v"))
+        df.select(*keys, F.explode(F.array(*values)).alias("__x"))
+        .select(*keys, "__x.*")
+        .where(F.col("__v").isNotNull())
+        .groupBy(*keys, "__c", "__v")
         .agg(F.count(F.lit(1)).alias("__n"))
         .withColumn("__bin", order_bin(F.col("__v")))
     )
-    group = Window.partitionBy(*(keys or [F.lit(0)]))
+    group = Window.partitionBy(*keys, "__c")
     bins = (
-        counts.groupBy(*keys, "__bin")
+        counts.groupBy(*keys, "__c", "__bin")
         .agg(F.sum("__n").alias("__bin_n"))
         .withColumn("__total", F.sum("__bin_n").over(group))
         .withColumn("__upto", F.sum("__bin_n").over(group.orderBy("__bin")))
         .withColumn("__before", F.col("__upto") - F.col("__bin_n"))
     )
 
-    def position(p: float) -> Column:
-        return (F.col("__total") - 1) * F.lit(float(p))
+    def position(q: Quantile, total: str = "__total") -> Column:
+        return (F.col(total) - 1) * F.lit(float(q.p))
 
-    def covers(rank: Column, start: Column, size: Column) -> Column:
-        return (rank >= start) & (rank < start + size)
+    def covers(q: Quantile, rank: Column, start: Column, size: Column) -> Column:
+        return (F.col("__c") == columns.index(q.column)) & (rank >= start) & (rank < start + size)
 
     hit = F.lit(False)
-    for p in wanted.values():
-        for rank in (F.floor(position(p)), F.ceil(position(p))):
-            hit = hit | covers(rank, F.col("__before"), F.col("__bin_n"))
-    located = bins.where(hit).select(*keys, "__bin", "__before", "__total")
-    inside = Window.partitionBy(*keys, "__bin").orderBy("__v")
-    values = join_on(counts, located, [*keys, "__bin"], "inner").withColumn(
+    for q in quantiles:
+        for rank in (F.floor(position(q)), F.ceil(position(q))):
+            hit = hit | covers(q, rank, F.col("__before"), F.col("__bin_n"))
+    located = bins.where(hit).select(*keys, "__c", "__bin", "__before", "__total")
+    inside = Window.partitionBy(*keys, "__c", "__bin").orderBy("__v")
+    ranked = join_on(counts, located, [*keys, "__c", "__bin"], "inner").withColumn(
         "__start", F.col("__before") + F.sum("__n").over(inside) - F.col("__n")
     )
-    picks = [F.max("__total").alias("__total")]
-    for i, p in enumerate(wanted.values()):
-        for side, rank in (("lo", F.floor(position(p))), ("hi", F.ceil(position(p)))):
-            picked = F.when(covers(rank, F.col("__start"), F.col("__n")), F.col("__v"))
+    picks = [F.max(F.when(F.col("__c") == i, F.col("__total"))).alias(f"__total{i}") for i in range(len(columns))]
+    for i, q in enumerate(quantiles):
+        for side, rank in (("lo", F.floor(position(q))), ("hi", F.ceil(position(q)))):
+            picked = F.when(covers(q, rank, F.col("__start"), F.col("__n")), F.col("__v"))
             picks.append(F.max(picked).alias(f"__{side}{i}"))
-    found = values.groupBy(*keys).agg(*picks)
+    found = ranked.groupBy(*keys).agg(*picks)
     out = []
-    for i, (name, p) in enumerate(wanted.items()):
-        low, high = F.floor(position(p)), F.ceil(position(p))
-        between = (high - position(p)) * F.col(f"__lo{i}") + (position(p) - low) * F.col(f"__hi{i}")
-        out.append(F.when(low == high, F.col(f"__lo{i}")).otherwise(between).alias(name))
+    for i, q in enumerate(quantiles):
+        at = position(q, f"__total{columns.index(q.column)}")
+        low, high = F.floor(at), F.ceil(at)
+        between = (high - at) * F.col(f"__lo{i}") + (at - low) * F.col(f"__hi{i}")
+        out.append(F.when(low == high, F.col(f"__lo{i}")).otherwise(between).alias(q.name))
     return found.select(*keys, *out)
 
 
 def ordered_members(
     df: DataFrame, keys: Sequence[str], value: str, *ties: Column | str, rank: str = "position"
 ) -> DataFrame:
-    """Rows of each group numbered by falling value, without sorting a whole group in one task.
+    """Rows of each group numbered by falling value, then ties, without sorting a whole group in one task."""
+    return ranked_in_order(df, keys, [F.desc(value), *ties], rank)
+
+
+def ranked_in_order(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], rank: str) -> DataFrame:
+    """Rows of each group numbered in an order.
 
-    Rows are numbered inside (group, bin); the sizes of the bins above give the offset.
+    Rows are range-partitioned by keys and the whole order, so a group whose first values are all equal is split as
+    well, and numbered inside each part of a group; the sizes of the parts before give the offset.
     """
     keys = list(keys)
-    binned = df.withColumn("__bin", order_bin(F.col(value)))
-    above = Window.partitionBy(*keys).orderBy(F.desc("__bin"))
+    # The numbers of the parts must be the same for rows and sizes, hence the result is shared.
+    parts = shared(df.repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id()))
+    before = Window.partitionBy(*keys).orderBy("__part")
     offsets = (
-        binned.groupBy(*keys, "__bin")
+        parts.groupBy(*keys, "__part")
         .agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__offset", F.sum("__n").over(above) - F.col("__n"))
+        .withColumn("__offset", F.sum("__n").over(before) - F.col("__n"))
         .drop("__n")
     )
-    inside = Window.partitionBy(*keys, "__bin").orderBy(F.desc(value), *ties)
-    numbered = binned.withColumn("__row", F.row_number().over(inside))
+    numbered = parts.withColumn("__row", F.row_number().over(Window.partitionBy(*keys, "__part").orderBy(*order)))
     return (
-        join_on(numbered, offsets, [*keys, "__bin"], "inner")
+        join_on(numbered, offsets, [*keys, "__part"], "inner")
         .withColumn(rank, F.col("__offset") + F.col("__row"))
-        .drop("__bin", "__row", "__offset")
+        .drop("__part", "__row", "__offset")
     )
 
 
 def name_list(df: DataFrame, keys: Sequence[str], column: str, name: str, limit: int = NAME_LIST_LIMIT) -> DataFrame:
-    """Sorted distinct names of each group as one text value.
+    """Sorted distinct names of each group as one text value: the first part of name_parts.
 
-    A group with more than `limit` names gets NULL: its names are read from name_rows, which is whole.
-    The row-number filter is applied before the shuffle as well, so no task holds more than the limit.
+    A list of up to `limit` names is whole; a longer one goes on in the further parts. The row-number filter is
+    applied before the shuffle as well, so no task holds more than the limit.
     """
     keys = list(keys)
     order = Window.partitionBy(*keys).orderBy(column)
@@ -179,10 +172,22 @@ def name_list(df: DataFrame, keys: Sequence[str], column: str, name: str, limit:
         .select(*keys, column)
         .distinct()
         .withColumn("__row", F.row_number().over(order))
-        .where(F.col("__row") <= limit + 1)
+        .where(F.col("__row") <= limit)
     )
-    text = F.array_join(F.array_sort(F.collect_list(column)), ", ")
-    return few.groupBy(*keys).agg(F.when(F.count(F.lit(1)) <= limit, text).alias(name))
+    return few.groupBy(*keys).agg(_joined_names(column).alias(name))
+
+
+def _joined_names(column: str) -> Column:
+    return F.array_join(F.array_sort(F.collect_list(column)), ", ")
+
+
+def name_parts(df: DataFrame, keys: Sequence[str], column: str, name: str, limit: int = NAME_LIST_LIMIT) -> DataFrame:
+    """All sorted distinct names of each group as numbered texts (part 0, 1, ...) of up to `limit` names."""
+    keys = list(keys)
+    distinct = df.where(F.col(column).isNotNull()).select(*keys, column).distinct()
+    placed = ranked_in_order(distinct, keys, [F.col(column).asc()], "__place")
+    part = F.floor((F.col("__place") - 1) / limit).cast("int").alias("part")
+    return placed.groupBy(*keys, part).agg(_joined_names(column).alias(name))
 
 
 def name_rows(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:

@@ -130,11 +130,15 @@ def words(text: Column | str) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_#]+"), lambda w: w != "")
 
 
-def mentions(docs: DataFrame, names: DataFrame, name: str, id_column: str = "doc_id", text: str = "text", longest: int = 4) -> DataFrame:
+def mentions(docs: DataFrame, names: DataFrame, name: str, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """Known names in each text, with how often: word runs of the text joined to the names by equality.
 
-    `longest` is the number of words of the longest name; names are compared word by word.
+    Runs have the lengths that the names have, so a name of any number of words is found; names are compared word by word.
     """
+    keyed = names.select(F.col(name), words(name).alias("__w")).select(F.col(name), F.array_join("__w", " ").alias("gram"), F.size("__w").alias("__n"))
+    keyed = keyed.where("gram <> ''").distinct()
+    lengths = sorted(r["__n"] for r in keyed.select("__n").distinct().collect())  # a few small numbers
+
     def runs(n: int) -> Column:
         starts = F.when(F.size("__w") >= n, F.sequence(F.lit(1), F.size("__w") - n + 1))
         return F.transform(F.coalesce(starts, F.array().cast("array<int>")), lambda i: F.array_join(F.slice("__w", i, n), " "))
@@ -142,11 +146,10 @@ def mentions(docs: DataFrame, names: DataFrame, name: str, id_column: str = "doc
     # Counted per document before the join, so that a frequent word moves once per document.
     grams = (
         docs.select(id_column, words(text).alias("__w"))
-        .select(id_column, F.explode(F.concat(*[runs(n) for n in range(1, longest + 1)])).alias("gram"))
+        .select(id_column, F.explode(F.concat(F.array().cast("array<string>"), *[runs(n) for n in lengths])).alias("gram"))
         .groupBy(id_column, "gram")
         .agg(F.count(F.lit(1)).alias("mentions"))
     )
-    keyed = names.select(F.col(name), F.array_join(words(name), " ").alias("gram")).where("gram <> ''").distinct()
     return grams.join(keyed, "gram").select(id_column, name, "mentions")
 
 

@@ -132,17 +132,17 @@ def query_shortlists(scored: DataFrame) -> DataFrame:
 
 
 def nested_queries(per_query: DataFrame, limit: int = 500) -> DataFrame:
-    """Queries of every page as one list, most clicked first.
+    """Queries of every page as lists, most clicked first.
 
-    A page with more than `limit` queries has NULL and keeps its queries as rows of page_queries, so
-    that no task gathers a list of unknown length.
+    A list holds up to `limit` queries; a page with more has further parts (part 0, 1, ...), so every query is in a
+    list and no task gathers one of unknown length.
     """
     counts = per_query.groupBy("page").agg(rows().alias("queries"))
-    few = _ranked(per_query, limit, F.desc("clicks"), F.desc("impressions"), "query")
+    placed = ordered_members(per_query, ["page"], "clicks", F.desc("impressions"), "query", rank="query_rank")
     entry = F.struct("query_rank", "query", "clicks", "impressions", "ctr", "position")
-    lists = few.groupBy("page").agg(F.array_sort(F.collect_list(entry)).alias("query_list"))
-    joined = counts.join(lists, "page")
-    return joined.withColumn("query_list", F.when(F.col("queries") <= limit, F.col("query_list")))
+    part = F.floor((F.col("query_rank") - 1) / limit).cast("int").alias("part")
+    lists = placed.groupBy("page", part).agg(F.array_sort(F.collect_list(entry)).alias("query_list"))
+    return counts.join(lists, "page")
 
 
 def _coverage(text: str, terms: str) -> Column:
@@ -301,12 +301,12 @@ def quick_wins(scored: DataFrame, gaps: DataFrame, min_impressions: int = 30) ->
     )
 
 
-def area_opportunities(scored: DataFrame, names: DataFrame, name: str, limit: int = 10, longest: int = 4) -> DataFrame:
+def area_opportunities(scored: DataFrame, names: DataFrame, name: str, limit: int = 10) -> DataFrame:
     """Leading opportunity queries that mention a known name, with the clicks new content might bring."""
     picked = opportunity_queries(scored, limit)
     # Mentions are found once per distinct query, not once per page.
     queries = picked.select(F.col("query").alias("doc_id"), F.col("query").alias("text")).distinct()
-    named = mentions(queries, names, name, longest=longest).groupBy("doc_id").agg(F.min(name).alias(name))
+    named = mentions(queries, names, name).groupBy("doc_id").agg(F.min(name).alias(name))
     return picked.join(named, F.col("query") == F.col("doc_id")).select(
         "page", "query", "query_rank", name, "impressions", "position",
         (F.col("impressions") * NEW_AREA_CTR).cast("long").alias("potential_clicks"),

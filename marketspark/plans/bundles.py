@@ -1,7 +1,7 @@
 """Fixed combinations of jobs: metric rebuilds, report intelligence and chart data.
 
-A bundle returns named DataFrames. Nothing runs until one is used; pass sales through lineage.shared
-to compute them once for the whole bundle.
+A bundle returns named DataFrames. Nothing runs until one is used, but for numbered members, which are written when
+they are built; pass sales through lineage.shared to compute them once for the whole bundle.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from marketspark.config import MarketConfig
 from marketspark.functions.lineage import shared
 from marketspark.functions.periods import Period
-from marketspark.functions.scale import join_on, name_rows
+from marketspark.functions.scale import join_on, name_parts, name_rows
 from marketspark.operators import anomalies, charts, metrics, opportunities, profiles, supply, trends
 from marketspark.sources.sinks import replace_table
 
@@ -39,9 +39,29 @@ def metric_tables(sales: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+# Lists of names in metric tables: table with all their parts, keys, column, name; and the sales they are of.
+NAME_LISTS = (
+    ("metrics_area_developer_lists", ("area_name_en",), "developer", "top_developers", None),
+    ("metrics_area_metro_lists", ("area_name_en",), "nearest_metro_en", "nearby_metros", None),
+    ("metrics_area_mall_lists", ("area_name_en",), "nearest_mall_en", "nearby_malls", None),
+    ("metrics_luxury_project_lists", ("area_name_en", "transaction_year", "transaction_month"), "project_name_en", "luxury_projects", "is_luxury"),
+    ("metrics_luxury_developer_lists", ("area_name_en", "transaction_year", "transaction_month"), "developer", "luxury_developers", "is_luxury"),
+    ("metrics_luxury_year_project_lists", ("area_name_en", "transaction_year"), "project_name_en", "luxury_projects", "is_luxury"),
+    ("metrics_project_unit_type_lists", ("project_name_en", "developer", "area_name_en", "transaction_type"), "rooms_en", "unit_types_available", "project_name_en <> ''"),
+)
+
+
+def name_tables(sales: DataFrame) -> dict[str, DataFrame]:
+    """The whole lists behind the name columns of the metric tables, in numbered parts."""
+    return {
+        table: name_parts(sales.where(only) if only else sales, keys, column, name) for table, keys, column, name, only in NAME_LISTS
+    }
+
+
 def rebuild_all(sales: DataFrame, folder: str) -> list[str]:
-    """Computes the verified sales once and replaces every metric table below a folder."""
-    tables = metric_tables(shared(sales))
+    """Computes the verified sales once and replaces every metric table and name list below a folder."""
+    sales = shared(sales)
+    tables = metric_tables(sales) | name_tables(sales)
     for name, table in tables.items():
         replace_table(table, f"{folder}/{name}")
     return list(tables)

@@ -89,9 +89,9 @@ def test_phrases_mentions_and_years(spark):
     )
     issues = {r["doc_id"]: (r["phrases"], r["names_subject"], r["is_valid"]) for r in claims.content_issues(docs).collect()}
     assert issues == {"a": (["expected to"], True, False), "b": ([], False, False)}
-    names = spark.createDataFrame([("Dubai Marina",), ("Marina",), ("Palm",)], "name string")
-    got = {(r["doc_id"], r["name"]): r["mentions"] for r in claims.mentions(docs, names, "name", longest=2).collect()}
-    assert got == {("a", "Dubai Marina"): 2, ("a", "Marina"): 2, ("b", "Marina"): 1}
+    names = spark.createDataFrame([("Dubai Marina",), ("Marina",), ("Palm",), ("Rise in Dubai Marina Dubai Marina",)], "name string")
+    got = {(r["doc_id"], r["name"]): r["mentions"] for r in claims.mentions(docs, names, "name").collect()}
+    assert got == {("a", "Dubai Marina"): 2, ("a", "Marina"): 2, ("b", "Marina"): 1, ("a", "Rise in Dubai Marina Dubai Marina"): 1}
     years = {r["doc_id"]: r["y"] for r in docs.select("doc_id", claims.stale_year("text", 2013).alias("y")).collect()}
     assert years == {"a": None, "b": 2011}
     assert docs.select(claims.stale_year("text", 2012)).where("doc_id = 'b'").first()[0] is None
@@ -134,8 +134,9 @@ def test_cohorts_and_study(spark):
     assert study["position"] == (5.0, pytest.approx((8 * 20 + 3 * 5 + 5 * 5) / 30))
 
 
-def test_long_query_lists_stay_rows(spark):
+def test_long_query_lists_go_on_in_parts(spark):
     scored = _queries(spark, [(f"q{i}", i, 10 + i, 5) for i in range(6)])
-    assert search.nested_queries(scored, limit=5).first()["query_list"] is None
+    parts = {r["part"]: [q["query"] for q in r["query_list"]] for r in search.nested_queries(scored, limit=5).collect()}
+    assert parts == {0: ["q5", "q4", "q3", "q2", "q1"], 1: ["q0"]}
     assert len(search.nested_queries(scored, limit=6).first()["query_list"]) == 6
     assert scored.select(F.max("opportunity_score")).first()[0] <= 100
