@@ -8,7 +8,7 @@ from marketspark.catalog.registry import TX, register
 from marketspark.config import PriceRule
 from marketspark.operators import ingest
 from marketspark.sources import driver_tables as tables
-from marketspark.sources.readers import source_profile
+from marketspark.sources.readers import SUPPLY_COLUMNS, TRANSACTIONS, parse_supply, parse_transactions, read_warehouse, source_profile
 
 # Price limits that select something in the sample data, by part type.
 SAMPLE_RULES = {
@@ -39,10 +39,41 @@ def s1(spark, sf):
 SELECT l_orderkey, l_linenumber, l_extendedprice, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS evidence_date
 FROM lineitem WHERE l_shipdate >= '2000-01-01' AND l_shipdate < '2001-01-01'""")
 def s2(spark, sf):
-    df = tables.table(spark, sf, "lineitem").where("l_shipdate >= timestamp'2000-01-01' AND l_shipdate < timestamp'2001-01-01'")
+    df = read_warehouse(spark, f"{sf}/lineitem.parquet", ["l_orderkey", "l_linenumber", "l_extendedprice", "l_shipdate"], year=2000, day="l_shipdate")
     return df.select("l_orderkey", "l_linenumber", "l_extendedprice", F.col("l_shipdate").cast("date").cast("string").alias("evidence_date"))
 
 
+# Every sale written as a line of the transactions file and read again with the reader's schema and options.
+@register("s1_transactions_csv", """
+SELECT l_orderkey || '-' || l_linenumber AS transaction_id, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS instance_date, l_returnflag AS reg_type_en,
+  CAST(l_suppkey AS VARCHAR) AS area_name_en, l_quantity AS procedure_area, l_extendedprice AS actual_worth FROM lineitem""", r2="actual_worth procedure_area")
+def s1b(spark, sf):
+    blank = F.lit(None).cast("string")
+    given = {
+        "transaction_id": F.concat_ws("-", "l_orderkey", "l_linenumber"), "instance_date": F.col("l_shipdate").cast("date").cast("string"), "reg_type_en": F.col("l_returnflag"),
+        "area_name_en": F.col("l_suppkey").cast("string"), "procedure_area": F.col("l_quantity").cast("string"), "actual_worth": F.col("l_extendedprice").cast("decimal(18,2)").cast("string"),
+    }
+    fields = [given.get(f.name, blank).alias(f.name) for f in TRANSACTIONS.fields]
+    lines = tables.table(spark, sf, "lineitem").select(F.to_csv(F.struct(*fields), {"nullValue": "null"}).alias("line"))
+    return parse_transactions(lines).select(*given)
+
+
+# The same for the supply list.
+@register("s3_supply_csv", """
+SELECT CAST(o_orderkey AS VARCHAR) AS project_id, 'Tower, "' || o_orderkey || '"' AS project_name, CAST(o_custkey AS VARCHAR) AS developer,
+  CAST(o_orderkey % 500 AS INTEGER) AS total_units, CAST(o_orderkey % 101 AS INTEGER) AS completion_percentage FROM orders""")
+def s3b(spark, sf):
+    blank = F.lit(None).cast("string")
+    key = F.col("o_orderkey")
+    given = {
+        "ID": key.cast("string"), "Project_Name": F.concat(F.lit('Tower, "'), key.cast("string"), F.lit('"')), "Developer": F.col("o_custkey").cast("string"),
+        "Total_Units": (key % 500).cast("double").cast("string"), "Completion_Percentage": (key % 101).cast("double").cast("string"),
+    }
+    fields = [given.get(c, blank).alias(c) for c in SUPPLY_COLUMNS]
+    lines = tables.table(spark, sf, "orders").select(F.to_csv(F.struct(*fields)).alias("line"))
+    return parse_supply(lines).select("project_id", "project_name", "developer", "total_units", "completion_percentage")
+
+
 @register("s11_source_profile", TX + """
 SELECT 'overall' AS section, 'rows' AS key, CAST(count(*) AS VARCHAR) AS value FROM tx
 UNION ALL SELECT 'overall', 'first_date', CAST(min(instance_date) AS VARCHAR) FROM tx

@@ -178,14 +178,14 @@ study AS (SELECT *, {growth("transactions_1", "transactions_2")} AS growth_2_pct
   CASE WHEN transactions_1 > 0 THEN round((pow(transactions_3::DOUBLE / transactions_1, 0.5) - 1) * 100, 2) WHEN transactions_3 > 0 THEN 999999.0 ELSE 0.0 END AS compound_growth_pct
   FROM g),
 reasons AS (SELECT *, list_filter([
-  CASE WHEN transactions_1 > 0 AND transactions_1 < 50 THEN 'Small 1999 base (' || transactions_1 || ' transactions)' END,
-  CASE WHEN abs(growth_2_pct) > 200 AND abs(change_2) < 100 THEN 'High growth % (' || round(growth_2_pct, 1) || '%) but only ' || abs(change_2) || ' transaction change (2000)' END,
-  CASE WHEN abs(growth_3_pct) > 200 AND abs(change_3) < 100 THEN 'High growth % (' || round(growth_3_pct, 1) || '%) but only ' || abs(change_3) || ' transaction change (2001)' END,
-  CASE WHEN least(transactions_1, transactions_2, transactions_3) < 10 THEN 'Very low volume: ' || array_to_string(list_filter([
-    CASE WHEN transactions_1 < 10 THEN '1999 (' || transactions_1 || ')' END, CASE WHEN transactions_2 < 10 THEN '2000 (' || transactions_2 || ')' END,
-    CASE WHEN transactions_3 < 10 THEN '2001 (' || transactions_3 || ')' END], lambda x: x IS NOT NULL), ', ') END,
-  CASE WHEN growth_2_pct = 999999 THEN 'No 1999 transactions (infinite growth)' END,
-  CASE WHEN growth_3_pct = 999999 THEN 'No 2000 transactions (infinite growth)' END], lambda x: x IS NOT NULL) AS parts FROM study),
+  CASE WHEN transactions_1 > 0 AND transactions_1 < 50 THEN 'starts from ' || transactions_1 || ' sales in 1999' END,
+  CASE WHEN abs(growth_2_pct) > 200 AND abs(change_2) < 100 THEN '2000 moved by ' || round(growth_2_pct, 1) || '% on a difference of ' || abs(change_2) || ' sales' END,
+  CASE WHEN abs(growth_3_pct) > 200 AND abs(change_3) < 100 THEN '2001 moved by ' || round(growth_3_pct, 1) || '% on a difference of ' || abs(change_3) || ' sales' END,
+  CASE WHEN least(transactions_1, transactions_2, transactions_3) < 10 THEN 'hardly any sales: ' || array_to_string(list_filter([
+    CASE WHEN transactions_1 < 10 THEN transactions_1 || ' in 1999' END, CASE WHEN transactions_2 < 10 THEN transactions_2 || ' in 2000' END,
+    CASE WHEN transactions_3 < 10 THEN transactions_3 || ' in 2001' END], lambda x: x IS NOT NULL), ', ') END,
+  CASE WHEN growth_2_pct = 999999 THEN 'nothing sold in 1999 to grow from' END,
+  CASE WHEN growth_3_pct = 999999 THEN 'nothing sold in 2000 to grow from' END], lambda x: x IS NOT NULL) AS parts FROM study),
 flagged AS (SELECT * EXCLUDE (parts), array_to_string(parts, '; ') AS misleading_reason, len(parts) > 0 AS misleading_flag FROM reasons)"""
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from marketspark.catalog.registry import register
 from marketspark.operators import search
 from marketspark.sources import driver_tables as tables
+from marketspark.sources.readers import picked_search_rows
 
 LAUNCH = date(2024, 1, 16)
 
@@ -50,6 +51,11 @@ def s4(spark, sf):
     return rows_of(spark, sf).withColumn("date", F.col("date").cast("string"))
 
 
+@register("s4_search_rows_of_pages", SR + "SELECT * REPLACE (CAST(date AS VARCHAR) AS date), clicks::DOUBLE / impressions AS ctr FROM sr WHERE contains(page, '7')", r6="ctr position")
+def s4b(spark, sf):
+    return picked_search_rows(rows_of(spark, sf), page_contains="7").withColumn("date", F.col("date").cast("string"))
+
+
 @register("g1_page_performance", SR + f"SELECT page, {TOTALS} FROM sr GROUP BY 1", r6="ctr position")
 def g1(spark, sf):
     return search.page_performance(rows_of(spark, sf))

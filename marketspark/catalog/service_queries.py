@@ -109,6 +109,14 @@ def l5b(spark, sf):
     return detail["projects"].select("project_name_en", "area_name_en", "transaction_type", "tx_count", "avg_price")
 
 
+@register("l5_developer_metrics", TX + """SELECT developer, count(*) AS total_transactions, sum(actual_worth) AS total_sales_volume FROM tx WHERE developer = 'Supplier#000000007'
+GROUP BY 1""", r2="total_sales_volume")
+def l5c(spark, sf):
+    df = tables.transactions(spark, sf)
+    detail = lookups.developer_detail("Supplier#000000007", metrics.developer_metrics(df), metrics.project_metrics(df))
+    return detail["metrics"].select("developer", "total_transactions", "total_sales_volume")
+
+
 @register("l6_projects", TX + """SELECT project_name_en, developer, area_name_en, transaction_type, count(*) AS tx_count FROM tx WHERE transaction_type = 'Off-Plan' GROUP BY 1, 2, 3, 4 HAVING count(*) >= 6
 ORDER BY 5 DESC, 1, 2, 3, 4 LIMIT 50""")
 def l6(spark, sf):
@@ -307,6 +315,40 @@ def d12(spark, sf):
     )
 
 
+def _chart_sql(kind, segment, mix, names, name_column):
+    """Trend, mix and leading names of one kind of report in 2000."""
+    only = f" AND {segment}" if segment else ""
+    trend, parts, top = names
+    mixed = f"UNION ALL SELECT '{kind}', '{parts}', {mix}, count(*) FROM tx WHERE transaction_year = 2000 GROUP BY 3" if mix else ""
+    return f"""SELECT '{kind}' AS report, '{trend}' AS section, CAST(transaction_month AS VARCHAR) AS name, count(*)::DOUBLE AS value FROM tx WHERE transaction_year = 2000{only} GROUP BY 3
+{mixed} UNION ALL SELECT * FROM (SELECT '{kind}', '{top}', {name_column}, count(*) FROM tx WHERE transaction_year = 2000{only} GROUP BY 3 ORDER BY 4 DESC, 3 LIMIT 10)"""
+
+
+OFFPLAN_ONLY = "transaction_type = 'Off-Plan'"
+CHART_SQL = " UNION ALL ".join(
+    _chart_sql(*c) for c in (
+        ("luxury", "is_luxury", None, ("luxury_trend", "", "top_luxury_areas"), "area_name_en"),
+        ("offplan", OFFPLAN_ONLY, "transaction_type", ("offplan_trend", "offplan_vs_ready", "developer_pipeline"), "developer"),
+        ("area_guide", None, "property_type", ("price_trend", "property_types", "developer_share"), "developer"),
+        ("developer", None, None, ("transaction_volume", "", "project_areas"), "area_name_en"),
+    )
+)
+
+
+@register("d12_chart_data_of_reports", TX + CHART_SQL)
+def d12b(spark, sf):
+    sales = tables.transactions(spark, sf, "area", "developer", "type")
+    out = None
+    for report in ("luxury", "offplan", "area_guide", "developer"):
+        for section, df in bundles.chart_data(sales, report, 2000).items():
+            name = next(c for c in ("transaction_month", "segment", "name") if c in df.columns)
+            count = next(c for c in ("transaction_count", "tx_count") if c in df.columns)
+            part = df.select(F.lit(report).alias("report"), F.lit(section).alias("section"), F.col(name).cast("string").alias("name"), F.col(count).cast("double").alias("value"))
+            if section != "luxury_tiers":  # its bands are checked by d5
+                out = part if out is None else out.unionByName(part)
+    return out
+
+
 SIZES = {
     "metrics_area": M1, "metrics_monthly_trends": M3,
     "metrics_area_developers": "SELECT DISTINCT area_name_en, developer FROM tx",
@@ -359,13 +401,13 @@ def s8(spark, sf):
 
 
 @register("s9_slice_sizes", intel.STUDY + """SELECT 'all' AS slice, count(*) AS records FROM flagged UNION ALL SELECT 'top_legitimate', least(50, count(*)) FROM flagged WHERE NOT misleading_flag
-UNION ALL SELECT 'misleading', count(*) FROM flagged WHERE misleading_flag UNION ALL SELECT 'high_volume', count(*) FROM flagged WHERE transactions_2 > 12
+UNION ALL SELECT 'summary', 1 UNION ALL SELECT 'misleading', count(*) FROM flagged WHERE misleading_flag UNION ALL SELECT 'high_volume', count(*) FROM flagged WHERE transactions_2 > 12
 UNION ALL SELECT 'declining', count(*) FROM flagged WHERE compound_growth_pct < -10""")
 def s9(spark, sf):
     from marketspark.operators.opportunities import study_slices
 
     out = None
-    for name, df in study_slices(intel._flagged(spark, sf), high_volume=12).items():
+    for name, df in study_slices(intel._flagged(spark, sf), high_volume=12, years=intel.YEARS).items():
         part = df.agg(F.count(F.lit(1)).alias("records")).withColumn("slice", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out

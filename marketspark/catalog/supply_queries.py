@@ -332,12 +332,12 @@ def u10(spark, sf):
 
 @register("u11_market_alerts", AREAS + """
 SELECT * FROM (SELECT area, 'OVERSUPPLY' AS alert_type, CASE WHEN supply_demand_ratio > 10 THEN 'HIGH' ELSE 'MODERATE' END AS severity,
-  area || ': ' || supply_offplan_units || ' units for ' || demand_offplan_tx || ' transactions (ratio: ' || CAST(round(supply_demand_ratio, 1) AS DECIMAL(18, 1)) || ')' AS message
+  supply_offplan_units || ' off-plan units meet ' || demand_offplan_tx || ' off-plan sales, ' || CAST(round(supply_demand_ratio, 1) AS DECIMAL(18, 1)) || ' units a sale' AS message
   FROM sd WHERE supply_demand_ratio > 3 AND supply_offplan_units > 500 ORDER BY supply_demand_ratio DESC, area LIMIT 10)
 UNION ALL SELECT * FROM (SELECT area, 'OPPORTUNITY', CASE WHEN opportunity_score > 80 THEN 'HIGH' ELSE 'MODERATE' END,
-  area || ': High opportunity (score: ' || CAST(round(opportunity_score, 0) AS DECIMAL(18, 0)) || ') - ' || supply_offplan_units || ' units, ' || demand_offplan_tx || ' transactions'
+  'scores ' || CAST(round(opportunity_score, 0) AS DECIMAL(18, 0)) || ' with ' || demand_offplan_tx || ' off-plan sales of ' || supply_offplan_units || ' off-plan units'
   FROM opp WHERE opportunity_classification IN ('High Opportunity', 'Moderate Opportunity') ORDER BY opportunity_score DESC, area LIMIT 5)
-UNION ALL SELECT * FROM (SELECT area, 'RISK', 'HIGH', area || ': Price declining ' || CAST(round(price_yoy_change_pct, 1) AS DECIMAL(18, 1)) || '% YoY with ' || supply_offplan_units || ' units in pipeline'
+UNION ALL SELECT * FROM (SELECT area, 'RISK', 'HIGH', 'mean price moved by ' || CAST(round(price_yoy_change_pct, 1) AS DECIMAL(18, 1)) || '% in a year, ' || supply_offplan_units || ' units still to come'
   FROM sd WHERE price_yoy_change_pct < -2 AND demand_offplan_tx > 20 ORDER BY price_yoy_change_pct, area LIMIT 5)""")
 def u11(spark, sf):
     table = areas(spark, sf)

@@ -218,7 +218,7 @@ def with_misleading_flags(study: DataFrame, years: Sequence[int], small_base: in
     reasons = [
         F.when(
             (first > 0) & (first < small_base),
-            F.concat(F.lit(f"Small {years[0]} base ("), text(first), F.lit(" transactions)")),
+            F.concat(F.lit("starts from "), text(first), F.lit(f" sales in {years[0]}")),
         )
     ]
     for i, year in enumerate(years[1:], 2):
@@ -227,23 +227,22 @@ def with_misleading_flags(study: DataFrame, years: Sequence[int], small_base: in
             F.when(
                 (F.abs(growth) > high_growth) & (change < small_change),
                 F.concat(
-                    F.lit("High growth % ("), text(F.round(growth, 1)), F.lit("%) but only "), text(change),
-                    F.lit(f" transaction change ({year})"),
+                    F.lit(f"{year} moved by "), text(F.round(growth, 1)), F.lit("% on a difference of "), text(change), F.lit(" sales"),
                 ),
             )
         )
     low = [
         F.when(
             F.col(f"transactions_{i}") < low_volume,
-            F.concat(F.lit(f"{year} ("), text(F.col(f"transactions_{i}")), F.lit(")")),
+            F.concat(text(F.col(f"transactions_{i}")), F.lit(f" in {year}")),
         )
         for i, year in enumerate(years, 1)
     ]
     low_years = F.array_join(F.array_compact(F.array(*low)), ", ")
-    reasons.append(F.when(low_years != "", F.concat(F.lit("Very low volume: "), low_years)))
+    reasons.append(F.when(low_years != "", F.concat(F.lit("hardly any sales: "), low_years)))
     for i, year in enumerate(years[:-1], 2):
         reasons.append(
-            F.when(F.col(f"growth_{i}_pct") == INFINITE_GROWTH, F.lit(f"No {year} transactions (infinite growth)"))
+            F.when(F.col(f"growth_{i}_pct") == INFINITE_GROWTH, F.lit(f"nothing sold in {year} to grow from"))
         )
     reason = F.array_join(F.array_compact(F.array(*reasons)), "; ")
     return study.withColumn("misleading_reason", reason).withColumn("misleading_flag", F.col("misleading_reason") != "")
@@ -278,10 +277,13 @@ def study_summary(study: DataFrame, years: Sequence[int]) -> DataFrame:
     )
 
 
-def study_slices(study: DataFrame, high_volume: int = 500, decline: float = -10.0, top: int = 50) -> dict[str, DataFrame]:
-    """Named extracts of a flagged study."""
+def study_slices(
+    study: DataFrame, high_volume: int = 500, decline: float = -10.0, top: int = 50, years: Sequence[int] | None = None
+) -> dict[str, DataFrame]:
+    """Named extracts of a flagged study; with its years also the summary."""
     growth = F.desc("compound_growth_pct")
-    return {
+    summary = {} if years is None else {"summary": study_summary(study, years)}
+    return summary | {
         "all": study,
         "top_legitimate": study.where(~F.col("misleading_flag")).orderBy(growth, "name").limit(top),
         "misleading": study.where("misleading_flag"),

@@ -337,19 +337,19 @@ def market_alerts(
         areas.where((sd > saturation) & (F.col("supply_offplan_units") > min_units))
         .orderBy(F.desc("supply_demand_ratio"), "area").limit(10)
         .select(*alert("OVERSUPPLY", F.when(sd > 10, "HIGH").otherwise("MODERATE"),
-                       F.concat(F.col("area"), F.lit(": "), units, F.lit(" units for "), tx, F.lit(" transactions (ratio: "), shown(sd, 1), F.lit(")"))))
+                       F.concat(units, F.lit(" off-plan units meet "), tx, F.lit(" off-plan sales, "), shown(sd, 1), F.lit(" units a sale"))))
     )
     good = (
         opportunities.where(F.col("opportunity_classification").isin("High Opportunity", "Moderate Opportunity"))
         .orderBy(F.desc("opportunity_score"), "area").limit(5)
         .select(*alert("OPPORTUNITY", F.when(score > 80, "HIGH").otherwise("MODERATE"),
-                       F.concat(F.col("area"), F.lit(": High opportunity (score: "), shown(score, 0), F.lit(") - "), units, F.lit(" units, "), tx, F.lit(" transactions"))))
+                       F.concat(F.lit("scores "), shown(score, 0), F.lit(" with "), tx, F.lit(" off-plan sales of "), units, F.lit(" off-plan units"))))
     )
     falling = (
         areas.where((price < decline) & (F.col("demand_offplan_tx") > min_offplan_tx))
         .orderBy("price_yoy_change_pct", "area").limit(5)
         .select(*alert("RISK", F.lit("HIGH"),
-                       F.concat(F.col("area"), F.lit(": Price declining "), shown(price, 1), F.lit("% YoY with "), units, F.lit(" units in pipeline"))))
+                       F.concat(F.lit("mean price moved by "), shown(price, 1), F.lit("% in a year, "), units, F.lit(" units still to come"))))
     )
     return over.unionByName(good).unionByName(falling)
 

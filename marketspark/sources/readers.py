@@ -75,29 +75,49 @@ SEARCH_ROWS = T.StructType(
 )
 
 
+# How transaction lines are read: 'null' is NULL and a malformed line fails the load.
+TRANSACTIONS_CSV = {"nullValue": "null", "mode": "FAILFAST"}
+SUPPLY_CSV = T.StructType([T.StructField(c, T.DoubleType() if c in SUPPLY_COUNTS else T.StringType()) for c in SUPPLY_COLUMNS])
+
+
 def read_transactions_csv(spark: SparkSession, path: str) -> DataFrame:
     """Transactions file with a header; 'null' is NULL and a malformed row fails the load."""
-    reader = spark.read.schema(TRANSACTIONS).option("header", True).option("nullValue", "null")
-    return reader.option("mode", "FAILFAST").csv(path)
+    return spark.read.schema(TRANSACTIONS).option("header", True).options(**TRANSACTIONS_CSV).csv(path)
+
+
+def parse_transactions(lines: DataFrame, line: str = "line") -> DataFrame:
+    """The same for lines that stand in a column, as they come from a stream or a message table."""
+    return lines.select(F.from_csv(line, TRANSACTIONS.simpleString()[len("struct<"):-1].replace(":", " "), TRANSACTIONS_CSV).alias("t")).select("t.*")
 
 
 def read_warehouse(
-    spark: SparkSession, path: str, columns: list[str], year: int | None = None, source_format: str = "parquet", limit: int | None = None
+    spark: SparkSession, path: str, columns: list[str], year: int | None = None, source_format: str = "parquet", limit: int | None = None,
+    day: str | None = None,
 ) -> DataFrame:
-    """Columns and one year of a warehouse table; both reach the scan. Newest rows first if limited."""
+    """Columns and one year of a warehouse table; both reach the scan. Newest rows first if limited.
+
+    The year is that of the column Year, or of the date column `day` where the table has no such column.
+    """
     df = spark.read.format(source_format).load(path)
     if year is not None:
-        df = df.where(F.col("Year") == year)
+        within_year = (F.col("Year") == year) if day is None else (F.col(day) >= F.lit(f"{year}-01-01")) & (F.col(day) < F.lit(f"{year + 1}-01-01"))
+        df = df.where(within_year)
     df = df.select(*columns)
     return df if limit is None else df.orderBy(F.desc("evidence_date"), "id").limit(limit)
 
 
 def read_supply_csv(spark: SparkSession, path: str) -> DataFrame:
     """Supply list file (Latin-1, 28 columns) under the library's column names."""
-    schema = T.StructType(
-        [T.StructField(c, T.DoubleType() if c in SUPPLY_COUNTS else T.StringType()) for c in SUPPLY_COLUMNS]
-    )
-    raw = spark.read.schema(schema).option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    return named_supply(spark.read.schema(SUPPLY_CSV).option("header", True).option("encoding", "ISO-8859-1").csv(path))
+
+
+def parse_supply(lines: DataFrame, line: str = "line") -> DataFrame:
+    """The same for lines that stand in a column."""
+    return named_supply(lines.select(F.from_csv(line, SUPPLY_CSV.simpleString()[len("struct<"):-1].replace(":", " ")).alias("t")).select("t.*"))
+
+
+def named_supply(raw: DataFrame) -> DataFrame:
+    """The file's columns under the library's names, with whole counts."""
     counts = {SUPPLY_COLUMNS[c] for c in SUPPLY_COUNTS}
     named = raw.withColumnsRenamed(SUPPLY_COLUMNS)
     return named.withColumns({c: F.col(c).cast("int") for c in counts})
@@ -107,7 +127,11 @@ def read_search_rows(
     spark: SparkSession, path: str, source_format: str = "parquet", page_contains: str | None = None, page: str | None = None
 ) -> DataFrame:
     """Landed search-performance rows, optionally of one page or of pages containing a text."""
-    df = spark.read.schema(SEARCH_ROWS).format(source_format).load(path)
+    return picked_search_rows(spark.read.schema(SEARCH_ROWS).format(source_format).load(path), page_contains, page)
+
+
+def picked_search_rows(df: DataFrame, page_contains: str | None = None, page: str | None = None) -> DataFrame:
+    """Search rows of one page or of pages containing a text."""
     if page is not None:
         df = df.where(F.col("page") == page)
     if page_contains is not None:
