@@ -13,6 +13,8 @@ ascend by doc_id, null ids first; rows with equal ids follow each other.
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import uuid
 import zlib
@@ -127,38 +129,98 @@ class Block:
         return [None] * self.nulls + [int(x) + self.first for x in self.names.all()]
 
 
-def _encoder(tokenizer: str, block_ids: int, end_id: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+# The pieces that a byte-level BPE splits a text into before its merges, as the tokenizers library does,
+# with the letters, numbers and white space of Latin-1 spelled out.
+_LETTERS, _NUMBERS, _GAPS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^{_GAPS}{_LETTERS}{_NUMBERS}]+|[{_GAPS}]+(?![^{_GAPS}])|[{_GAPS}]+")
+
+
+class Encoder:
+    """Ids of whole texts by the tokenizers library, of a byte-level BPE vocabulary.
+
+    Merges never cross the pieces of a text, so each distinct piece is encoded once and remembered (a bounded number of
+    them). Texts beyond Latin-1 are encoded in one go by the library, whose classes of letters decide there.
+    """
+
+    def __init__(self, path: str, end_id: int, remembered: int = 400_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks already use all cores
         from tokenizers import Tokenizer
 
-        model = Tokenizer.from_file(tokenizer)
-        model.encode_special_tokens = True  # their names in a text are ordinary text
-        width = np.uint16 if max(model.get_vocab_size(), end_id + 1) <= 1 << 16 else np.uint32
-        part, block, offset = TaskContext.get().partitionId(), 0, 0
+        self.model = Tokenizer.from_file(path)
+        self.model.encode_special_tokens = True  # their names in a text are ordinary text
+        self.width = np.uint16 if max(self.model.get_vocab_size(), end_id + 1) <= 1 << 16 else np.uint32
+        self.by_piece = (kind := self.model.pre_tokenizer) is not None and str(kind) == _BYTE_LEVEL and self.model.normalizer is None
+        self.end = np.array([end_id], self.width).tobytes()
+        self.known: dict[str, bytes] = {}
+        self.remembered = remembered
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, self.width).tobytes() for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text and the end id."""
+        latin = [self.by_piece and _latin(t) for t in texts]
+        pieces = [_PIECES.findall(t) if ok else None for t, ok in zip(texts, latin)]
+        known = self.known
+        new = list({p for found in pieces if found for p in found if p not in known})
+        fresh = dict(zip(new, self._plain(new)))
+        if len(known) + len(fresh) <= self.remembered:
+            known.update(fresh)
+            fresh = known
+        else:
+            fresh = _Either(known, fresh)
+        whole = iter(self._plain([t for t, ok in zip(texts, latin) if not ok]))
+        coded = [next(whole) if found is None else b"".join(map(fresh.__getitem__, found)) for found in pieces]
+        return [np.frombuffer(x + self.end, self.width) for x in coded]
+
+
+_BYTE_LEVEL = "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)"
+
+
+class _Either(dict):
+    """Pieces of these texts over the remembered ones."""
+
+    def __init__(self, known: dict[str, bytes], fresh: dict[str, bytes]):
+        super().__init__(fresh)
+        self.known = known
+
+    def __missing__(self, piece: str) -> bytes:
+        return self.known[piece]
+
+
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+        return True
+    except UnicodeEncodeError:
+        return False
+
+
+def _encoder(tokenizer: str, block_ids: int, end_id: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(tokenizer, end_id)
+        part, block, offset, held = TaskContext.get().partitionId(), 0, 0, 0
         docs: list[int | None] = []
         lengths: list[int] = []
         parts: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            nonlocal block, offset, docs, lengths, parts
+            nonlocal block, offset, held, docs, lengths, parts
             ids = np.concatenate(parts)
             row = [part, block, offset, len(docs), len(ids), Block(docs, lengths, ids).to_bytes()]
-            block, offset, docs, lengths, parts = block + 1, offset + len(ids), [], [], []
+            block, offset, held, docs, lengths, parts = block + 1, offset + len(ids), 0, [], [], []
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], [c.split()[0] for c in BLOCK_SCHEMA.split(", ")])
 
-        held = 0
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(names), 64):  # a few documents at a time bound the memory
-                some = [t or "" for t in texts.slice(at, 64).to_pylist()]
-                for name, found in zip(names[at : at + 64], model.encode_batch_fast(some, add_special_tokens=False)):
-                    ids = np.array([*found.ids, end_id], width)
+            for at in range(0, len(names), 256):  # some documents at a time bound the memory
+                some = [t or "" for t in texts.slice(at, 256).to_pylist()]
+                for name, ids in zip(names[at : at + 256], encoder.encode(some)):
                     docs.append(name)
                     lengths.append(len(ids))
                     parts.append(ids)
                     held += len(ids)
                     if held >= block_ids:
-                        held = 0
                         yield flush()
         if docs:
             yield flush()
