@@ -272,8 +272,25 @@ def x2(spark, sf):
     return claims.figures(_reports(spark, sf)).where("kind <> 'large_number'").select("doc_id", "kind", "value")
 
 
-# Context and numbers without a unit need the place of a match, which the SQL side cannot give.
-@register("x2_figures_with_context")
+def _placed_sql(kind, pattern):
+    """Matches of a pattern with their places: the pieces between matches and the matches before add up to them."""
+    bare = pattern.replace(r"(?<![.\d])", "").replace(r"(?![.\d%])", "")
+    quoted = bare.replace("'", "''")
+    return f"""SELECT doc_id, '{kind}' AS kind, text, i, whole[i] AS w, raw[i] AS r,
+  CAST(1 + list_sum(list_transform(pieces[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(whole[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS place
+  FROM (SELECT *, unnest(range(1, len(whole) + 1)) AS i FROM (SELECT doc_id, text, regexp_extract_all(text, '{quoted}', 0) AS whole, regexp_extract_all(text, '{quoted}', 1) AS raw,
+    regexp_split_to_array(text, '{quoted}') AS pieces FROM documents))"""
+
+
+# Without look-around, the neighbours of a number without a unit are tested by their characters.
+FIGURE_PLACES = "WITH m AS (" + " UNION ALL ".join(_placed_sql(k, p) for k, p in claims.FIGURE_PATTERNS.items()) + r"""),
+f AS (SELECT doc_id, kind, i, r AS raw, TRY_CAST(replace(r, ',', '') AS DOUBLE) AS value,
+  trim(replace(substr(text, greatest(1, place - 50), least(50, place - 1)) || w || substr(text, place + length(w), 50), chr(10), ' ')) AS context FROM m
+  WHERE kind <> 'large_number' OR NOT (regexp_matches(substr(text, greatest(1, place - 1), least(1, place - 1)), '[.0-9]') OR regexp_matches(substr(text, place + length(w), 1), '[.0-9%]')))
+SELECT doc_id, kind, value, arg_min(raw, i) AS raw, arg_min(context, i) AS context FROM f WHERE value IS NOT NULL GROUP BY doc_id, kind, value"""
+
+
+@register("x2_figures_with_context", FIGURE_PLACES)
 def x2b(spark, sf):
     return claims.figures(tables.table(spark, sf, "documents").select("doc_id", "text"))
 
