@@ -53,13 +53,27 @@ def summarise(
     joined.
     """
     keys = list(keys)
-    result = df.groupBy(*keys).agg(*aggregates) if aggregates else df.select(*keys).distinct()
+    parts = [df.groupBy(*keys).agg(*aggregates) if aggregates else df.select(*keys).distinct()]
     if quantiles:
-        result = join_on(result, exact_quantiles(df, keys, quantiles), keys)
-    if not distinct:
-        return result
-    counts = [F.countDistinct(c).alias(name) for name, c in distinct.items()]
-    return join_on(result, df.groupBy(*keys).agg(*counts), keys)
+        parts.append(exact_quantiles(df, keys, quantiles))
+    if distinct:
+        parts.append(df.groupBy(*keys).agg(*[F.countDistinct(c).alias(name) for name, c in distinct.items()]))
+    if not keys:
+        return one_row(parts)
+    result = parts[0]
+    for part in parts[1:]:
+        result = join_on(result, part, keys)
+    return result
+
+
+def one_row(parts: Sequence[DataFrame]) -> DataFrame:
+    """One-row frames side by side: stacked and added up, so that each is computed once and nothing is joined."""
+    if len(parts) == 1:
+        return parts[0]
+    stacked = parts[0]
+    for part in parts[1:]:
+        stacked = stacked.unionByName(part, allowMissingColumns=True)
+    return stacked.agg(*[F.first(c, ignorenulls=True).alias(c) for part in parts for c in part.columns])
 
 
 # Bins per factor of e: one is 0.003% wide, and values up to 10^12 in size fall into at most two million of them.
