@@ -3,6 +3,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from marketspark.operators import supply, supply_ingest
+from marketspark.sources import driver_tables as tables
 from marketspark.sources.readers import SUPPLY_COLUMNS, SUPPLY_COUNTS
 
 NAMES = list(SUPPLY_COLUMNS.values())
@@ -84,3 +85,9 @@ def test_balance_labels(spark):
         "Insufficient Data", "Severely Undersupplied", "Undersupplied", "Balanced", "Slightly Oversupplied", "Slightly Oversupplied", "Oversupplied", "Severely Oversupplied"
     ]
     assert supply.parse_quarter("Q3 2026") == 2026 * 4 + 2
+
+
+def test_missing_unit_counts_are_audited_before_the_fill(spark):
+    raw = tables.supply_raw(spark, "/root/testdata/sf0.001").withColumn("total_units", F.lit(None).cast("int"))
+    audit = {r["rule"]: r["failures"] for r in supply_ingest.rule_audit(supply_ingest.enrich(raw), date(2001, 6, 30)).collect()}
+    assert audit["total units missing"] == raw.count()
