@@ -196,13 +196,13 @@ def u1(spark, sf):
 
 
 PERFORMANCE = TX + "," + RAW.strip().removeprefix("WITH") + f""", dsup AS (
-  SELECT developer, count(*) AS supply_projects, count(*) FILTER (is_offplan) AS supply_active_projects, count(*) FILTER (is_offplan) AS supply_offplan_projects,
+  SELECT developer, count(*) AS supply_projects, count(*) FILTER (is_offplan) AS supply_offplan_projects,
     count(*) FILTER (is_completed) AS supply_completed_projects, CAST(coalesce(sum(total_units) FILTER (is_offplan), 0) AS BIGINT) AS supply_offplan_units,
     avg(completion_percentage) AS supply_avg_completion_pct, count(DISTINCT master_development) AS supply_areas_active, count(DISTINCT property_type) AS supply_product_types
   FROM sp WHERE developer <> '' GROUP BY 1),
 ddem AS (SELECT developer, count(*) AS demand_transaction_count, sum(actual_worth) AS demand_sales_volume, avg(actual_worth) AS demand_avg_price,
     count(*) FILTER (transaction_type = 'Off-Plan') AS demand_offplan_tx FROM tx WHERE transaction_year >= 1999 GROUP BY 1),
-dj AS (SELECT developer, {", ".join(f"coalesce({c}, 0) AS {c}" for c in ("supply_projects", "supply_active_projects", "supply_offplan_projects", "supply_completed_projects", "supply_offplan_units", "supply_areas_active", "supply_product_types", "demand_transaction_count", "demand_offplan_tx"))},
+dj AS (SELECT developer, {", ".join(f"coalesce({c}, 0) AS {c}" for c in ("supply_projects", "supply_offplan_projects", "supply_completed_projects", "supply_offplan_units", "supply_areas_active", "supply_product_types", "demand_transaction_count", "demand_offplan_tx"))},
   supply_avg_completion_pct, demand_sales_volume, demand_avg_price FROM dsup FULL JOIN ddem USING (developer)),
 dk AS (SELECT *, coalesce(supply_completed_projects * 100.0::DOUBLE / nullif(supply_projects, 0), 0) AS completion_rate_pct,
   coalesce(demand_offplan_tx * 100.0::DOUBLE / nullif(supply_offplan_units, 0), 0) AS sales_velocity_pct, least(100.0::DOUBLE, supply_areas_active * 10.0) AS geographic_diversification_score,

@@ -113,10 +113,9 @@ def developer_performance(
     sales: DataFrame, projects: DataFrame, from_year: int, segment: Column | None = None
 ) -> DataFrame:
     """Delivery record and sales of every developer that builds or sells."""
-    is_offplan, done, active = F.col("is_offplan"), F.col("is_completed"), F.col("is_offplan")
+    is_offplan, done = F.col("is_offplan"), F.col("is_completed")
     supply = projects.where(filled("developer")).groupBy("developer").agg(
         rows().alias("supply_projects"),
-        count_where(active).alias("supply_active_projects"),
         count_where(is_offplan).alias("supply_offplan_projects"),
         count_where(done).alias("supply_completed_projects"),
         F.sum(F.when(is_offplan, F.col("total_units")).otherwise(0)).alias("supply_offplan_units"),
@@ -133,7 +132,7 @@ def developer_performance(
     )
     joined = supply.join(demand, "developer", "full_outer")
     counts = [
-        "supply_projects", "supply_active_projects", "supply_offplan_projects", "supply_completed_projects", "supply_offplan_units",
+        "supply_projects", "supply_offplan_projects", "supply_completed_projects", "supply_offplan_units",
         "supply_areas_active", "supply_product_types", "demand_transaction_count", "demand_offplan_tx",
     ]
     table = joined.fillna(0, subset=counts).withColumns(
