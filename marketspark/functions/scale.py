@@ -150,26 +150,32 @@ def ordered_members(
 
 
 def ranked_in_order(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], rank: str) -> DataFrame:
-    """Rows of each group numbered in an order.
+    """Rows of each group numbered in an order that tells all rows apart."""
+    return running_sum(df.withColumn("__one", F.lit(1)), keys, order, "__one", rank).drop("__one")
+
+
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], amount: str, name: str) -> DataFrame:
+    """The sum of `amount` over the rows of a group up to each row, in an order that tells all rows apart.
 
     Rows are range-partitioned by keys and the whole order, so a group whose first values are all equal is split as
-    well, and numbered inside each part of a group; the sizes of the parts before give the offset.
+    well, and summed inside each part of a group; the sums of the parts before give the offset.
     """
     keys = list(keys)
-    # The numbers of the parts must be the same for rows and sizes, hence the result is shared.
+    # The numbers of the parts must be the same for rows and sums, hence the result is shared.
     parts = shared(df.repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id()))
     before = Window.partitionBy(*keys).orderBy("__part")
     offsets = (
         parts.groupBy(*keys, "__part")
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__offset", F.sum("__n").over(before) - F.col("__n"))
-        .drop("__n")
+        .agg(F.sum(amount).alias("__sum"))
+        .withColumn("__offset", F.sum("__sum").over(before) - F.col("__sum"))
+        .drop("__sum")
     )
-    numbered = parts.withColumn("__row", F.row_number().over(Window.partitionBy(*keys, "__part").orderBy(*order)))
+    inside = Window.partitionBy(*keys, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = parts.withColumn("__in", F.sum(amount).over(inside))
     return (
-        join_on(numbered, offsets, [*keys, "__part"], "inner")
-        .withColumn(rank, F.col("__offset") + F.col("__row"))
-        .drop("__part", "__row", "__offset")
+        join_on(summed, offsets, [*keys, "__part"], "inner")
+        .withColumn(name, F.col("__offset") + F.col("__in"))
+        .drop("__part", "__in", "__offset")
     )
 
 
@@ -293,10 +299,10 @@ def nearest_by_value(
     )
     columns = [*place, "__name", "__value"]
     both = held.select(*columns, F.lit(1).alias("__held")).unionByName(asks.select(*columns, F.lit(0).alias("__held")))
-    cells = Window.partitionBy(*place)
-    rising = cells.orderBy("__value", "__held", "__name").rowsBetween(Window.unboundedPreceding, 0)
-    falling = cells.orderBy(F.desc("__value"), F.desc("__held"), "__name").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = both.withColumn("__up", F.sum("__held").over(rising)).withColumn("__down", F.sum("__held").over(falling))
+    # An upper interval may hold most items of a price cell, so ranks are sums over parts of a cell.
+    rising = [F.col("__value"), F.col("__held"), F.col("__name")]
+    falling = [F.desc("__value"), F.desc("__held"), F.col("__name")]
+    ranked = running_sum(running_sum(both, place, rising, "__held", "__up"), place, falling, "__held", "__down")
     offers = ranked.where("__held = 1").select(
         *place,
         F.col("__name").alias("__other"),
