@@ -9,7 +9,8 @@ from marketspark.catalog import supply_queries as sup
 from marketspark.catalog.metric_queries import M1, M3, MEDIAN, W1
 from marketspark.catalog.registry import REGISTERED, TX, register
 from marketspark.functions.expr import without_nan
-from marketspark.operators import lookups, metrics, supply
+from marketspark.functions.scale import one_row
+from marketspark.operators import lookups, metrics
 from marketspark.plans import bundles
 from marketspark.sources import driver_tables as tables, sinks
 
@@ -256,6 +257,45 @@ def i4(spark, sf):
 
 
 # January 2000 against 1999 has areas and developers above the default thresholds.
+def _shift_cte(key, name):
+    """Activity of the second quarter per month against the twelve months before."""
+    before = "instance_date >= DATE '1999-04-01' AND instance_date < DATE '2000-04-01'"
+    return intel._shift(key, intel.IN_Q2, before, 12, 3).replace("g AS (", f"{name}_g AS (").replace(" FROM g)", f" FROM {name}_g)").replace("\ns AS (", f"\n{name} AS (")
+
+
+# The other findings of the same report: moves of areas and developers, and the market's trends on its last day.
+@register("i1_market_report_moves", TX + _shift_cte("area_name_en", "areas") + _shift_cte("developer", "developers") + f"""
+SELECT * FROM (SELECT 'volume_spikes' AS section, area_name_en AS name, change_pct AS value FROM areas WHERE historical_monthly_avg > 5 AND current_count > 0 AND change_pct >= 30 ORDER BY change_pct DESC, area_name_en LIMIT 10)
+UNION ALL SELECT * FROM (SELECT 'volume_drops', area_name_en, change_pct FROM areas WHERE historical_monthly_avg > 10 AND change_pct <= -30 ORDER BY change_pct, area_name_en LIMIT 10)
+UNION ALL SELECT * FROM (SELECT 'developer_surges', developer, change_pct FROM developers WHERE historical_monthly_avg >= 10 AND current_count > 0 AND change_pct >= 50 ORDER BY change_pct DESC, developer LIMIT 10)
+UNION ALL SELECT 'emerging_hotspots', area_name_en, momentum_score FROM ({_inner("o1_emerging_hotspots").replace("tx_growth >= 5", "tx_growth >= 15")})
+UNION ALL SELECT 'price_arbitrage', property_type || '/' || rooms_en, arbitrage_pct FROM ({_inner("o3_price_arbitrage").replace(intel.IN_YEAR, intel.IN_Q2).replace("HAVING count(*) >= 6", "HAVING count(*) >= 10")})
+UNION ALL SELECT 'developer_momentum', developer, share_change FROM ({_inner("o4_developer_momentum").replace("current_tx >= 8", "current_tx >= 20")})""", r6="value")
+def i1b(spark, sf):
+    report = _report(spark, sf)
+    arbitrage = report["price_arbitrage"].withColumn("kind", F.concat_ws("/", "property_type", "rooms_en"))
+    return _stacked(
+        {
+            "volume_spikes": (report["volume_spikes"], "area_name_en", "change_pct"),
+            "volume_drops": (report["volume_drops"], "area_name_en", "change_pct"),
+            "developer_surges": (report["developer_surges"], "developer", "change_pct"),
+            "emerging_hotspots": (report["emerging_hotspots"], "area_name_en", "momentum_score"),
+            "price_arbitrage": (arbitrage, "kind", "arbitrage_pct"),
+            "developer_momentum": (report["developer_momentum"], "developer", "share_change"),
+        }
+    )
+
+
+_WHOLE = ", whole AS (SELECT * REPLACE ('market' AS area_name_en) FROM tx)"
+_TRENDS = intel.COMBINED.replace("FROM tx ", "FROM whole ").replace("FROM tx\n", "FROM whole\n").replace("2000-12-01", "2000-07-01").replace("2000-10-01", "2000-07-01").replace("mn = 11", "mn = 6")
+
+
+@register("i1_market_report_trends", TX + _WHOLE + _TRENDS + f"SELECT * EXCLUDE (area_name_en) FROM {intel.COMBINED_SELECT}", **intel.TREND_ROUND)
+def i1c(spark, sf):
+    report = _report(spark, sf)
+    return one_row([report[part] for part in ("price_momentum", "volume_momentum", "seasonality", "market_cycle")])
+
+
 @register("i5_offplan_intelligence", TX + intel._shift("area_name_en", intel.IN_JUNE, intel.BEFORE_JUNE, 12) + f""", gd AS (SELECT developer, count(*) FILTER ({intel.IN_JUNE}) AS c, count(*) FILTER ({intel.BEFORE_JUNE}) / 12.0::DOUBLE AS h FROM tx GROUP BY 1),
 hs AS (SELECT area_name_en, count(*) FILTER ({intel.IN_JUNE}) AS c, count(*) FILTER (instance_date >= DATE '2000-05-02' AND instance_date < DATE '2000-06-01') AS p,
   avg(actual_worth) FILTER ({intel.IN_JUNE}) AS cp, avg(actual_worth) FILTER (instance_date >= DATE '2000-05-02' AND instance_date < DATE '2000-06-01') AS pp FROM tx GROUP BY 1)
