@@ -52,9 +52,11 @@ NAME_LISTS = (
 
 
 def name_tables(sales: DataFrame) -> dict[str, DataFrame]:
-    """The whole lists behind the name columns of the metric tables, in numbered parts."""
+    """The whole lists behind the name columns of the metric tables, in numbered parts, of the columns the sales have."""
     return {
-        table: name_parts(sales.where(only) if only else sales, keys, column, name) for table, keys, column, name, only in NAME_LISTS
+        table: name_parts(sales.where(only) if only else sales, keys, column, name)
+        for table, keys, column, name, only in NAME_LISTS
+        if column in sales.columns
     }
 
 

@@ -93,7 +93,8 @@ def test_profile_and_catalog(spark):
 def test_rebuild_writes_every_metric_table(spark, tmp_path):
     sales = frame(spark, [sale(i, BOUNDS[i % 8], area=f"A{i % 2}", luxury=i % 2 == 0, kind=("Off-Plan", "Existing")[i % 2]) for i in range(160)])
     names = bundles.rebuild_all(sales, str(tmp_path))
-    assert len(names) == 13 and {p.name for p in tmp_path.iterdir()} == set(names)
+    assert len(names) == 18 and {p.name for p in tmp_path.iterdir()} == set(names)
+    assert spark.read.parquet(str(tmp_path / "metrics_luxury_project_lists")).where("part <> 0").count() == 0
     stored = spark.read.parquet(str(tmp_path / "metrics_area"))
     assert sorted(stored.collect()) == sorted(metrics.area_metrics(sales).collect())
     ids = spark.read.parquet(str(tmp_path / "metrics_monthly_trend_ids"))
