@@ -19,10 +19,10 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from marketspark.llm.common import fold
+from marketspark.llm.common import fold, joined_spread, settled
 
 NONE = "und"
 GAP, OTHER = 0, 1
@@ -31,7 +31,7 @@ BATCH = 256
 
 @dataclass(frozen=True)
 class Settings:
-    """Bounds of the sample that the model is fitted on: texts per language with the lowest hash of their id."""
+    """The sample that the model is fitted on: texts per language, on the average, with the lowest hashes of their ids."""
 
     landmarks: int = 48
     training: int = 1500
@@ -98,11 +98,15 @@ class Model:
         return names, np.concatenate(scores) if scores else np.empty(0)
 
 
-def _lowest(rows: DataFrame, n: int) -> DataFrame:
-    """Of each language the rows with the n lowest hashes; texts are read only where they are used."""
-    order = Window.partitionBy("lang").orderBy("hash")
-    cut = rows.select("lang", "hash").withColumn("row", F.row_number().over(order)).where(F.col("row") <= n).groupBy("lang").agg(F.max("hash").alias("cut"))
-    return rows.join(cut, "lang").where("hash <= cut").select("lang", "text")
+def _lowest(rows: DataFrame, counts: DataFrame, n: int) -> DataFrame:
+    """Of each language the rows with the lowest hashes, n of them on the average or all there are.
+
+    The share n / rows of the range of hashes is the cut, so one count per language is all that is gathered, and
+    texts are not shuffled: the counts, a row for each output of the model, go to all tasks.
+    """
+    whole = F.col("rows") <= n
+    cut = counts.select("lang", F.when(whole, F.lit((1 << 63) - 1)).otherwise((F.lit(float(n)) / F.col("rows") * 2.0**64 - 2.0**63).cast("long")).alias("cut"))
+    return joined_spread(rows, cut, ["lang"]).where("hash <= cut").select("lang", "text")
 
 
 @F.pandas_udf(ArrayType(StringType()))
@@ -142,7 +146,8 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model | None:
     None if there is nothing to learn from. The driver gets the landmarks' n-grams and 8 rows of sums.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang"), "text", F.xxhash64("doc_id").alias("hash"))
-    marks = _lowest(rows, settings.landmarks)
+    counts = settled(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")), "language-counts")
+    marks = _lowest(rows, counts, settings.landmarks)
     letters = Counter()
     for c, n in marks.select(F.explode(_letters("text")).alias("c")).groupBy("c").count().collect():
         letters[c] = n
@@ -164,7 +169,7 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model | None:
     def sums(batches):
         return _sums(kernels.value, languages)(batches)
 
-    parts = _lowest(rows, settings.training).repartition(8).mapInArrow(sums, "inner binary, outer binary, n long").collect()
+    parts = _lowest(rows, counts, settings.training).repartition(8).mapInArrow(sums, "inner binary, outer binary, n long").collect()
     m = len(found)
     inner = sum(np.frombuffer(p.inner).reshape(m, m) for p in parts)
     outer = sum(np.frombuffer(p.outer).reshape(m, len(languages)) for p in parts)
