@@ -18,12 +18,14 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from marketspark.llm.common import shared_folder
 
@@ -132,7 +134,17 @@ class Block:
 # The pieces that a byte-level BPE splits a text into before its merges, as the tokenizers library does,
 # with the letters, numbers and white space of Latin-1 spelled out.
 _LETTERS, _NUMBERS, _GAPS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
-_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^{_GAPS}{_LETTERS}{_NUMBERS}]+|[{_GAPS}]+(?![^{_GAPS}])|[{_GAPS}]+")
+_PIECES = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^{_GAPS}{_LETTERS}{_NUMBERS}]+|[{_GAPS}]+(?![^{_GAPS}])|[{_GAPS}]+")
+
+
+def _byte_characters() -> dict[int, str]:
+    """Characters that a byte-level vocabulary writes bytes as: printable ones as they are, the others from code point 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_BYTE_CHARACTERS = _byte_characters()
 
 
 class Encoder:
@@ -142,14 +154,16 @@ class Encoder:
     them). Texts beyond Latin-1 are encoded in one go by the library, whose classes of letters decide there.
     """
 
-    def __init__(self, path: str, end_id: int, remembered: int = 400_000):
+    def __init__(self, path: str, end_id: int, remembered: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks already use all cores
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True  # their names in a text are ordinary text
         self.width = np.uint16 if max(self.model.get_vocab_size(), end_id + 1) <= 1 << 16 else np.uint32
-        self.by_piece = (kind := self.model.pre_tokenizer) is not None and str(kind) == _BYTE_LEVEL and self.model.normalizer is None
+        self.code, self.bpe = "H" if self.width is np.uint16 else "I", self.model.model
+        self.by_piece = isinstance(self.bpe, BPE) and str(self.model.pre_tokenizer) == _BYTE_LEVEL and self.model.normalizer is None
         self.end = np.array([end_id], self.width).tobytes()
         self.known: dict[str, bytes] = {}
         self.remembered = remembered
@@ -157,37 +171,27 @@ class Encoder:
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.width).tobytes() for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _piece(self, piece: str) -> bytes:
+        return array(self.code, [t.id for t in self.bpe.tokenize(piece.encode().decode("latin-1").translate(_BYTE_CHARACTERS))]).tobytes()
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text and the end id."""
         latin = [self.by_piece and _latin(t) for t in texts]
         pieces = [_PIECES.findall(t) if ok else None for t, ok in zip(texts, latin)]
         known = self.known
         new = list({p for found in pieces if found for p in found if p not in known})
-        fresh = dict(zip(new, self._plain(new)))
-        if len(known) + len(fresh) <= self.remembered:
-            known.update(fresh)
-            fresh = known
-        else:
-            fresh = _Either(known, fresh)
+        known.update(zip(new, map(self._piece, new)))
         whole = iter(self._plain([t for t, ok in zip(texts, latin) if not ok]))
-        coded = [next(whole) if found is None else b"".join(map(fresh.__getitem__, found)) for found in pieces]
+        coded = [next(whole) if found is None else b"".join(map(known.__getitem__, found)) for found in pieces]
+        if len(known) > self.remembered:  # the first ones seen are the frequent ones; those of these texts go
+            for piece in new:
+                del known[piece]
         return [np.frombuffer(x + self.end, self.width) for x in coded]
 
 
 _BYTE_LEVEL = "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)"
 
 
-class _Either(dict):
-    """Pieces of these texts over the remembered ones."""
-
-    def __init__(self, known: dict[str, bytes], fresh: dict[str, bytes]):
-        super().__init__(fresh)
-        self.known = known
-
-    def __missing__(self, piece: str) -> bytes:
-        return self.known[piece]
-
-
 def _latin(text: str) -> bool:
     try:
         text.encode("latin-1")
@@ -196,9 +200,15 @@ def _latin(text: str) -> bool:
         return False
 
 
+@lru_cache(maxsize=1)
+def _known_encoder(path: str, end_id: int) -> Encoder:
+    """Of a Python worker, which serves many tasks: the vocabulary is read and the pieces are learnt once."""
+    return Encoder(path, end_id)
+
+
 def _encoder(tokenizer: str, block_ids: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, end_id)
+        encoder = _known_encoder(tokenizer, end_id)
         part, block, offset, held = TaskContext.get().partitionId(), 0, 0, 0
         docs: list[int | None] = []
         lengths: list[int] = []
@@ -239,13 +249,13 @@ def write(docs: DataFrame, path: str, tokenizer: str, block_ids: int = BLOCK_IDS
     rows.mapInArrow(_encoder(tokenizer, block_ids, end_id), BLOCK_SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
-def blocks(df_path: str, spark) -> DataFrame:
+def blocks(spark: SparkSession, path: str) -> DataFrame:
     """The blocks of a file with `start`, the number of ids before each.
 
     A part has one row in the table of bases, and parts are as many as tasks that wrote (at most
     spark.sql.shuffle.partitions), which bounds both the window and the broadcast.
     """
-    found = spark.read.schema(BLOCK_SCHEMA).parquet(df_path)
+    found = spark.read.schema(BLOCK_SCHEMA).parquet(path)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = found.groupBy("part").agg(F.sum("n_ids").alias("ids")).select("part", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base"))
     return found.join(F.broadcast(bases), "part").withColumn("start", F.col("base") + F.col("part_offset"))
@@ -264,9 +274,9 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def offsets(spark, path: str) -> DataFrame:
+def offsets(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 (of the ids as little-endian 32-bit numbers) of every document of a file."""
-    return blocks(path, spark).select("start", "data").mapInArrow(_digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return blocks(spark, path).select("start", "data").mapInArrow(_digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,7 +288,7 @@ def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(block.doc_ids(), pa.int64()), values], ["doc_id", "ids"])
 
 
-def documents(spark, path: str) -> DataFrame:
+def documents(spark: SparkSession, path: str) -> DataFrame:
     """doc_id and ids (with the end id) of every document of a file."""
     return spark.read.schema(BLOCK_SCHEMA).parquet(path).select("data").mapInArrow(_ids, "doc_id long, ids array<int>")
 
