@@ -7,6 +7,10 @@ of training texts per language; with them the Nyström features of a text x are
 kernel ridge regression per language (against the rest) is solved in that space from sums that partitions add up.
 As presence kernels are inner products, landmarks and solution fold into one matrix, and a batch of whole texts is
 scored by one product of its presence matrix with it.
+
+The score compares languages and says nothing of texts in none of them: without kernels it is near a half. Whether a
+text is like the landmarks at all is told by the share of its n-grams that they know. What share is usual is learnt
+from the landmarks, each held against the others.
 """
 
 from __future__ import annotations
@@ -46,8 +50,8 @@ def _symbols(alphabet: str) -> np.ndarray:
     return np.array([place.get(chr(i).lower(), OTHER) if chr(i).isalpha() else GAP for i in range(0x110000)], np.uint8)
 
 
-def grams(text: str | None, alphabet: str) -> np.ndarray | None:
-    """Codes of the distinct n-grams of a whole text; None for a text without a letter."""
+def _all_grams(text: str | None, alphabet: str) -> np.ndarray | None:
+    """Codes of the n-grams of a whole text, as often as they stand there; None for a text without a letter."""
     points = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)
     found = _symbols(alphabet)[points].astype(np.int32)
     if not found.any():
@@ -56,7 +60,11 @@ def grams(text: str | None, alphabet: str) -> np.ndarray | None:
     found = found[np.concatenate([[True], (found[1:] != GAP) | (found[:-1] != GAP)])]  # one gap between words
     size = len(alphabet) + 2
     two = found[:-1] * size + found[1:]
-    codes = np.concatenate([found, size + two, size + size**2 + two[:-1] * size + found[2:]])
+    return np.concatenate([found, size + two, size + size**2 + two[:-1] * size + found[2:]])
+
+
+def _distinct(codes: np.ndarray, alphabet: str) -> np.ndarray:
+    size = len(alphabet) + 2
     seen = _scratch(size + size**2 + size**3)
     seen[codes] = True
     distinct = np.flatnonzero(seen)
@@ -64,6 +72,12 @@ def grams(text: str | None, alphabet: str) -> np.ndarray | None:
     return distinct
 
 
+def grams(text: str | None, alphabet: str) -> np.ndarray | None:
+    """Codes of the distinct n-grams of a whole text; None for a text without a letter."""
+    codes = _all_grams(text, alphabet)
+    return None if codes is None else _distinct(codes, alphabet)
+
+
 @lru_cache(maxsize=2)
 def _scratch(n: int) -> np.ndarray:
     return np.zeros(n, bool)
@@ -75,27 +89,54 @@ class Model:
     alphabet: str
     place: np.ndarray  # of each code, its row in `weights`, or -1
     weights: np.ndarray
+    unknown: float = 1.0  # largest share of n-grams unknown to the landmarks in a long text like them
 
-    def products(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Scores of a batch, and which texts have a letter."""
+    def _held(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores of a batch, which texts have a letter, and which are like the landmarks.
+
+        Unknown n-grams are counted both once each and as often as they stand: the first shows words of another
+        language in the same letters, the second another script with a few known words in between.
+        """
         presence = np.zeros((len(texts), len(self.weights)), np.float32)
-        norms, letters = np.ones(len(texts)), np.zeros(len(texts), bool)
+        norms, letters, like = np.ones(len(texts)), np.zeros(len(texts), bool), np.zeros(len(texts), bool)
         for i, text in enumerate(texts):
-            codes = grams(text, self.alphabet)
-            if codes is not None:
+            every = _all_grams(text, self.alphabet)
+            if every is not None:
+                codes = _distinct(every, self.alphabet)
                 known = self.place[codes]
-                presence[i, known[known >= 0]] = 1
+                known = known[known >= 0]
+                presence[i, known] = 1
                 norms[i], letters[i] = len(codes) ** 0.5, True
-        return presence @ self.weights / norms[:, None], letters
+                share = min(len(known) / len(codes), np.count_nonzero(self.place[every] >= 0) / len(every))
+                like[i] = share >= 1 - self.unknown - len(codes) ** -0.5  # the share of a short text varies by as much
+        return presence @ self.weights / norms[:, None], letters, like
+
+    def products(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of a batch, and which texts have a letter."""
+        return self._held(texts)[:2]
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        names, scores = [], []
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language and score of each text, and whether it is like the landmarks."""
+        names, scores, like = [], [], []
         for at in range(0, len(texts), BATCH):
-            values, letters = self.products(texts[at : at + BATCH])
+            values, letters, alike = self._held(texts[at : at + BATCH])
             best = values.argmax(axis=1)
             names += [self.languages[b] if ok else NONE for b, ok in zip(best, letters)]
             scores.append(np.where(letters, np.clip((values.max(axis=1) + 1) / 2, 0, 1), 0.0))
-        return names, np.concatenate(scores) if scores else np.empty(0)
+            like.append(alike)
+        return (names, np.concatenate(scores), np.concatenate(like)) if scores else (names, np.empty(0), np.empty(0, bool))
+
+
+def _usual_unknown(found: list[tuple[str, np.ndarray]], place: np.ndarray, n: int) -> float:
+    """The share of unknown n-grams that a text like the landmarks may have.
+
+    Six times the share that all but a twentieth of the landmarks stay below, each held against the others, and at
+    least 0.2. Few landmarks know little, so that then hardly any text is unlike them.
+    """
+    holders = np.zeros(n, np.int32)
+    for _, codes in found:
+        holders[place[codes]] += 1
+    return max(0.2, 6 * float(np.quantile([np.mean(holders[place[codes]] < 2) for _, codes in found], 0.95)))
 
 
 def _lowest(rows: DataFrame, counts: DataFrame, n: int) -> DataFrame:
@@ -178,19 +219,19 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model | None:
     good = values > 1e-6 * values[-1]
     root = vectors[:, good] / np.sqrt(values[good])  # K^(-1/2), Nyström features are k @ root
     solved = np.linalg.solve(root.T @ inner @ root + settings.ridge * n * np.eye(root.shape[1]), root.T @ outer)
-    return Model(languages, alphabet, place, (landmarks @ (root @ solved)).astype(np.float32))
+    return Model(languages, alphabet, place, (landmarks @ (root @ solved)).astype(np.float32), _usual_unknown(found, place, len(vocabulary)))
 
 
 def predicted(docs: DataFrame, model: Model | None, text: Column) -> Column:
-    """struct(lang, score) of a text; `und` with score 0 for a text that is null or has no letter, or without a model."""
+    """struct(lang, score, alike) of a text; `und` with score 0 and not alike for a text that is null or has no letter, or without a model."""
     if model is None:
-        return F.struct(F.lit(NONE).alias("lang"), F.lit(0.0).alias("score"))
+        return F.struct(F.lit(NONE).alias("lang"), F.lit(0.0).alias("score"), F.lit(False).alias("alike"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang string, score double")
+    @F.pandas_udf("lang string, score double, alike boolean")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        names, scores = shared.value.predict(texts.where(texts.notna(), None).tolist())
-        return pd.DataFrame({"lang": names, "score": scores})
+        names, scores, alike = shared.value.predict(texts.where(texts.notna(), None).tolist())
+        return pd.DataFrame({"lang": names, "score": scores, "alike": alike})
 
     return predict(text)
 
@@ -208,7 +249,7 @@ def identify(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, least_score: float = 0.25, settings: Settings = Settings()) -> DataFrame:
-    """Documents without those of no language: null or without a letter, or scored below `least_score` for every language."""
+    """Documents without those of no language: null or without a letter, unlike the landmarks, or scored below `least_score` for every language."""
     answer = predicted(docs, fit(training(docs), settings), F.col("text"))
     rows = docs.select(F.struct(*docs.columns).alias("doc"), answer.alias("answer"))
-    return rows.where((F.col("answer.lang") != NONE) & (F.col("answer.score") >= least_score)).select("doc.*")
+    return rows.where((F.col("answer.lang") != NONE) & F.col("answer.alike") & (F.col("answer.score") >= least_score)).select("doc.*")

@@ -35,6 +35,22 @@ def test_language_stage_keeps_documents_with_letters(stages):
     assert before.where(F.col("text").rlike("\\p{L}")).count() == after.count()
 
 
+def test_language_stage_drops_foreign_and_junk_texts(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    rng = np.random.default_rng(3)
+    russian = "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью."
+    planted = [
+        russian,
+        russian * 40 + " See the hotel and the people of the world at example.com for more about it.",
+        "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心,并应以兄弟关系的精神相对待。",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+        *(" ".join("".join(rng.choice([*"abcdefghijklmnopqrstuvwxyz"], rng.integers(2, 9))) for _ in range(n)) for n in (20, 200, 5000)),
+    ]
+    foreign = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(planted)], "doc_id long, text string")
+    kept = {r.doc_id for r in language.keep_known(docs.unionByName(foreign, allowMissingColumns=True)).select("doc_id").collect()}
+    assert kept == {r.doc_id for r in docs.where(F.col("text").rlike("\\p{L}")).collect()}
+
+
 def test_dedup_stage_keeps_the_first_of_each_class(stages):
     before, after = stages[1]
     found = simhash.near_duplicates(before).collect()
