@@ -151,7 +151,8 @@ class Encoder:
     """Ids of whole texts by the tokenizers library, of a byte-level BPE vocabulary.
 
     Merges never cross the pieces of a text, so each distinct piece is encoded once and remembered (a bounded number of
-    them). Texts beyond Latin-1 are encoded in one go by the library, whose classes of letters decide there.
+    them). Texts beyond Latin-1 are encoded in one go by the library, whose classes of letters decide there, and so are
+    texts that hold the name of an added token, which the library gives that token's id.
     """
 
     def __init__(self, path: str, end_id: int, remembered: int = 700_000):
@@ -160,7 +161,8 @@ class Encoder:
         from tokenizers.models import BPE
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True  # their names in a text are ordinary text
+        names = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, names))) if names else None
         self.width = np.uint16 if max(self.model.get_vocab_size(), end_id + 1) <= 1 << 16 else np.uint32
         self.code, self.bpe = "H" if self.width is np.uint16 else "I", self.model.model
         self.by_piece = isinstance(self.bpe, BPE) and str(self.model.pre_tokenizer) == _BYTE_LEVEL and self.model.normalizer is None
@@ -176,7 +178,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text and the end id."""
-        latin = [self.by_piece and _latin(t) for t in texts]
+        latin = [self.by_piece and _latin(t) and not (self.added and self.added.search(t)) for t in texts]
         pieces = [_PIECES.findall(t) if ok else None for t, ok in zip(texts, latin)]
         known = self.known
         new = list({p for found in pieces if found for p in found if p not in known})

@@ -169,6 +169,18 @@ def test_token_file_round_trip(spark, odd, tmp_path):
     assert token_file.round_trip(empty(spark), queries.TOKENIZER).collect() == []
 
 
+def test_names_of_added_tokens_are_those_tokens(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(queries.TOKENIZER)
+    assert model.encode("a<|endoftext|>b", add_special_tokens=False).ids == [64, 50256, 65]
+    texts = ["a<|endoftext|>b", "a b", "<|endoftext|>", "日本<|endoftext|>語", "a <|endoftext|> <|endoftext", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    token_file.write(docs, str(tmp_path / "added"), queries.TOKENIZER)
+    got = {r.doc_id: list(r.ids) for r in token_file.documents(spark, str(tmp_path / "added")).collect()}
+    assert got == {i: [*model.encode(t or "", add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
+
+
 # ---------------------------------------------------------------- rules on lines
 
 
