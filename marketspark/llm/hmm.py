@@ -1,14 +1,15 @@
 """Language model scoring with a hidden Markov model.
 
-A word is emitted in two steps: a state emits one of a fixed number of word classes (a hash of the word), and the
-class emits the word by its share in the corpus: p(word) = sum over state paths of start, transition and emission of
-classes, times p(word | class) = (c + 0.1) / (C + 0.1 * (V + 1)), where c counts the word, C its class and V the
-words of the class. Unseen words are the one further word of their class. The second factor does not depend on the
-states, so the likelihood is exact: a scaled forward recursion over the classes plus a sum over the words.
+A word is emitted in two steps: a state emits one of the word classes (a hash of the word), whose number grows with
+the vocabulary so that a class has a bounded number of words on the average, and the class emits the word by its share
+in the corpus: p(word) = sum over state paths of start, transition and emission of classes, times p(word | class) =
+(c + 0.1) / (C + 0.1 * (V + 1)), where c counts the word, C its class and V the words of the class. Unseen words are
+the one further word of their class. The second factor does not depend on the states, so the likelihood is exact: a
+scaled forward recursion over the classes plus a sum over the words.
 
-Training: word counts over all training texts; then Baum-Welch. Each partition runs forward-backward over its texts
-and adds up expected starts, transitions and emissions; Spark adds the partitions; a fixed number of sums reaches
-the driver. First steps on a bounded sample find the states, the last steps run over all training texts.
+Training: word counts over all training texts; then Baum-Welch, every step over all training texts. Each partition
+runs forward-backward over its whole texts and adds up expected starts, transitions and emissions; Spark adds the
+partitions, block by block of the sums that they have; a number of sums for each class reaches the driver.
 
 Counts of all words are a table in the shared folder. The most frequent (a bounded number) are shipped with the
 model, so that a text only shuffles its rarer words, once each, to join the table.
@@ -32,15 +33,17 @@ SMOOTHING = 0.1
 
 @dataclass(frozen=True)
 class Settings:
-    """states, word classes (class 0 is the end), steps over all texts, first steps over the sample and its size in texts,
-    words in a training piece, and the largest number of words shipped with the model."""
+    """states, least number of word classes (class 0 is the end) and words of a class on the average beyond it, steps
+    (first_steps + steps, all over all texts; `sample` has no effect), words of a text after which training keeps only
+    the state it carries on, and the largest number of words shipped with the model."""
 
     states: int = 8
     classes: int = 2048
+    class_size: int = 32
     steps: int = 2
     first_steps: int = 10
     sample: int = 2000
-    piece: int = 256
+    piece: int = 1 << 16
     head: int = 40_000
     head_bytes: int = 64
 
@@ -79,14 +82,19 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
+def _width(classes: int) -> type:
+    return np.uint16 if classes <= 1 << 16 else np.uint32
+
+
 def _sequences(classes: int):
-    """Classes of each text with the end, two bytes each."""
+    """Classes of each text with the end, two bytes each while their number allows it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = WordClasses(classes)
         for batch in batches:
-            found = [np.array([*map(of.__getitem__, tokens(t.as_py())), 0], np.uint16).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["key", "classes"])
+            for at in range(0, batch.num_rows, 1024):
+                found = [np.array([*map(of.__getitem__, tokens(t.as_py())), 0], _width(classes)).tobytes() for t in batch.column(0).slice(at, 1024)]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["classes"])
 
     return run
 
@@ -148,59 +156,93 @@ def forward(model: Hmm, sequences: list[np.ndarray]) -> np.ndarray:
     return result
 
 
-def expected(model: Hmm, sequences: list[np.ndarray]) -> np.ndarray:
-    """Expected starts, transitions and emissions of all sequences by scaled forward-backward, as one array."""
+def expected(model: Hmm, sequences: list[np.ndarray], piece: int = 1 << 16) -> np.ndarray:
+    """Expected starts, transitions and emissions of all sequences by scaled forward-backward, as one array.
+
+    Sequences run over their whole length. Of those longer than `piece` the first run keeps the forward values at the
+    starts of pieces only; the pieces are run again from these, the last one first, and carry the backward values on.
+    """
     k, c = len(model.start), len(model.emit)
     starts, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros((c, k))
+
+    def step(alpha: np.ndarray | None, t: int) -> tuple[np.ndarray, np.ndarray]:
+        n = active[t]
+        alpha = (model.start if alpha is None else alpha[:n] @ model.move) * model.emit[table[t, :n]]
+        scale = alpha.sum(axis=1, keepdims=True)
+        return alpha / scale, scale
+
     for _, lengths, table in _padded(sequences):
         steps = len(table)
         active = np.searchsorted(-lengths, -np.arange(steps), side="left")
-        alphas, scales = [], []
-        alpha = model.start * model.emit[table[0]]
-        for t in range(steps):
-            n = active[t]
-            if t:
-                alpha = (alpha[:n] @ model.move) * model.emit[table[t, :n]]
-            scale = alpha.sum(axis=1, keepdims=True)
-            alpha = alpha / scale
-            alphas.append(alpha)
-            scales.append(scale)
-        beta = np.ones((active[-1], k))
-        shares = np.empty((int(active.sum()), k))
-        seen = np.empty(len(shares), np.int64)
-        end = len(shares)
-        for t in range(steps - 1, -1, -1):
-            n = active[t]
-            if t < steps - 1:
-                m = active[t + 1]
-                later = model.emit[table[t + 1, :m]] * beta / scales[t + 1]
-                moves += model.move * (alphas[t][:m].T @ later)
+        edges = range(0, steps, piece)
+        held, alpha = [None], None  # the forward values before each piece
+        for edge in edges[1:]:
+            for t in range(edge - piece, edge):
+                alpha, _ = step(alpha, t)
+            held.append(alpha)
+        later = None  # of the step after, emissions times backward values by its scale
+        for edge in reversed(edges):
+            alphas, scales, alpha = [], [], held.pop()
+            end = min(edge + piece, steps)
+            for t in range(edge, end):
+                alpha, scale = step(alpha, t)
+                alphas.append(alpha)
+                scales.append(scale)
+            shares = np.empty((int(active[edge:end].sum()), k))
+            seen = np.empty(len(shares), np.int64)
+            at = len(shares)
+            for t in range(end - 1, edge - 1, -1):
+                n, alpha = active[t], alphas[t - edge]
                 beta = np.ones((n, k))
-                beta[:m] = later @ model.move.T
-            shares[end - n : end] = alphas[t] * beta
-            seen[end - n : end] = table[t, :n]
-            end -= n
+                if later is not None:
+                    m = len(later)
+                    moves += model.move * (alpha[:m].T @ later)
+                    beta[:m] = later @ model.move.T
+                shares[at - n : at] = alpha * beta
+                seen[at - n : at] = table[t, :n]
+                at -= n
+                later = model.emit[table[t, :n]] * beta / scales[t - edge]
+            for s in range(k):
+                emits[:, s] += np.bincount(seen, shares[:, s], c)
         starts += shares[: active[0]].sum(axis=0)
-        for s in range(k):
-            emits[:, s] += np.bincount(seen, shares[:, s], c)
     return np.concatenate([starts, moves.reshape(-1), emits.reshape(-1)])
 
 
+BLOCK = 256  # rows of sums (start, moves, then one for each class) that are added up together
+
+
 def _expectation(model: Hmm, piece: int):
+    """Per partition the rows of sums that are not 0, by block: places in the block, and values."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(model.start) * (1 + len(model.start) + len(model.emit)))
-        held, size = [], 0
+        held, size, width = [], 0, _width(len(model.emit))
         for batch in batches:
             for value in batch.column(0):
-                found = np.frombuffer(value.as_py(), np.uint16)
-                held += [found[a : a + piece] for a in range(0, len(found), piece)]
-                size += len(found)
-                if size > 1 << 19:
-                    total += expected(model, held)
+                held.append(np.frombuffer(value.as_py(), width))
+                size += len(held[-1])
+                if size > 1 << 21:
+                    total += expected(model, held, piece)
                     held, size = [], 0
         if held:
-            total += expected(model, held)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], ["i", "v"])
+            total += expected(model, held, piece)
+        rows = total.reshape(-1, len(model.start))
+        some = np.flatnonzero(rows.any(axis=1))
+        blocks, at = np.unique(some // BLOCK, return_index=True)
+        parts = np.split(some, at[1:]) if len(some) else []
+        places = [(p % BLOCK).astype(np.uint8).tobytes() for p in parts]
+        values = [rows[p].astype(np.float32).tobytes() for p in parts]
+        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(places, pa.binary()), pa.array(values, pa.binary())], ["block", "places", "values"])
+
+    return run
+
+
+def _added(states: int):
+    def run(part: pa.Table) -> pa.Table:
+        sums = np.zeros((BLOCK, states))
+        for places, values in zip(part["places"], part["values"]):
+            sums[np.frombuffer(places.as_py(), np.uint8)] += np.frombuffer(values.as_py(), np.float32).reshape(-1, states)
+        return pa.table([part["block"].slice(0, 1), pa.array([sums.tobytes()], pa.binary())], ["block", "sums"])
 
     return run
 
@@ -213,10 +255,13 @@ def baum_welch(sequences: DataFrame, model: Hmm, frequency: np.ndarray, piece: i
         return _expectation(shared.value, piece)(batches)
 
     k = len(model.start)
-    sums = np.zeros(k * (1 + k + len(frequency)))
-    added = sequences.select("classes").mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()
-    sums[added.i.to_numpy()] = added.v.to_numpy()
-    return Hmm.of_sums(sums, k, frequency)
+    rows = 1 + k + len(frequency)
+    sums = np.zeros((-(-rows // BLOCK) * BLOCK, k))
+    parts = sequences.select("classes").mapInArrow(run, "block int, places binary, values binary")
+    for r in parts.groupBy("block").applyInArrow(_added(k), "block int, sums binary").collect():
+        sums[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.sums).reshape(BLOCK, k)
+    shared.destroy()
+    return Hmm.of_sums(sums[:rows].reshape(-1), k, frequency)
 
 
 @dataclass
@@ -236,12 +281,13 @@ class Corpus:
 def count_corpus(train: DataFrame, settings: Settings) -> Corpus:
     counts = settled(train.select("text").mapInArrow(_counts, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "hmm-counts")
     texts = train.count()
-    cls = (F.crc32("word") % (settings.classes - 1) + 1).cast("int")
+    classes = max(settings.classes, -(-counts.count() // settings.class_size))
+    cls = (F.crc32("word") % (classes - 1) + 1).cast("int")
     level = F.floor(F.log2("c") * 16).cast("int")
-    class_counts, class_words = np.zeros(settings.classes), np.zeros(settings.classes)
+    class_counts, class_words = np.zeros(classes), np.zeros(classes)
     class_counts[0], class_words[0] = texts, 1
-    for r in counts.groupBy(cls.alias("cls")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect():
-        class_counts[r.cls], class_words[r.cls] = r.c, r.v
+    found = counts.groupBy(cls.alias("cls")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).toPandas()
+    class_counts[found.cls], class_words[found.cls] = found.c, found.v
     # The head is all words from the lowest level of counts on at which they are few enough.
     short = counts.where(F.octet_length("word") <= settings.head_bytes)
     room, least = settings.head, None
@@ -255,16 +301,11 @@ def count_corpus(train: DataFrame, settings: Settings) -> Corpus:
 
 
 def train_model(train: DataFrame, corpus: Corpus, settings: Settings) -> Hmm:
-    sequences = settled(train.select("key", "text").mapInArrow(_sequences(settings.classes), "key long, classes binary"), "hmm-classes")
     model = Hmm.first(corpus.class_counts, settings.states)
     if not corpus.texts:
         return model
-    # The sample: rows of the lowest hashes; a share of the key range that holds about `sample` rows.
-    edge = -(1 << 63) + int((1 << 64) * min(1.0, settings.sample / corpus.texts)) - 1
-    sample = settled(sequences.where(F.col("key") <= edge).repartition(6), "hmm-sample")
-    for _ in range(settings.first_steps):
-        model = baum_welch(sample, model, corpus.class_counts, settings.piece)
-    for _ in range(settings.steps):
+    sequences = settled(train.select("text").mapInArrow(_sequences(len(corpus.class_counts)), "classes binary"), "hmm-classes")
+    for _ in range(settings.first_steps + settings.steps):
         model = baum_welch(sequences, model, corpus.class_counts, settings.piece)
     return model
 
@@ -284,7 +325,7 @@ class Scorer:
                 sequences, known, head, norms, tails = [], [], [], [], []
                 for text in part.column(2):
                     w = tokens(text.as_py())
-                    found = np.array([*map(of.__getitem__, w), 0], np.uint16)
+                    found = np.array([*map(of.__getitem__, w), 0], _width(self.classes))
                     counted, tail, seen, value = Counter(w), [], 0, 0.0
                     for word, tf in counted.items():
                         log_c = self.head.get(word)
@@ -314,13 +355,13 @@ def score(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     unseen; both scores are defined.
     """
     held = F.coalesce(fold(F.col("doc_id"), 10), F.lit(1)) == 0
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("binary").alias("text"), F.xxhash64("doc_id").alias("key"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("binary").alias("text"))
     train = rows.where(~F.col("held_out"))
     corpus = count_corpus(train, settings)
     model = train_model(train, corpus, settings)
     norm = np.log10(corpus.class_counts + SMOOTHING * (corpus.class_words + 1))
     norm[0] = 0.0
-    scorer = docs.sparkSession.sparkContext.broadcast(Scorer(model, {w: float(np.log10(c + SMOOTHING)) for w, c in corpus.head.items()}, norm, settings.classes))
+    scorer = docs.sparkSession.sparkContext.broadcast(Scorer(model, {w: float(np.log10(c + SMOOTHING)) for w, c in corpus.head.items()}, norm, len(norm)))
 
     def run(batches):
         return scorer.value.batches(batches)

@@ -365,6 +365,31 @@ def test_forward_and_expectations_match_enumeration():
     assert np.allclose(hmm.expected(model, sequences), want)
 
 
+def test_expectations_carry_over_pieces():
+    rng = np.random.default_rng(4)
+    model = hmm.Hmm.first(rng.integers(1, 9, 20).astype(float), 3)
+    sequences = [rng.integers(0, 20, n) for n in (1, 7, 8, 9, 40, 23, 40)]
+    whole = hmm.expected(model, sequences)
+    for piece in (1, 4, 8, 39):
+        assert np.allclose(hmm.expected(model, sequences, piece), whole)
+    assert math.isclose(whole[:3].sum(), len(sequences)) and math.isclose(whole[3:12].sum(), sum(len(s) - 1 for s in sequences))
+
+
+def test_classes_grow_and_every_step_sees_all_texts(spark):
+    texts = [" ".join(f"w{(i * 7 + j) % 3000}" for j in range(300)) for i in range(400)]
+    docs = spark.createDataFrame([(t.encode(),) for t in texts], "text binary").repartition(5)
+    settings = hmm.Settings(states=2, classes=8, class_size=4, steps=1, first_steps=2, sample=5)
+    corpus = hmm.count_corpus(docs, settings)
+    v = len({w for t in texts for w in t.split()})
+    assert len(corpus.class_counts) == math.ceil(v / 4) > 600
+    model, of = hmm.Hmm.first(corpus.class_counts, 2), hmm.WordClasses(len(corpus.class_counts))
+    sequences = [np.array([*map(of.__getitem__, t.encode().split()), 0]) for t in texts]
+    for _ in range(3):
+        model = hmm.Hmm.of_sums(hmm.expected(model, sequences), 2, corpus.class_counts)
+    got = hmm.train_model(docs, corpus, settings)
+    assert np.allclose(got.start, model.start) and np.allclose(got.move, model.move) and np.allclose(got.emit, model.emit, rtol=1e-4)
+
+
 def test_scores_match_plain_counts(spark, odd):
     small = hmm.Settings(states=3, classes=64, sample=50, first_steps=2, steps=1, head=200)
     for docs in (table(spark, SF, "documents"), odd):
