@@ -3,7 +3,8 @@
 Lines are normalised (trimmed, A-Z in lower case), hashed, and counted in distinct documents per host (the source).
 A line above the limits is boilerplate of its host and is removed; a document that is left with too little is
 depleted and rejected. Counts combine before they are shuffled, so neither a hot host nor a line that stands in a
-third of all documents gathers in one task; only hashes and counts are shuffled, never texts.
+third of all documents gathers in one task; for that only hashes and counts are shuffled. Texts are shuffled once, to
+meet the hashes of their removed lines, and only where the cleaned text is asked for.
 """
 
 from __future__ import annotations
@@ -77,22 +78,38 @@ def frequent_lines(items: DataFrame, limits: Limits) -> DataFrame:
     return joined(found, hosts, ["host"]).where(F.col("docs") > F.col("of") * limits.most_share).select(*LINE)
 
 
-def judged(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """doc_id, base metrics, base_failed, removed_chars, line_chars and kept of every row of documents (doc_id, text, source).
+def cleaned(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """doc_id, base metrics, base_failed, removed_chars, line_chars, kept and cleaned of every row of documents (doc_id, text, source).
 
-    Kept: the base rules pass and the document is not depleted. Null and blank texts have no words and fail the
-    base rules. Null sources are one host. Rows that share a doc_id count as one document of a line but are judged
-    each by itself. A document counts for its host if it has a line with a word.
+    Cleaned: the text without the lines above the limits, the others as they are and joined by a line feed; blank
+    lines stay. Kept: the base rules pass (on the text as it came) and the document is not depleted, that is, enough
+    of its lines' characters stand in the cleaned text. Null and blank texts have no words and fail the base rules.
+    Null sources are one host. Rows that share a doc_id count as one document of a line but are judged each by itself.
+    A document counts for its host if it has a line with a word.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("host"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_base_metrics(rows).withColumn("items", F.transform("lines", _item)).drop("text", "lines")
-    # Written once: all texts are read a single time, and the row numbers stay as they are.
-    rows = settled(rows.withColumn("row", F.monotonically_increasing_id()), "quality-rows")
+    rows = with_base_metrics(rows).withColumn("items", F.transform("lines", _item)).drop("lines")
+    # Written once: the row numbers stay as they are, and texts are read again only where they are put out.
+    rows = settled(rows.withColumn("row", F.monotonically_increasing_id()), "quality-rows", compression="zstd")
     items = rows.select("row", "host", F.col("doc_id").alias("holder"), F.inline("items"))
     above = settled(frequent_lines(items, limits), "quality-lines")
-    removed = joined_spread(items.select("row", *LINE, "chars"), above, LINE).groupBy("row").agg(F.sum("chars").alias("removed"))
-    rows = rows.withColumn("line_chars", F.expr("aggregate(items.chars, 0L, (s, x) -> s + x)")).drop("items", "host")
-    rows = rows.join(removed, "row", "left").drop("row").withColumn("removed_chars", F.coalesce("removed", F.lit(0)).cast("long"))
-    left = F.col("line_chars") - F.col("removed_chars")
-    whole = left >= F.col("line_chars") * limits.least_share
-    return rows.withColumn("kept", ~F.col("base_failed") & whole).drop("removed")
+    lost = joined_spread(items.select("row", *LINE), above, LINE).groupBy("row").agg(F.collect_set(F.struct("h1", "h2")).alias("lost"))  # no more than the lines of a document
+    rows = rows.drop("host").join(lost, "row", "left").drop("row")
+
+    def stays(item: Column) -> Column:
+        return ~F.array_contains(F.col("lost"), F.struct(item["h1"], item["h2"]))
+
+    chars = "aggregate({}, 0L, (s, x) -> s + x.chars)"
+    rows = rows.withColumn("left", F.when(F.col("lost").isNull(), F.col("items")).otherwise(F.filter("items", stays)))
+    rows = rows.withColumn("line_chars", F.expr(chars.format("items"))).withColumn("left", F.expr(chars.format("left")))
+    rows = rows.withColumn("removed_chars", F.col("line_chars") - F.col("left"))
+    whole = F.col("left") >= F.col("line_chars") * limits.least_share
+    lines = F.filter(F.split("text", "\n"), lambda x: (F.btrim(x, F.lit(SPACES)) == "") | stays(_item(x)))
+    rows = rows.withColumn("kept", ~F.col("base_failed") & whole)
+    rows = rows.withColumn("cleaned", F.when(F.col("lost").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n")))
+    return rows.drop("text", "items", "lost", "left")
+
+
+def judged(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """What `cleaned` says of every row of documents, without the texts."""
+    return cleaned(docs, limits).drop("cleaned")

@@ -216,6 +216,20 @@ def test_depleted_documents_of_a_host_are_rejected(spark, words):
     assert all(got[i] for i in range(1, 60, 2)) and all(got[i] for i in (*range(100, 160), *range(200, 210)))
 
 
+def test_lines_above_the_limits_are_removed_from_the_text(spark, words):
+    random.seed(6)
+    prose = lambda n: " ".join(random.choice(words) for _ in range(n))
+    line = prose(70)
+    rows = [(i, f"{prose(60)}\n\n  {line.upper()} \n{prose(9)}", "h") for i in range(40)] + [(50 + i, f"{line}\nend {i}", "h") for i in range(5)]
+    rows += [(60, f"{line}\n{prose(60)}", None), (61, None, "h"), (62, " \n", "h"), (60, f"x\n{line}", "h")]
+    got = line_frequency.cleaned(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    gone = lambda t, source: "\n".join(x for x in t.split("\n") if source is None or x.strip(SPACES).lower() != line)
+    assert Counter((r.doc_id, r.cleaned) for r in got) == Counter((d, gone(t or "", source)) for d, t, source in rows)
+    chars = lambda t: sum(len(x.strip(SPACES)) for x in t.split("\n"))
+    assert all(chars(r.cleaned) == r.line_chars - r.removed_chars and r.kept == (not r.base_failed and chars(r.cleaned) >= 0.3 * r.line_chars) for r in got)
+    assert not any(r.kept for r in got if 50 <= r.doc_id < 55)
+
+
 def plain_line_dedup(rows):
     key = lambda line: re.sub("[A-Z]", lambda m: m[0].lower(), line.strip(SPACES))
     held = defaultdict(set)
