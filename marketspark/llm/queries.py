@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marketspark.llm import decontaminate, hmm, language, line_dedup, line_frequency, mixing, preference, quality, simhash, token_file
+from marketspark.llm import decontaminate, hmm, language, lexical, line_dedup, line_frequency, mixing, packing, preference, quality, simhash, token_file, whitening
 from marketspark.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -129,13 +129,42 @@ def op10_hidden_markov_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(table(spark, sf_dir, "documents"))
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+def op12_chebyshev_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# Items are told apart by their row, as repeated item_ids are items of their own.
+_TERMS = r"regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP13_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS doc, doc_id, {_TERMS} AS terms FROM documents),
+b AS (SELECT row_number() OVER () AS item, item_id, {_TERMS} AS terms FROM benchmark),
+size AS (SELECT count(*) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS n_terms FROM d WHERE len(terms) > 0),
+q AS (SELECT item, item_id, term, count(*) AS times FROM (SELECT item, item_id, unnest(terms) AS term FROM b) GROUP BY ALL),
+t AS (SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS weight
+  FROM (SELECT term, count(*) AS df FROM t GROUP BY term), size),
+m AS (SELECT doc, doc_id, 75 + (25 * CAST(len(terms) AS BIGINT) * n_docs) // n_terms AS m FROM d, size WHERE len(terms) > 0),
+s AS (SELECT item, item_id, doc, doc_id, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM q JOIN t USING (term) JOIN w USING (term) JOIN m USING (doc) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) <= 20"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 _ALL = (
     op1_string_tiling, op2_simhash_near_dedup, op3_preference_format, op4_token_file, op5_line_frequency_rules, op6_source_mixing,
-    op7_language_id, op8_line_dedup, op9_quality_classifier, op10_hidden_markov_scores, pipeline,
+    op7_language_id, op8_line_dedup, op9_quality_classifier, op10_hidden_markov_scores, op11_best_fit_packing, op12_chebyshev_whitening, op13_lexical_search, pipeline,
 )
 QUERIES = {q.__name__: q for q in _ALL}
-SQL = {"op3_preference_format": OP3_SQL, "op5_line_frequency_rules": OP5_SQL, "op6_source_mixing": OP6_SQL, "op8_line_dedup": OP8_SQL}
+SQL = {"op3_preference_format": OP3_SQL, "op5_line_frequency_rules": OP5_SQL, "op6_source_mixing": OP6_SQL, "op8_line_dedup": OP8_SQL, "op13_lexical_search": OP13_SQL}
