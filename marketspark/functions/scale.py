@@ -48,22 +48,114 @@ def summarise(
 ) -> DataFrame:
     """Grouped aggregates together with exact percentiles and numbers of distinct values.
 
-    Distinct counts repeat every row once per counted column, and percentiles go by rank (exact_quantiles), so each
-    is kept out of the aggregate that carries sums: each part scans only its own columns, and the small results are
-    joined.
+    One scan gives all of them as GROUPING SETS: a set of the keys for the aggregates, one more with each counted column for
+    its distinct values, one more with a coarse bin of each column with percentiles for its histogram. Tasks combine
+    their rows before the shuffle, and the cells of one large group are spread over all tasks. The bins tell the rank of each
+    percentile: it is the least or the greatest value of a bin, or its bin stays open. Only rows in open bins are read again
+    (_open_values); without open bins nothing is.
+
+    With percentiles the first scan runs when the summary is built: it is written to the shared folder, so that its size
+    decides on how the second one joins with it.
     """
-    keys = list(keys)
-    parts = [df.groupBy(*keys).agg(*aggregates) if aggregates else df.select(*keys).distinct()]
-    if quantiles:
-        parts.append(exact_quantiles(df, keys, quantiles))
-    if distinct:
-        parts.append(df.groupBy(*keys).agg(*[F.countDistinct(c).alias(name) for name, c in distinct.items()]))
-    if not keys:
-        return one_row(parts)
-    result = parts[0]
-    for part in parts[1:]:
-        result = join_on(result, part, keys)
-    return result
+    keys, distinct = list(keys), dict(distinct or {})
+    if not quantiles and not distinct:
+        return df.groupBy(*keys).agg(*aggregates) if aggregates else df.select(*keys).distinct()
+    columns = list(dict.fromkeys(q.column for q in quantiles))
+    counted = _summed_cells(df, keys, aggregates, columns, distinct)
+    if not quantiles:
+        return counted
+    placed = shared(_with_ranks(counted, quantiles, columns))
+    names = counted.columns[len(keys) : len(counted.columns) - len(distinct) - 2 * len(columns)]
+    if placed.where(F.size("__open") > 0).isEmpty():
+        placed = placed.withColumn("__found", F.lit(None).cast("map<string,double>"))
+    else:
+        placed = join_on(placed, _open_values(df, keys, placed, columns), keys)
+    out = []
+    for i, q in enumerate(quantiles):
+        low, high = (f"coalesce(__{side}{i}, __found['{side}{i}'])" for side in ("lo", "hi"))
+        at = f"((__total{columns.index(q.column)} - 1) * {float(q.p)!r}D)"
+        out.append(F.expr(f"IF(floor({at}) = ceil({at}), {low}, (ceil({at}) - {at}) * {low} + ({at} - floor({at})) * {high})").alias(q.name))
+    return placed.select(*keys, *names, *out, *distinct)
+
+
+def _summed_cells(df: DataFrame, keys: list[str], aggregates: Sequence[Column], columns: list[str], distinct: dict[str, str]) -> DataFrame:
+    """keys, the aggregates, the distinct counts, and a histogram `__hist{i}` of each column, a row per group; one scan."""
+    facets = {f"__b{i}": order_bin(F.col(c).cast("double"), COARSE_BINS) for i, c in enumerate(columns)}
+    facets |= {f"__d{i}": F.col(c) for i, c in enumerate(distinct.values())}
+    plain = df.groupBy(*keys).agg(*aggregates) if aggregates else None
+    names = plain.columns[len(keys) :] if aggregates else []
+    bins = []
+    for i, c in enumerate(columns):
+        v = F.col(c).cast("double")
+        bins += [F.count(v).alias(f"__n{i}"), F.min(v).alias(f"__least{i}"), F.max(v).alias(f"__most{i}")]
+    cells = (
+        df.withColumns(facets)
+        .groupingSets([[F.col(k) for k in keys], *[[*map(F.col, keys), F.col(f)] for f in facets]], *keys, *facets)
+        .agg(F.grouping_id().alias("__set"), *aggregates, *bins)
+    )
+    every = (1 << len(facets)) - 1
+    of = {f: F.col("__set") == every - (1 << (len(facets) - 1 - j)) for j, f in enumerate(facets)}
+    whole = F.when(F.col("__set") == every, 1)
+    if not keys and names:
+        # A table without rows has a summary too.
+        cells = cells.unionByName(df.where(F.lit(False)).agg(*aggregates), allowMissingColumns=True)
+        whole = whole.when(F.col("__set").isNull(), 0)
+    parts = [F.max_by(F.struct(*names), whole).alias("__whole")] if names else []
+    parts += [F.count_if(of[f"__d{i}"] & F.col(f"__d{i}").isNotNull()).alias(name) for i, name in enumerate(distinct)]
+    for i in range(len(columns)):
+        entry = F.struct(F.col(f"__b{i}").alias("bin"), F.col(f"__n{i}").alias("n"), F.col(f"__least{i}").alias("least"), F.col(f"__most{i}").alias("most"))
+        parts.append(F.array_sort(F.collect_list(F.when(of[f"__b{i}"] & (F.col(f"__n{i}") > 0), entry))).alias(f"__hist{i}"))
+        parts.append(F.coalesce(F.sum(F.when(of[f"__b{i}"], F.col(f"__n{i}"))), F.lit(0)).alias(f"__total{i}"))
+    return cells.groupBy(*keys).agg(*parts).select(*keys, *[F.col("__whole")[n].alias(n) for n in names], *distinct, *[f"__{part}{i}" for part in ("hist", "total") for i in range(len(columns))])
+
+
+def _with_ranks(counted: DataFrame, quantiles: Sequence[Quantile], columns: list[str]) -> DataFrame:
+    """The summaries with, in place of the histograms, the value below and above each percentile where a bin tells it. For the
+    others, `__open` lists the bins (column, bin, rows before it) and `__asks` the ranks wanted (column, bin, rank, name)."""
+    kept, totals = counted.columns[: counted.columns.index("__hist0")], [f"__total{i}" for i in range(len(columns))]
+    wanted: list[list[tuple[str, str]]] = [[] for _ in columns]
+    for i, q in enumerate(quantiles):
+        c = columns.index(q.column)
+        at = f"(__total{c} - 1) * {float(q.p)!r}D"
+        wanted[c] += [(f"lo{i}", f"floor({at})"), (f"hi{i}", f"ceil({at})")]
+    nothing = "CAST(NULL AS STRUCT<bin: BIGINT, before: BIGINT, n: BIGINT, least: DOUBLE, most: DOUBLE>)"
+    here = "named_struct('bin', e.bin, 'before', acc.before, 'n', e.n, 'least', e.least, 'most', e.most)"
+    walks = []
+    for c, ranks in enumerate(wanted):
+        start = ", ".join(f"'{name}', {nothing}" for name, _ in ranks)
+        step = ", ".join(f"'{name}', IF({rank} >= acc.before AND {rank} < acc.before + e.n, {here}, acc.{name})" for name, rank in ranks)
+        walks.append(f"aggregate(__hist{c}, named_struct('before', 0L, {start}), (acc, e) -> named_struct('before', acc.before + e.n, {step})) AS __cells{c}")
+    # Exploded as one row, so that Spark walks each histogram once and does not repeat the walk wherever its result is used.
+    walked = counted.select(*kept, *totals, F.explode(F.array(F.struct(*map(F.expr, walks)))).alias("__walked")).select(*kept, *totals, "__walked.*")
+    found, bins, asks = [], [], []
+    for c, ranks in enumerate(wanted):
+        for name, rank in ranks:
+            cell = f"__cells{c}.{name}"
+            found.append(f"CASE WHEN {rank} = {cell}.before OR {cell}.least = {cell}.most THEN {cell}.least WHEN {rank} = {cell}.before + {cell}.n - 1 THEN {cell}.most END AS __{name}")
+            still = f"{cell}.before IS NOT NULL AND {cell}.least < {cell}.most AND {rank} > {cell}.before AND {rank} < {cell}.before + {cell}.n - 1"
+            bins.append(f"IF({still}, named_struct('__c', {c}, '__bin', {cell}.bin, '__before', {cell}.before), NULL)")
+            asks.append(f"IF({still}, named_struct('__c', {c}, '__bin', {cell}.bin, '__rank', {rank}, '__name', '{name}'), NULL)")
+    lists = [f"array_distinct(array_compact(array({', '.join(bins)}))) AS __open", f"array_compact(array({', '.join(asks)})) AS __asks"]
+    return walked.select(*kept, *totals, *map(F.expr, found + lists))
+
+
+def _open_values(df: DataFrame, keys: list[str], placed: DataFrame, columns: list[str]) -> DataFrame:
+    """keys and `__found`, the map from the name to the value of every rank asked for.
+
+    Rows outside the open bins are dropped before any shuffle where these are few: they are stored, so Spark knows their
+    size. The values left are counted, which spreads a bin over all tasks, and ordered within their bin.
+    """
+    cell = [*keys, "__c", "__bin"]
+    places = placed.select(*keys, F.explode("__open").alias("__o")).select(*keys, "__o.*")
+    asks = placed.select(*keys, F.explode("__asks").alias("__o")).select(*keys, "__o.*")
+    values = [F.struct(F.lit(i).alias("__c"), F.col(c).cast("double").alias("__v")) for i, c in enumerate(columns)]
+    rows = df.select(*keys, F.explode(F.array(*values)).alias("__x")).select(*keys, "__x.*").where(F.col("__v").isNotNull())
+    inside = join_on(rows.withColumn("__bin", order_bin(F.col("__v"), COARSE_BINS)), places, cell, "inner")
+    counts = inside.groupBy(*cell, "__before", "__v").agg(F.count(F.lit(1)).alias("__n"))
+    upto = F.col("__before") + F.sum("__n").over(Window.partitionBy(*cell).orderBy("__v"))
+    ranked = join_on(counts.withColumn("__upto", upto), asks, cell, "inner")
+    picked = ranked.where((F.col("__rank") < F.col("__upto")) & (F.col("__rank") >= F.col("__upto") - F.col("__n")))
+    return picked.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("__name", "__v"))).alias("__found"))
 
 
 def one_row(parts: Sequence[DataFrame]) -> DataFrame:
@@ -76,70 +168,23 @@ def one_row(parts: Sequence[DataFrame]) -> DataFrame:
     return stacked.agg(*[F.first(c, ignorenulls=True).alias(c) for part in parts for c in part.columns])
 
 
-# Bins per factor of e: one is 0.003% wide, and values up to 10^12 in size fall into at most two million of them.
+# Bins per factor of e: a fine one is 0.003% wide, and values up to 10^12 in size fall into at most two million of them; those of
+# the histograms are 1.6% wide, and there are at most some four thousand.
 _BINS = 32768.0
+COARSE_BINS = 64.0
 
 
-def order_bin(value: Column) -> Column:
+def order_bin(value: Column, per_factor: float = _BINS) -> Column:
     """Order-preserving bin: their number is bounded for any number of rows."""
-    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * _BINS)
+    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * per_factor)
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], quantiles: Sequence[Quantile]) -> DataFrame:
-    """Exact interpolated percentiles of one or more columns without gathering any group.
-
-    Values of all columns are counted per (group, column, value), which spreads even one huge group over all tasks,
-    then per bin. A running count over the bins of a group locates those that hold the wanted ranks, and only their
-    values are ordered.
-    """
-    keys = list(keys)
-    columns = list(dict.fromkeys(q.column for q in quantiles))
-    values = [F.struct(F.lit(i).alias("__c"), F.col(c).cast("double").alias("__v")) for i, c in enumerate(columns)]
-    counts = (
-        df.select(*keys, F.explode(F.array(*values)).alias("__x"))
-        .select(*keys, "__x.*")
-        .where(F.col("__v").isNotNull())
-        .groupBy(*keys, "__c", "__v")
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__bin", order_bin(F.col("__v")))
-    )
-    group = Window.partitionBy(*keys, "__c")
-    bins = (
-        counts.groupBy(*keys, "__c", "__bin")
-        .agg(F.sum("__n").alias("__bin_n"))
-        .withColumn("__total", F.sum("__bin_n").over(group))
-        .withColumn("__upto", F.sum("__bin_n").over(group.orderBy("__bin")))
-        .withColumn("__before", F.col("__upto") - F.col("__bin_n"))
-    )
-
-    def position(q: Quantile, total: str = "__total") -> Column:
-        return (F.col(total) - 1) * F.lit(float(q.p))
-
-    def covers(q: Quantile, rank: Column, start: Column, size: Column) -> Column:
-        return (F.col("__c") == columns.index(q.column)) & (rank >= start) & (rank < start + size)
-
-    hit = F.lit(False)
-    for q in quantiles:
-        for rank in (F.floor(position(q)), F.ceil(position(q))):
-            hit = hit | covers(q, rank, F.col("__before"), F.col("__bin_n"))
-    located = bins.where(hit).select(*keys, "__c", "__bin", "__before", "__total")
-    inside = Window.partitionBy(*keys, "__c", "__bin").orderBy("__v")
-    ranked = join_on(counts, located, [*keys, "__c", "__bin"], "inner").withColumn(
-        "__start", F.col("__before") + F.sum("__n").over(inside) - F.col("__n")
-    )
-    picks = [F.max(F.when(F.col("__c") == i, F.col("__total"))).alias(f"__total{i}") for i in range(len(columns))]
-    for i, q in enumerate(quantiles):
-        for side, rank in (("lo", F.floor(position(q))), ("hi", F.ceil(position(q)))):
-            picked = F.when(covers(q, rank, F.col("__start"), F.col("__n")), F.col("__v"))
-            picks.append(F.max(picked).alias(f"__{side}{i}"))
-    found = ranked.groupBy(*keys).agg(*picks)
-    out = []
-    for i, q in enumerate(quantiles):
-        at = position(q, f"__total{columns.index(q.column)}")
-        low, high = F.floor(at), F.ceil(at)
-        between = (high - at) * F.col(f"__lo{i}") + (at - low) * F.col(f"__hi{i}")
-        out.append(F.when(low == high, F.col(f"__lo{i}")).otherwise(between).alias(q.name))
-    return found.select(*keys, *out)
+    """Exact interpolated percentiles of one or more columns, of the groups that have a value, without gathering any group."""
+    some = F.lit(False)
+    for c in dict.fromkeys(q.column for q in quantiles):
+        some = some | F.col(c).isNotNull()
+    return summarise(df.where(some), keys, [], quantiles)
 
 
 def ordered_members(
