@@ -432,12 +432,10 @@ def s7(spark, sf):
     return df.select(F.to_csv(F.struct("area_name_en", "property_type", "n", "d")).alias("line"))
 
 
-@register("s8_study_export", intel.STUDY + """SELECT name, transactions_1, transactions_2, CASE WHEN growth_2_pct = 999999 THEN 'INFINITE' ELSE CAST(growth_2_pct AS VARCHAR) END AS growth_2_pct,
-  misleading_reason FROM flagged WHERE abs(growth_2_pct) < 1000 OR growth_2_pct = 999999""")
+@register("s8_study_export", intel.STUDY + """SELECT name, transactions_1, transactions_2, CASE WHEN growth_2_pct = 999999 THEN 'INFINITE' ELSE CAST(CAST(growth_2_pct AS DECIMAL(22, 2)) AS VARCHAR) END AS growth_2_pct,
+  misleading_reason FROM flagged""")
 def s8(spark, sf):
-    shown = sinks.shown_study(intel._flagged(spark, sf))
-    kept = (F.col("growth_2_pct") == "INFINITE") | (F.abs(F.col("growth_2_pct").try_cast("double")) < 1000)
-    return shown.where(kept).select("name", "transactions_1", "transactions_2", "growth_2_pct", "misleading_reason")
+    return sinks.shown_study(intel._flagged(spark, sf)).select("name", "transactions_1", "transactions_2", "growth_2_pct", "misleading_reason")
 
 
 @register("s9_slice_sizes", intel.STUDY + """SELECT 'all' AS slice, count(*) AS records FROM flagged UNION ALL SELECT 'top_legitimate', least(50, count(*)) FROM flagged WHERE NOT misleading_flag

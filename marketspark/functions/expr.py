@@ -75,6 +75,11 @@ def without_nan(c: Column | str) -> Column:
     return F.when(F.isnan(value) | (F.abs(value) == F.lit(float("inf"))), F.lit(None)).otherwise(value)
 
 
+def fixed(c: Column | str, places: int) -> Column:
+    """A number as text with a fixed number of places, at any size; the same in every engine."""
+    return col(c).cast(f"decimal({20 + places},{places})").cast("string")
+
+
 def count_where(condition: Column) -> Column:
     return F.count_if(condition)
 

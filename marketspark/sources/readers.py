@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 TRANSACTIONS = T.StructType(
@@ -163,3 +164,28 @@ def column_catalog(df: DataFrame) -> DataFrame:
     """Names and types of a source's columns."""
     rows = [(f.name, f.dataType.simpleString()) for f in df.schema.fields]
     return df.sparkSession.createDataFrame(rows, "column_name string, data_type string")
+
+
+# The pointer of a table written by sinks.commit_table: its rows name the snapshots in the order of their numbers.
+POINTER = "_pointer"
+POINTER_SCHEMA = "number long, snapshot string, committed_at timestamp"
+
+
+def latest_snapshot(spark: SparkSession, path: str) -> tuple[int, str | None]:
+    """Number and folder name of the current snapshot of a table; 0 and None where there is none yet."""
+    try:
+        rows = spark.read.schema(POINTER_SCHEMA).parquet(f"{path}/{POINTER}")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 0, None
+    last = rows.agg(F.max(F.struct("number", "committed_at", "snapshot")).alias("last")).first().last
+    return (last.number, last.snapshot) if last else (0, None)
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """The current snapshot of a table that sinks.commit_table wrote."""
+    name = latest_snapshot(spark, path)[1]
+    if name is None:
+        raise FileNotFoundError(f"no committed table at {path}")
+    return spark.read.parquet(f"{path}/{name}")

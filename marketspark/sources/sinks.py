@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
 
 from marketspark.config import INFINITE_GROWTH
+from marketspark.functions.expr import fixed
+from marketspark.sources.readers import POINTER, POINTER_SCHEMA, latest_snapshot
 
 
 def stamped(df: DataFrame, version_id: int) -> DataFrame:
@@ -22,13 +26,29 @@ def replace_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def commit_table(df: DataFrame, path: str) -> str:
+    """Replaces a table at once and returns the name of its new snapshot; readers.read_table reads it.
+
+    The rows go to a folder of their own, and only when that is complete one row added to the pointer names it. A rewrite
+    that fails leaves the table as it was, and a reader keeps the snapshot it began with. A frame that reads the
+    table itself may be committed to it. Of two writers the later pointer counts.
+    """
+    spark = df.sparkSession
+    number = latest_snapshot(spark, path)[0] + 1
+    name = f"snapshot-{number:08d}-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{name}")
+    row = spark.range(1).select(F.lit(number).cast("long").alias("number"), F.lit(name).alias("snapshot"), F.current_timestamp().alias("committed_at"))
+    spark.createDataFrame([], POINTER_SCHEMA).unionByName(row).coalesce(1).write.mode("append").parquet(f"{path}/{POINTER}")
+    return name
+
+
 def export_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
 def marked_infinite(c: str) -> Column:
-    """Growth as text, with the zero-base marker spelled out."""
-    return F.when(F.col(c) == INFINITE_GROWTH, F.lit("INFINITE")).otherwise(F.col(c).cast("string")).alias(c)
+    """Growth as text with two places, with the zero-base marker spelled out."""
+    return F.when(F.col(c) == INFINITE_GROWTH, F.lit("INFINITE")).otherwise(fixed(c, 2)).alias(c)
 
 
 def shown_study(study: DataFrame) -> DataFrame:
