@@ -1,13 +1,14 @@
 """Language model scoring with a hidden Markov model.
 
 A word is emitted in two steps: a state emits one of the word classes (a hash of the word), whose number grows with
-the vocabulary so that a class has a bounded number of words on the average, and the class emits the word by its share
+the vocabulary up to a limit that bounds the model, and the class emits the word by its share
 in the corpus: p(word) = sum over state paths of start, transition and emission of classes, times p(word | class) =
 (c + 0.1) / (C + 0.1 * (V + 1)), where c counts the word, C its class and V the words of the class. Unseen words are
 the one further word of their class. The second factor does not depend on the states, so the likelihood is exact: a
 scaled forward recursion over the classes plus a sum over the words.
 
-Training: word counts over all training texts; then Baum-Welch, every step over all training texts. Each partition
+Training: word counts over all training texts; then Baum-Welch, stepwise: texts are dealt to slices, and after each slice the
+model is renewed from expected counts in which newer slices weigh more. Every pass goes over all texts. Each partition
 runs forward-backward over its whole texts and adds up expected starts, transitions and emissions; Spark adds the
 partitions, block by block of the sums that they have; a number of sums for each class reaches the driver.
 
@@ -17,6 +18,7 @@ model, so that a text only shuffles its rarer words, once each, to join the tabl
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -26,16 +28,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from marketspark.llm.common import fold, settled
+from marketspark.llm.common import fold, settled, shared_folder
 
 SMOOTHING = 0.1
 
 
 @dataclass(frozen=True)
 class Settings:
-    """states, least number of word classes (class 0 is the end) and words of a class on the average beyond it, steps
-    (first_steps + steps, all over all texts; `sample` has no effect), words of a text after which training keeps only
-    the state it carries on, and the largest number of words shipped with the model."""
+    """states, least number of word classes (class 0 is the end), words of a class on the average beyond it and largest
+    number of classes (None: no limit), passes (first_steps + steps, each over all texts; `sample` has no effect), slices of the texts
+    after each of which the model is renewed, words of a text after which training keeps only the state it carries on, and the
+    largest number of words shipped with the model."""
 
     states: int = 8
     classes: int = 2048
@@ -46,6 +49,13 @@ class Settings:
     piece: int = 1 << 16
     head: int = 40_000
     head_bytes: int = 64
+    most_classes: int | None = None
+    slices: int = 1
+
+
+# Two passes over all texts, a step after each 32nd part of them; model and sums have at most 2 MB.
+STEPWISE = Settings(first_steps=1, steps=1, slices=32, most_classes=1 << 15)
+FORGET = 0.6  # weight of step k's sums among those so far: (k + 1) to the power of minus this
 
 
 class WordClasses(dict):
@@ -247,21 +257,26 @@ def _added(states: int):
     return run
 
 
-def baum_welch(sequences: DataFrame, model: Hmm, frequency: np.ndarray, piece: int) -> Hmm:
-    """One step over all rows (classes): expectations per partition, added up by Spark."""
+def expectations(sequences: DataFrame, model: Hmm, piece: int) -> np.ndarray:
+    """Expected starts, transitions and emissions over all rows (classes): sums per partition, added up by Spark."""
     shared = sequences.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         return _expectation(shared.value, piece)(batches)
 
     k = len(model.start)
-    rows = 1 + k + len(frequency)
+    rows = 1 + k + len(model.emit)
     sums = np.zeros((-(-rows // BLOCK) * BLOCK, k))
     parts = sequences.select("classes").mapInArrow(run, "block int, places binary, values binary")
     for r in parts.groupBy("block").applyInArrow(_added(k), "block int, sums binary").collect():
         sums[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.sums).reshape(BLOCK, k)
     shared.destroy()
-    return Hmm.of_sums(sums[:rows].reshape(-1), k, frequency)
+    return sums[:rows].reshape(-1)
+
+
+def baum_welch(sequences: DataFrame, model: Hmm, frequency: np.ndarray, piece: int) -> Hmm:
+    """One step over all rows (classes)."""
+    return Hmm.of_sums(expectations(sequences, model, piece), len(model.start), frequency)
 
 
 @dataclass
@@ -282,6 +297,8 @@ def count_corpus(train: DataFrame, settings: Settings) -> Corpus:
     counts = settled(train.select("text").mapInArrow(_counts, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "hmm-counts")
     texts = train.count()
     classes = max(settings.classes, -(-counts.count() // settings.class_size))
+    if settings.most_classes is not None:
+        classes = min(classes, settings.most_classes)
     cls = (F.crc32("word") % (classes - 1) + 1).cast("int")
     level = F.floor(F.log2("c") * 16).cast("int")
     class_counts, class_words = np.zeros(classes), np.zeros(classes)
@@ -304,9 +321,24 @@ def train_model(train: DataFrame, corpus: Corpus, settings: Settings) -> Hmm:
     model = Hmm.first(corpus.class_counts, settings.states)
     if not corpus.texts:
         return model
-    sequences = settled(train.select("text").mapInArrow(_sequences(len(corpus.class_counts)), "classes binary"), "hmm-classes")
+    spark, slices = train.sparkSession, settings.slices
+    path = f"{shared_folder(spark)}/hmm-classes-{uuid.uuid4().hex}"
+    dealt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(slices)).cast("int").alias("slice")
+    rows = train.select("text").mapInArrow(_sequences(len(corpus.class_counts)), "classes binary").select("classes", dealt)
+    rows.write.partitionBy("slice").parquet(path)
+    sequences = spark.read.schema("classes binary, slice int").parquet(path)
+    sums, step = None, 0
     for _ in range(settings.first_steps + settings.steps):
-        model = baum_welch(sequences, model, corpus.class_counts, settings.piece)
+        for i in range(slices):
+            found = expectations(sequences.where(F.col("slice") == i), model, settings.piece)
+            texts = found[: settings.states].sum()
+            if texts == 0:
+                continue
+            # A slice stands for all texts; without slices a step replaces what was before it.
+            share = 1.0 if slices == 1 else (step + 1) ** -FORGET
+            found *= corpus.texts / texts if slices > 1 else 1.0
+            sums = found if sums is None else (1 - share) * sums + share * found
+            model, step = Hmm.of_sums(sums, settings.states, corpus.class_counts), step + 1
     return model
 
 
@@ -347,7 +379,7 @@ class Scorer:
 _SCORED = "doc_id long, held_out boolean, n_tokens long, head_known long, head_sum double, path double, tail array<struct<word:binary,tf:int>>"
 
 
-def score(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def score(docs: DataFrame, settings: Settings = STEPWISE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of documents (doc_id, text).
 
     Texts whose id has a crc32 that 10 divides are held out; a row with a null id teaches. A null or blank text is the

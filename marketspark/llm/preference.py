@@ -7,8 +7,9 @@ character spans that are trained on: the text and end mark of the assistant's tu
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from marketspark.llm.common import settled
 
 TURN = ["pair_id", "turn"]
 OPEN, CLOSE, END = "<|", "|>\n", "<|end|>\n"
@@ -72,17 +73,35 @@ def format_pairs(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     )
 
 
+def _next_replies(last: DataFrame) -> DataFrame:
+    """For the replies (pair_id, reply) the reply of the next pair_id in order; after the last comes the first.
+
+    Replies are range-partitioned by id and numbered by part; inside a part the next row has it, and the last row of a part
+    takes the first of the next part that has rows.
+    """
+    rows = settled(last.repartitionByRange("pair_id").withColumn("part", F.spark_partition_id()), "preference-replies")
+    inside = Window.partitionBy("part").orderBy("pair_id")
+    rows = rows.withColumn("next", F.lead(F.struct("reply")).over(inside))
+    firsts = rows.groupBy("part").agg(F.min(F.struct("pair_id", "reply")).alias("first"))  # a row per part
+    over = Window.orderBy("part")
+    whole = over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = firsts.select("part", F.coalesce(F.lead("first").over(over), F.first("first").over(whole))["reply"].alias("after"))
+    return rows.join(after, "part").select("pair_id", F.when(F.col("next").isNotNull(), F.col("next.reply")).otherwise(F.col("after")).alias("reply"))
+
+
 def with_next_reply(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Chosen and rejected sides from plain conversations (conv_id, turn, role, text).
 
-    Chosen is a conversation up to its last assistant turn; rejected is the same with that turn replaced by the last
-    assistant turn of the conversation with the next higher id (id + 1), a reply to something else. Conversations
-    without an assistant turn, or without such a neighbour, form no pair.
+    Chosen is a conversation with all its turns; rejected is the same with its last assistant turn replaced by that of
+    the next conversation in the order of ids that has one, a reply to something else; after the last id comes the first.
+    Conversations without an assistant turn, and those without an id, form no pair; a single one with a reply meets
+    itself, and its sides are equal. Turns after the last reply and null turns stay on both sides. An empty table gives no rows.
     """
-    rows = turns(conversations.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text"))
-    last = rows.where(F.col("role") == TRAINED).groupBy("pair_id").agg(F.max(F.struct("turn", "role", "text")).alias("last"))
-    other = last.select((F.col("pair_id") - 1).alias("pair_id"), F.col("last.text").alias("reply"))
-    ends = last.select("pair_id", F.col("last.turn").alias("end")).join(other, "pair_id")
-    rows = rows.join(ends, "pair_id").where(F.col("turn") <= F.col("end"))
-    swapped = F.when(F.col("turn") == F.col("end"), F.col("reply")).otherwise(F.col("text"))
+    rows = turns(conversations.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text").where(F.col("pair_id").isNotNull()))
+    order = F.struct(F.col("turn").isNotNull().alias("known"), "turn")
+    last = rows.where(F.col("role") == TRAINED).groupBy("pair_id").agg(F.max(F.struct(order.alias("order"), "text")).alias("last"))
+    other = _next_replies(last.select("pair_id", F.col("last.text").alias("reply")))
+    ends = last.select("pair_id", F.col("last.order.turn").alias("end")).join(other, "pair_id")
+    rows = rows.join(ends, "pair_id")
+    swapped = F.when(F.col("turn").eqNullSafe(F.col("end")), F.col("reply")).otherwise(F.col("text"))
     return rows.select(*TURN, "role", "text"), rows.select(*TURN, "role", swapped.alias("text"))

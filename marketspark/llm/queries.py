@@ -32,8 +32,9 @@ def op3_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP3_SQL = """
 WITH last AS (SELECT conv_id, max(turn) AS e FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
 reply AS (SELECT c.conv_id, c.text FROM conversations c JOIN last ON c.conv_id = last.conv_id AND c.turn = last.e),
-t AS (SELECT c.conv_id AS pair_id, c.turn, c.role, c.text AS good, CASE WHEN c.turn = last.e THEN reply.text ELSE c.text END AS bad
-  FROM conversations c JOIN last USING (conv_id) JOIN reply ON reply.conv_id = c.conv_id + 1 WHERE c.turn <= last.e),
+other AS (SELECT conv_id, coalesce(lead(text) OVER (ORDER BY conv_id), first_value(text) OVER (ORDER BY conv_id)) AS text FROM reply),
+t AS (SELECT c.conv_id AS pair_id, c.turn, c.role, c.text AS good, CASE WHEN c.turn = last.e THEN other.text ELSE c.text END AS bad
+  FROM conversations c JOIN last USING (conv_id) JOIN other USING (conv_id)),
 f AS (SELECT pair_id, min(turn) FILTER (WHERE good <> bad) AS first FROM t GROUP BY pair_id),
 r AS (SELECT t.*, first IS NULL OR turn < first AS common, '<|' || role || '|>' || chr(10) AS head,
   good || '<|end|>' || chr(10) AS good_body, bad || '<|end|>' || chr(10) AS bad_body FROM t JOIN f USING (pair_id)),

@@ -530,7 +530,36 @@ def test_preference_pairs(spark):
 
 
 def test_rejected_sides_are_replies_to_something_else(spark):
-    rows = [(1, 0, "user", "q1"), (1, 1, "assistant", "a1"), (1, 2, "user", "more"), (2, 0, "user", "q2"), (2, 1, "assistant", "a2"), (3, 0, "user", "q3")]
-    chosen, rejected = preference.with_next_reply(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
-    assert sorted(map(tuple, chosen.collect())) == [(1, 0, "user", "q1"), (1, 1, "assistant", "a1")]
-    assert sorted(map(tuple, rejected.collect())) == [(1, 0, "user", "q1"), (1, 1, "assistant", "a2")]
+    long = "very long " * 50_000
+    rows = [(1, 0, "user", "q1"), (1, 1, "assistant", "a1"), (1, 2, "user", "more"), (7, 0, "user", None), (7, None, None, None), (7, 1, "assistant", long), (7, 1, "assistant", long)]
+    rows += [(3, 0, "user", "q3"), (9, None, "assistant", "a9"), (None, 0, "assistant", "none")]
+    frame = spark.createDataFrame([(*r, 5) for r in rows], "conv_id long, turn long, role string, text string, reply int")
+    chosen, rejected = preference.with_next_reply(frame)
+
+    def plain(df):
+        return sorted(map(tuple, df.collect()), key=str)
+
+    kept = [(1, 0, "user", "q1"), (1, 1, "assistant", "a1"), (1, 2, "user", "more"), (7, None, "", ""), (7, 0, "user", ""), (7, 1, "assistant", long), (9, None, "assistant", "a9")]
+    replies = {"a1": long, long: "a9", "a9": "a1"}
+    assert plain(chosen) == sorted(kept, key=str)
+    assert plain(rejected) == sorted(((p, t, role, replies.get(text, text)) for p, t, role, text in kept), key=str)
+    one = preference.with_next_reply(frame.where("conv_id = 1"))
+    assert plain(one[0]) == plain(one[1]) == sorted(kept[:3], key=str)
+    assert plain(preference.with_next_reply(frame.limit(0))[1]) == []
+
+
+def test_next_replies_follow_the_order_of_ids_over_parts(spark):
+    ids = random.Random(6).sample(range(100_000), 700)
+    last = spark.createDataFrame([(i, f"r{i}") for i in ids], "pair_id long, reply string").repartition(4)
+    got = {r.pair_id: r.reply for r in preference._next_replies(last).collect()}
+    ordered = sorted(ids)
+    assert got == {i: f"r{ordered[(k + 1) % len(ordered)]}" for k, i in enumerate(ordered)}
+
+
+def test_every_conversation_with_a_reply_forms_a_whole_pair(spark):
+    rows = [r for r in table(spark, "/root/testdata/sf0.01", "conversations").collect()]
+    replied = {r.conv_id for r in rows if r.role == "assistant"}
+    chosen, rejected = preference.with_next_reply(table(spark, "/root/testdata/sf0.01", "conversations"))
+    want = sorted((r.conv_id, r.turn) for r in rows if r.conv_id in replied)
+    assert sorted((r.pair_id, r.turn) for r in chosen.collect()) == sorted((r.pair_id, r.turn) for r in rejected.collect()) == want
+

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from marketspark.llm import lexical, packing, queries, whitening
+from marketspark.llm import hmm, lexical, packing, queries, whitening
 from marketspark.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -273,3 +273,36 @@ def test_scores_beyond_doubles_are_exact():
     assert not postings.in_doubles
     got = postings.scores(np.array([0, 0]), np.array([0, 1]), np.array([999_999, 3]), 1)
     assert got[0, 0] == 3_000_000 * 20_000 * 999_999 + 21
+
+
+# ---------------------------------------------------------------- stepwise training
+
+
+def test_stepwise_training_matches_plain_steps_and_bounds_the_model(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["a b c", "c d", "e f g h", "a a"]) for _ in range(rng.randint(0, 30))) for _ in range(60)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").select(F.col("text").cast("binary").alias("text")).coalesce(1)
+    settings = hmm.Settings(states=2, classes=4, class_size=1, most_classes=6, slices=3, first_steps=1, steps=1)
+    corpus = hmm.count_corpus(docs, settings)
+    assert len(corpus.class_counts) == 6 and corpus.class_counts.sum() == sum(len(t.split()) + 1 for t in texts)
+    got = hmm.train_model(docs, corpus, settings)
+    rows = docs.select("text", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(3)).alias("slice")).collect()
+    of, model, sums, step = hmm.WordClasses(6), hmm.Hmm.first(corpus.class_counts, 2), None, 0
+    for _ in range(2):
+        for i in range(3):
+            mine = [np.array([*map(of.__getitem__, hmm.tokens(r.text)), 0], np.uint16) for r in rows if r.slice == i]
+            found = hmm.expected(model, mine) * (60 / len(mine))
+            share = (step + 1) ** -0.6
+            sums = found if sums is None else (1 - share) * sums + share * found
+            model, step = hmm.Hmm.of_sums(sums, 2, corpus.class_counts), step + 1
+    assert np.allclose(got.move, model.move, rtol=1e-4) and np.allclose(got.emit, model.emit, rtol=1e-4) and np.allclose(got.start, model.start, rtol=1e-4)
+
+
+def test_stepwise_model_scores_held_out_texts_as_well_as_whole_steps(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    mean = {}
+    for name, settings in (("stepwise", hmm.STEPWISE), ("whole", hmm.Settings())):
+        rows = [r for r in hmm.score(docs, settings).collect() if r.held_out]
+        mean[name] = sum(r.score for r in rows) / sum(r.n_tokens for r in rows)
+    print(mean)
+    assert mean["stepwise"] > mean["whole"] - 0.02
