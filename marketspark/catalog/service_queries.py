@@ -9,6 +9,7 @@ from marketspark.catalog import supply_queries as sup
 from marketspark.catalog.metric_queries import M1, M3, MEDIAN, W1
 from marketspark.catalog.registry import REGISTERED, TX, register
 from marketspark.functions.expr import without_nan
+from marketspark.functions.lineage import shared
 from marketspark.functions.scale import one_row
 from marketspark.operators import lookups, metrics
 from marketspark.plans import bundles
@@ -403,7 +404,7 @@ SIZES = {
 
 @register("m17_metric_table_sizes", TX + " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS row_count FROM ({q})" for n, q in SIZES.items()))
 def m17(spark, sf):
-    built = bundles.metric_tables(tables.transactions(spark, sf))
+    built = bundles.metric_tables(shared(tables.transactions(spark, sf)))
     out = None
     for name in SIZES:
         part = built[name].agg(F.count(F.lit(1)).alias("row_count")).withColumn("table_name", F.lit(name))
@@ -420,8 +421,7 @@ def s5(spark, sf):
 
 @register("s6_metric_table_rows", AREAS + "SELECT area_name_en, total_transactions, luxury_count, offplan_count FROM m1")
 def s6(spark, sf):
-    table = bundles.metric_tables(tables.transactions(spark, sf))["metrics_area"]
-    return table.select("area_name_en", "total_transactions", "luxury_count", "offplan_count")
+    return _areas(spark, sf).select("area_name_en", "total_transactions", "luxury_count", "offplan_count")
 
 
 @register("s7_csv_lines", TX + """SELECT area_name_en || ',' || property_type || ',' || count(*) || ',' || count(DISTINCT developer) AS line FROM tx GROUP BY area_name_en, property_type""")
