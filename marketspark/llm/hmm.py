@@ -55,6 +55,7 @@ class Settings:
 
 # Two passes over all texts, a step after each 32nd part of them; model and sums have at most 2 MB.
 STEPWISE = Settings(first_steps=1, steps=1, slices=32, most_classes=1 << 15)
+TASK_TOKENS = 1 << 20  # of a task of a step, on the average at least
 FORGET = 0.6  # weight of step k's sums among those so far: (k + 1) to the power of minus this
 
 
@@ -327,10 +328,12 @@ def train_model(train: DataFrame, corpus: Corpus, settings: Settings) -> Hmm:
     rows = train.select("text").mapInArrow(_sequences(len(corpus.class_counts)), "classes binary").select("classes", dealt)
     rows.write.partitionBy("slice").parquet(path)
     sequences = spark.read.schema("classes binary, slice int").parquet(path)
+    # A task steps through its texts side by side, as many steps as the longest has words, so small parts of a slice are put together.
+    tasks = max(1, -(-corpus.n // (slices * TASK_TOKENS)))
     sums, step = None, 0
     for _ in range(settings.first_steps + settings.steps):
         for i in range(slices):
-            found = expectations(sequences.where(F.col("slice") == i), model, settings.piece)
+            found = expectations(sequences.where(F.col("slice") == i).coalesce(tasks), model, settings.piece)
             texts = found[: settings.states].sum()
             if texts == 0:
                 continue
