@@ -62,7 +62,8 @@ def joined_spread(left: DataFrame, right: DataFrame, on: Sequence[str], how: str
     if (right.agg(F.sum(size)).first()[0] or 0) <= 8 << 20:
         return joined(left, F.broadcast(right), on, how)
     salts = 32
-    left = left.withColumn("salt__", F.floor(F.rand(1) * salts).cast("int"))
+    # By a hash of the row, not at random: a task that runs again deals every row as it did before.
+    left = left.withColumn("salt__", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
     right = right.withColumn("salt__", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return joined(left, right, [*on, "salt__"], how).drop("salt__")
 
@@ -95,3 +96,23 @@ def fold(doc_id: Column, parts: int) -> Column:
 def line_hash(line: Column) -> list[Column]:
     """128 bits of a text as two longs."""
     return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(7), line).alias("h2")]
+
+
+def hash_lists(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The hashes (h1, h2; each once per key) of every key as `hashes`, a list of short lists that `is_listed` looks into.
+
+    Hashes are dealt by h1 to as many lists as there are eights of them, empty ones included, so that one look costs the
+    same for a key with ten hashes and one with a million.
+    """
+    every = rows.groupBy(*keys).agg(F.collect_list(F.struct("h1", "h2")).alias("every"))
+    every = every.withColumn("of", F.ceil(F.size("every") / 8).cast("int"))
+    # Null marks every list, so that none is missing.
+    marks = F.transform(F.sequence(F.lit(0), F.col("of") - 1), lambda i: F.struct(i.alias("place"), F.lit(None).cast("struct<h1:bigint,h2:bigint>").alias("hash")))
+    dealt = F.transform("every", lambda x: F.struct(F.pmod(x["h1"], F.col("of")).cast("int").alias("place"), x.alias("hash")))
+    lists = every.select(*keys, F.inline(F.concat(marks, dealt))).groupBy(*keys, "place").agg(F.collect_list("hash").alias("part"))
+    return lists.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "part"))), lambda x: x["part"]).alias("hashes"))
+
+
+def is_listed(hashes: Column, h1: Column, h2: Column) -> Column:
+    """Whether a hash stands in `hashes` (not null)."""
+    return F.array_contains(F.get(hashes, F.pmod(h1, F.size(hashes)).cast("int")), F.struct(h1.alias("h1"), h2.alias("h2")))

@@ -16,7 +16,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from marketspark.llm.common import SPACES, line_hash, lower_ascii, settled, shared_folder
+from marketspark.llm.common import SPACES, hash_lists, is_listed, line_hash, lower_ascii, settled, shared_folder
 
 HASH = ["h1", "h2"]
 NO_ID = -(1 << 63)  # documents without an id stand below all others
@@ -84,7 +84,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batch
     for more in candidates[1:]:
         every = every.unionAll(more)
     often = every.groupBy(*HASH).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs - 1).select(*HASH)
-    return every.join(often, HASH, "left_semi")
+    return settled(every.join(often, HASH, "left_semi"), "line-lost", compression="none")
 
 
 def dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fan_out: int = 2) -> DataFrame:
@@ -95,13 +95,19 @@ def dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int
     `min_chars` code points never count.
     """
     dropped = dropped_lines(docs, min_chars, min_docs, batches, fan_out)
-    lost = dropped.groupBy("holder").agg(F.collect_list(F.struct(*HASH)).alias("lost"))  # no more than the lines of a document
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.join(lost, F.coalesce("doc_id", F.lit(NO_ID)) == F.col("holder"), "left")
+    # Rows without an id are one holder, which may have any number of lines: each of their texts gets only its own.
+    own_text = F.when(F.col("holder") == NO_ID, F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
+    rows = rows.withColumn("holder", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("own", own_text)
+    without_id = rows.where((F.col("doc_id").isNull()) | (F.col("doc_id") == NO_ID)).select("holder", "own", F.explode(F.split("text", "\n")).alias("line"))
+    without_id = without_id.select("holder", "own", *line_hash(line_key(F.col("line")))).distinct().join(dropped.where(F.col("holder") == NO_ID), ["holder", *HASH], "left_semi")
+    found = dropped.where(F.col("holder") != NO_ID).select("holder", F.lit(0).cast("long").alias("own"), *HASH).unionByName(without_id)
+    lost = hash_lists(found, ["holder", "own"]).withColumnRenamed("hashes", "lost")  # no more than the lines of a document
+    rows = rows.join(lost, ["holder", "own"], "left")
 
     def stays(line: Column) -> Column:
         key = line_key(line)
-        return (F.char_length(key) < min_chars) | ~F.array_contains(F.col("lost"), F.struct(*line_hash(key)))
+        return (F.char_length(key) < min_chars) | ~is_listed(F.col("lost"), *line_hash(key))
 
     rows = rows.withColumn("lines", F.split("text", "\n"))
     kept = F.when(F.col("lost").isNull(), F.col("lines")).otherwise(F.filter("lines", stays))
