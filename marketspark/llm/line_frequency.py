@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from marketspark.llm.common import SPACES, joined, joined_spread, line_hash, lower_ascii, settled, words
+from marketspark.llm.common import SPACES, hash_lists, is_listed, joined_spread, line_hash, lower_ascii, settled, words
 
 SYMBOLS = "[#*$%&|<>]"
 LINE = ["host", "h1", "h2"]
@@ -21,13 +21,12 @@ LINE = ["host", "h1", "h2"]
 
 @dataclass(frozen=True)
 class Limits:
-    """A line is above the limits if it stands in more than max(most_docs, most_share * documents of its host) documents.
+    """A line is above the limits if it stands in more than most_docs documents of its host, however large the host.
 
     A document is depleted if less than least_share of the characters of its lines are left.
     """
 
-    most_docs: int = 20
-    most_share: float = 0.02
+    most_docs: int = 10
     least_share: float = 0.3
 
 
@@ -73,9 +72,8 @@ def _item(line: Column) -> Column:
 
 def frequent_lines(items: DataFrame, limits: Limits) -> DataFrame:
     """(host, h1, h2) of the lines above the limits; `items` has host, holder, h1 and h2."""
-    hosts = items.select("host", "holder").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("of"))
-    found = items.select(*LINE, "holder").distinct().groupBy(*LINE).agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > limits.most_docs)
-    return joined(found, hosts, ["host"]).where(F.col("docs") > F.col("of") * limits.most_share).select(*LINE)
+    found = items.select(*LINE, "holder").distinct().groupBy(*LINE).agg(F.count(F.lit(1)).alias("docs"))
+    return found.where(F.col("docs") > limits.most_docs).select(*LINE)
 
 
 def cleaned(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -85,7 +83,6 @@ def cleaned(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     lines stay. Kept: the base rules pass (on the text as it came) and the document is not depleted, that is, enough
     of its lines' characters stand in the cleaned text. Null and blank texts have no words and fail the base rules.
     Null sources are one host. Rows that share a doc_id count as one document of a line but are judged each by itself.
-    A document counts for its host if it has a line with a word.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("host"), F.coalesce("text", F.lit("")).alias("text"))
     rows = with_base_metrics(rows).withColumn("items", F.transform("lines", _item)).drop("lines")
@@ -93,11 +90,12 @@ def cleaned(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     rows = settled(rows.withColumn("row", F.monotonically_increasing_id()), "quality-rows", compression="zstd")
     items = rows.select("row", "host", F.col("doc_id").alias("holder"), F.inline("items"))
     above = settled(frequent_lines(items, limits), "quality-lines")
-    lost = joined_spread(items.select("row", *LINE), above, LINE).groupBy("row").agg(F.collect_set(F.struct("h1", "h2")).alias("lost"))  # no more than the lines of a document
+    found = joined_spread(items.select("row", *LINE), above, LINE).select("row", "h1", "h2").distinct()
+    lost = hash_lists(found, ["row"]).withColumnRenamed("hashes", "lost")  # no more than the lines of a document
     rows = rows.drop("host").join(lost, "row", "left").drop("row")
 
     def stays(item: Column) -> Column:
-        return ~F.array_contains(F.col("lost"), F.struct(item["h1"], item["h2"]))
+        return ~is_listed(F.col("lost"), item["h1"], item["h2"])
 
     chars = "aggregate({}, 0L, (s, x) -> s + x.chars)"
     rows = rows.withColumn("left", F.when(F.col("lost").isNull(), F.col("items")).otherwise(F.filter("items", stays)))

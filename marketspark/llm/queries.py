@@ -66,9 +66,7 @@ windows AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FR
 again AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
 covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM l GROUP BY doc_id),
-hosts AS (SELECT source, count(DISTINCT doc_id) AS n FROM l GROUP BY source),
-often AS (SELECT l.source, lower_line FROM l JOIN hosts ON l.source IS NOT DISTINCT FROM hosts.source
-  GROUP BY l.source, lower_line, hosts.n HAVING count(DISTINCT doc_id) > 20 AND count(DISTINCT doc_id) > hosts.n * 0.02),
+often AS (SELECT source, lower_line FROM l GROUP BY source, lower_line HAVING count(DISTINCT doc_id) > 10),
 chars AS (SELECT l.doc_id, sum(length(l.lower_line)) AS n, sum(CASE WHEN often.lower_line IS NULL THEN length(l.lower_line) ELSE 0 END) AS remaining
   FROM l LEFT JOIN often ON l.source IS NOT DISTINCT FROM often.source AND l.lower_line = often.lower_line GROUP BY l.doc_id),
 m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(length(array_to_string(w, '')), 0) AS BIGINT) AS word_chars,
