@@ -1,9 +1,14 @@
 """Benchmark decontamination with greedy string tiling.
 
-Texts become lower-case tokens (runs of letters and digits). A pair of document and benchmark item is a candidate if
-both hold the same seed, a run of 5 tokens. Seeds are joined by hash; before the join a filter of fixed size (two
-bits of 2^24 per seed of the benchmark) drops the seeds of documents that cannot match, so the documents' side of
-the join holds little more than true matches, whatever the size of the corpus.
+Texts become lower-case tokens (runs of letters and digits). Seeds are runs as long as the least tile (4 tokens); an
+item shorter than that has one seed, its whole run, and one tile. Seeds are joined by hash; before the join a filter
+of fixed size (two bits of 2^24 per seed of the benchmark) drops the seeds of documents that cannot match.
+
+Tiles of k tokens hold k - 3 places of seeds, and k - 3 is never less than k / 4. So a document that covers a share c
+of an item of n tokens holds the seeds of at least c * n / 4 places of it. Places are counted per pair from seeds and
+numbers alone, and only pairs that reach this get their tokens and are tiled; a phrase that many items and
+documents share costs no tiling. Places whose seed would make very many pairs are left out of the count where
+the item can spare them: each one left out lowers what the item asks for by one, so that no pair is lost.
 
 Each candidate is tiled: the longest matches between unmarked tokens are found by running Karp-Rabin hashes and
 extended, longest first they become tiles, and the search goes on with shorter windows down to 4 tokens. Tiles may
@@ -16,17 +21,18 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from marketspark.llm.common import settled
+from marketspark.llm.common import joined_spread, settled
 
-SEED_TOKENS = 5
 LEAST_TILE = 4
 COVERAGE = 0.6
+HOT_PAIRS = 100_000  # pairs of one seed from which on its places are left out of the count where they can be spared
 FILTER_BITS = 24
 BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2^64
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -46,7 +52,7 @@ def hashes(found: list[str]) -> np.ndarray:
     return np.fromiter(map(_hash, found), np.uint64, len(found))
 
 
-def seeds(found: np.ndarray, size: int = SEED_TOKENS) -> np.ndarray:
+def seeds(found: np.ndarray, size: int = LEAST_TILE) -> np.ndarray:
     """Hashes of all windows of `size` tokens."""
     n = len(found) - size + 1
     if n <= 0:
@@ -124,21 +130,46 @@ def tiles(item: np.ndarray, text: np.ndarray, least: int = LEAST_TILE) -> list[t
             size = max(least, size // 2)
 
 
-def _filtered(bits: np.ndarray | None):
-    """Documents (doc_id, text) that hold seeds passing the filter, with these seeds and the tokens."""
+def _item_seeds(least: int, coverage: float):
+    """Items (id, text) that have a token, with their tokens, seeds in order, the places asked for and the distinct seeds these take."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, texts, sizes, found, asked, distinct = [], [], [], [], [], []
+            for i, text in enumerate(batch.column(1)):
+                words = tokens(text.as_py())
+                if not words:
+                    continue
+                s = seeds(hashes(words), min(least, len(words)))
+                need = max(1, ceil(coverage * len(words) / least - 1e-9))
+                rows.append(i)
+                texts.append(" ".join(words))
+                sizes.append(min(least, len(words)))
+                found.append(s.view(np.int64))
+                asked.append(need)
+                most = np.sort(np.unique(s, return_counts=True)[1])[::-1].cumsum()
+                distinct.append(int(np.searchsorted(most, need)) + 1)
+            columns = [pa.array(texts, pa.string()), pa.array(sizes, pa.int32()), pa.array(found, pa.list_(pa.int64())), pa.array(asked, pa.int64()), pa.array(distinct, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *columns], ["item_id", "item", "size", "seeds", "asked", "distinct"])
+
+    return run
+
+
+def _seeded(bits: np.ndarray, sizes: list[int], distinct: int):
+    """Documents (id, text) that hold at least `distinct` seeds passing the filter, with these seeds and the tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, texts, found = [], [], []
             for i, text in enumerate(batch.column(1)):
                 words = tokens(text.as_py())
-                s = seeds(hashes(words))
-                if bits is not None and len(s):
-                    s = s[_has(bits, s & np.uint64((1 << FILTER_BITS) - 1)) & _has(bits, s >> np.uint64(64 - FILTER_BITS))]
-                if len(s):
+                h = hashes(words)
+                s = np.concatenate([seeds(h, size) for size in sizes])
+                s = np.unique(s[_has(bits, s & np.uint64((1 << FILTER_BITS) - 1)) & _has(bits, s >> np.uint64(64 - FILTER_BITS))])
+                if len(s) >= distinct:
                     rows.append(i)
                     texts.append(" ".join(words))
-                    found.append(np.unique(s).astype(np.int64))
+                    found.append(s.view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(texts, pa.string()), pa.array(found, pa.list_(pa.int64()))], ["id", "tokens", "seeds"]
             )
@@ -170,7 +201,7 @@ def _tiled(least: int, coverage: float):
                 if row != last:
                     last, text = row, hashes(words.as_py().split(" "))
                 item = hashes(item.split(" "))
-                found = tiles(item, text, least)
+                found = tiles(item, text, min(least, len(item)))
                 n = sum(k for _, _, k in found)
                 if n >= coverage * len(item):
                     rows.append(i)
@@ -186,23 +217,43 @@ def _tiled(least: int, coverage: float):
     return run
 
 
+def _candidates(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """Pairs (row, item_row) that share as many places of seeds as the item asks for."""
+    held = rows.select("row", F.explode("seeds").alias("seed"))
+    places = items.select("item_row", "asked", F.explode("seeds").alias("seed")).groupBy("item_row", "asked", "seed").agg(F.count(F.lit(1)).alias("places"))
+    # Pairs that a seed makes: its documents times its items.
+    pairs = held.groupBy("seed").agg(F.count(F.lit(1)).alias("docs")).join(places.groupBy("seed").agg(F.count(F.lit(1)).alias("items")), "seed")
+    hot = pairs.select("seed", (F.col("docs") * F.col("items")).alias("pairs")).where(F.col("pairs") > HOT_PAIRS)
+    marked = places.join(hot, "seed", "left")
+    # An item spares hot places, the hottest first, as long as it still asks for one.
+    before = Window.partitionBy("item_row").orderBy(F.desc("pairs"), "seed")
+    spared = F.col("pairs").isNotNull() & (F.col("spent") < F.col("asked"))
+    marked = marked.withColumn("spent", F.sum("places").over(before)).withColumn("spared", spared)
+    whole = Window.partitionBy("item_row")
+    asked = F.col("asked") - F.coalesce(F.sum(F.when(F.col("spared"), F.col("places"))).over(whole), F.lit(0))
+    marked = settled(marked.withColumn("asked", asked).where(~F.col("spared")).select("item_row", "asked", "seed", "places"), "tiling-places")
+    shared = joined_spread(held, marked, ["seed"]).groupBy("row", "item_row", "asked").agg(F.sum("places").alias("places"))
+    return shared.where(F.col("places") >= F.col("asked")).select("row", "item_row")
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, least_tile: int = LEAST_TILE) -> DataFrame:
     """Pairs of a row of documents (id, text) and a benchmark item (item_id, text) whose coverage reaches the threshold.
 
-    Items of fewer than 5 tokens have no seed and match nothing, as have null and empty texts; repeated items and
-    documents give a pair each.
+    An item of fewer tokens than the least tile matches where its whole run stands. Null and empty texts, and those
+    without a letter or digit, match nothing; repeated items and documents give a pair each.
     """
-    found = "id long, tokens string, seeds array<long>"
-    items = benchmark.select(F.col("item_id").cast("long").alias("id"), "text").mapInArrow(_filtered(None), found)
-    items = settled(items.withColumnsRenamed({"id": "item_id", "tokens": "item"}).withColumn("item_row", F.monotonically_increasing_id()), "tiling-items")
+    schema = "item_id long, item string, size int, seeds array<long>, asked long, distinct long"
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(_item_seeds(least_tile, coverage), schema)
+    items = settled(items.withColumn("item_row", F.monotonically_increasing_id()), "tiling-items")
+    facts = items.agg(F.collect_set("size").alias("sizes"), F.min("distinct").alias("distinct")).first()  # sizes: 1 to least_tile
+    sizes, distinct = sorted(facts.sizes) or [least_tile], facts.distinct or 1
     bits = docs.sparkSession.sparkContext.broadcast(_filter_bits(items))
 
     def seeded(batches):
-        return _filtered(bits.value)(batches)
+        return _seeded(bits.value, sizes, distinct)(batches)
 
-    rows = settled(docs.select("id", "text").mapInArrow(seeded, found).withColumn("row", F.monotonically_increasing_id()), "tiling-seeds")
-    pairs = rows.select("row", F.explode("seeds").alias("seed")).join(items.select("item_row", F.explode("seeds").alias("seed")), "seed").select("row", "item_row").distinct()
-    pairs = pairs.join(items.select("item_row", "item_id", "item"), "item_row").join(rows.select("row", "id", "tokens"), "row")
+    rows = settled(docs.select("id", "text").mapInArrow(seeded, "id long, tokens string, seeds array<long>").withColumn("row", F.monotonically_increasing_id()), "tiling-seeds")
+    pairs = _candidates(rows, items).join(items.select("item_row", "item_id", "item"), "item_row").join(rows.select("row", "id", "tokens"), "row")
     schema = "row long, id long, item_id long, coverage double, n_tiles int, covered_tokens int, item_tokens int"
     return pairs.select("row", "id", "item_id", "tokens", "item").mapInArrow(_tiled(least_tile, coverage), schema)
 

@@ -148,7 +148,6 @@ def test_token_file_round_trip(spark, odd, tmp_path):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(queries.TOKENIZER)
-    model.encode_special_tokens = True
     for name, docs in (("a", table(spark, SF, "documents")), ("b", odd)):
         token_file.write(docs, str(tmp_path / name), queries.TOKENIZER, block_ids=5000)
         want = Counter()
@@ -256,6 +255,29 @@ def test_line_dedup_matches_brute_force(spark, odd, batches, fan_out):
     assert line_dedup.dedup(empty(spark)).collect() == []
 
 
+def test_documents_of_very_many_lines_and_rows_without_id(spark):
+    n = 60_000
+    own = [f"line number {i} of a very long list" for i in range(n)]
+    rows = [(i, "\n".join(own)) for i in range(3)] + [(None, "\n".join(own[k : k + 3])) for k in range(0, 30, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = line_dedup.dedup(docs).select("doc_id", "n_lines", "n_dropped").collect()
+    assert Counter(map(tuple, got)) == Counter({(2, n, 0): 1, (1, n, n): 1, (0, n, n): 1, (None, 3, 3): 10})
+    every = [(i, "\n".join(own), "h") for i in range(11)]
+    got = line_frequency.cleaned(spark.createDataFrame(every, "doc_id long, text string, source string")).select("cleaned", "removed_chars", "line_chars").collect()
+    assert {(r.cleaned, r.removed_chars == r.line_chars) for r in got} == {("", True)}
+
+
+def test_lists_of_hashes_hold_just_their_hashes(spark):
+    from marketspark.llm.common import hash_lists, is_listed
+
+    random.seed(3)
+    held = {(k, random.randint(-50, 50), random.randint(0, 2)) for k in range(6) for _ in range(k * k * 8 + 1)}
+    lists = hash_lists(spark.createDataFrame(list(held), "k int, h1 long, h2 long"), ["k"])
+    asked = spark.range(6).selectExpr("CAST(id AS INT) AS k", "explode(sequence(-50L, 50L)) AS h1").selectExpr("*", "explode(array(0L, 1L, 2L)) AS h2")
+    got = asked.join(lists, "k").where(is_listed(F.col("hashes"), F.col("h1"), F.col("h2"))).select("k", "h1", "h2").collect()
+    assert {tuple(r) for r in got} == held and len(got) == len(held)
+
+
 def test_runs_are_disjoint_and_compacted(spark):
     runs = line_dedup.LineRuns(spark, fan_out=2)
     for b in range(5):
@@ -487,9 +509,9 @@ def test_leaks_are_found_and_clean_documents_left(spark, words, odd):
     docs = spark.createDataFrame(rows_of(texts), SCHEMA)
     benchmark = spark.createDataFrame([*enumerate(items), (7, None), (8, ""), (2, items[2])], "item_id long, text string")
     got = decontaminate.contaminated(docs, benchmark).collect()
-    assert sorted((r.doc_id, r.item_id) for r in got) == [(0, 0), (1, 0), (3, 2), (3, 2)]
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(0, 0), (1, 0), (3, 2), (3, 2), (5, 3)]
     clean = decontaminate.clean_documents(docs, benchmark)
-    assert clean.columns == docs.columns and sorted(r.doc_id for r in clean.collect()) == [2, 4, 5]
+    assert clean.columns == docs.columns and sorted(r.doc_id for r in clean.collect()) == [2, 4]
     assert decontaminate.clean_documents(odd, benchmark).count() == odd.count()
     assert decontaminate.contaminated(empty(spark), benchmark).collect() == decontaminate.contaminated(docs, benchmark.limit(0)).collect() == []
 
@@ -502,12 +524,50 @@ def test_seed_join_loses_no_pair(spark):
     for d in docs.collect():
         found = decontaminate.tokens(d.text)
         for item_id, item in items:
-            n = sum(k for *_, k in decontaminate.tiles(decontaminate.hashes(item), decontaminate.hashes(found)))
+            n = sum(k for *_, k in decontaminate.tiles(decontaminate.hashes(item), decontaminate.hashes(found), min(4, len(item))))
             if n >= 0.6 * len(item):
                 want[(d.doc_id, item_id)] = round(n / len(item), 9)
     assert got == want and want
 
 
+def test_candidates_lose_no_pair_with_hot_seeds_and_short_items(spark, words, monkeypatch):
+    random.seed(12)
+    monkeypatch.setattr(decontaminate, "HOT_PAIRS", 20)
+    few = words[:30]
+    phrase = "which of the following statements is".split()
+    pick = lambda n, source=few: [random.choice(source) for _ in range(n)]
+    items = [pick(n) for n in (1, 2, 3, 4, 4, 5, 6, 8, 9, 15, 20, 40)] + [[*phrase, *pick(n, words)] for n in (2, 4, 9, 14, 20, 40, 14, 20)] + [pick(1) * 12]
+    texts = []
+    for item in items * 2:
+        cuts = [item[i : i + 4] for i in range(0, len(item), 4)]  # tiles of four tokens in another order
+        random.shuffle(cuts)
+        texts.append(pick(5) + item + pick(3))
+        texts.append([x for c in cuts for x in (*c, random.choice(words))])
+        texts.append(phrase + pick(20))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.covered_tokens for r in decontaminate.contaminated(docs, benchmark).collect()}
+    code, want = decontaminate.hashes, {}
+    for d, t in enumerate(texts):
+        for i, item in enumerate(items):
+            n = sum(k for *_, k in decontaminate.tiles(code(item), code(t), min(4, len(item))))
+            if n >= 0.6 * len(item):
+                want[(d, i)] = n
+    assert got == want and len(want) > 60
+
+
+def test_shared_phrases_are_not_tiled(spark, words, monkeypatch):
+    random.seed(13)
+    phrase = "which of the following statements is"
+    rows = [(i, f"{phrase} " + " ".join(random.choice(words) for _ in range(30))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    items = spark.createDataFrame([(i, f"{phrase} " + " ".join(random.choice(words) for _ in range(30))) for i in range(300)], "item_id long, text string")
+    seen = []
+    candidates = decontaminate._candidates
+    monkeypatch.setattr(decontaminate, "_candidates", lambda *a: seen.append(candidates(*a)) or seen[0])
+    assert decontaminate.matches(docs, items).count() == 0 and seen[0].count() < 100
+
+
 # ---------------------------------------------------------------- preferences
 
 
