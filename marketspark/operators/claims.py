@@ -125,6 +125,9 @@ def content_issues(docs: DataFrame, phrases: Sequence[str] = SPECULATIVE_PHRASES
     )
 
 
+NAMES_BYTES = 8 << 20  # names up to this size are broadcast
+
+
 def words(text: Column | str) -> Column:
     """Lower-case words; the marks of names such as '_' and '#' belong to a word."""
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_#]+"), lambda w: w != "")
@@ -134,23 +137,26 @@ def mentions(docs: DataFrame, names: DataFrame, name: str, id_column: str = "doc
     """Known names in each text, with how often: word runs of the text joined to the names by equality.
 
     Runs have the lengths that the names have, so a name of any number of words is found; names are compared word by word.
+    A list of names of up to NAMES_BYTES meets the runs where the text is read, and only mentions are shuffled. A longer
+    list is joined by a shuffle, of runs that are counted per text before.
     """
     keyed = names.select(F.col(name), words(name).alias("__w")).select(F.col(name), F.array_join("__w", " ").alias("gram"), F.size("__w").alias("__n"))
     keyed = keyed.where("gram <> ''").distinct()
-    lengths = sorted(r["__n"] for r in keyed.select("__n").distinct().collect())  # a few small numbers
+    bytes_of = F.sum(F.octet_length("gram") + F.octet_length(F.col(name).cast("string")) + 32)
+    lengths = {r["__n"]: r["bytes"] for r in keyed.groupBy("__n").agg(bytes_of.alias("bytes")).collect()}  # a few small numbers
 
     def runs(n: int) -> Column:
         starts = F.when(F.size("__w") >= n, F.sequence(F.lit(1), F.size("__w") - n + 1))
         return F.transform(F.coalesce(starts, F.array().cast("array<int>")), lambda i: F.array_join(F.slice("__w", i, n), " "))
 
-    # Counted per document before the join, so that a frequent word moves once per document.
-    grams = (
-        docs.select(id_column, words(text).alias("__w"))
-        .select(id_column, F.explode(F.concat(F.array().cast("array<string>"), *[runs(n) for n in lengths])).alias("gram"))
-        .groupBy(id_column, "gram")
-        .agg(F.count(F.lit(1)).alias("mentions"))
+    grams = docs.select(id_column, words(text).alias("__w")).select(
+        id_column, F.explode(F.concat(F.array().cast("array<string>"), *[runs(n) for n in sorted(lengths)])).alias("gram")
     )
-    return grams.join(keyed, "gram").select(id_column, name, "mentions")
+    keyed, times = keyed.select(name, "gram"), F.count(F.lit(1)).alias("mentions")
+    if sum(lengths.values()) <= NAMES_BYTES:
+        return grams.join(F.broadcast(keyed), "gram").groupBy(id_column, name).agg(times)
+    # Counted per document before the join, so that a frequent word moves once per document.
+    return grams.groupBy(id_column, "gram").agg(times).join(keyed, "gram").select(id_column, name, "mentions")
 
 
 def stale_year(text: Column | str, reference_year: int) -> Column:

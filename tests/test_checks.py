@@ -97,6 +97,18 @@ def test_phrases_mentions_and_years(spark):
     assert docs.select(claims.stale_year("text", 2012)).where("doc_id = 'b'").first()[0] is None
 
 
+def test_mentions_meet_the_names_before_the_shuffle(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 7, f"palm jumeirah {i} marina palm {i % 3} creek harbour") for i in range(60)] + [(8, None), (9, "")], "doc_id int, text string")
+    names = spark.createDataFrame([("Palm",), ("Palm Jumeirah",), ("PALM",), ("Creek Harbour",), ("None",), (None,)], "name string")
+    near = claims.mentions(docs, names, "name")
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Exchange hashpartitioning(doc_id") < plan.index("BroadcastHashJoin") < plan.index("Generate explode")
+    monkeypatch.setattr(claims, "NAMES_BYTES", 0)
+    far = claims.mentions(docs, names, "name")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(near) == rows(far) and len(rows(near)) == 28 and claims.mentions(docs, names.limit(0), "name").count() == 0
+
+
 def test_expected_ctr_and_scores(spark):
     places = [(0, 0.5), (1, 1.0), (2, 4.9), (3, 10.0), (4, 11.0), (5, 35.0)]
     df = spark.createDataFrame([(i, p, 0.0, 500) for i, p in places], "i int, position double, ctr double, impressions int").orderBy("i")
