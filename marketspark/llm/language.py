@@ -1,8 +1,9 @@
 """Language identification with string kernels.
 
 The kernel of two texts is the blended-spectrum presence kernel: the number of distinct letter n-grams (n = 1 to 3)
-that both have, divided by the root of the product of their own numbers. Texts are lower-cased, everything but
-letters is a gap, and letters outside the alphabet of the landmarks are one symbol. Landmarks are a bounded number
+that both have, divided by the root of the product of their own numbers. Texts are lower-cased, and everything but
+letters and the marks that combine with them is a gap. Letters of all scripts stand for themselves: an n-gram is the
+code points of its letters in one number, so there is no alphabet to fit. Landmarks are a bounded number
 of training texts per language; with them the Nyström features of a text x are k(x, landmarks) * K^(-1/2), and one
 kernel ridge regression per language (against the rest) is solved in that space from sums that partitions add up.
 As presence kernels are inner products, landmarks and solution fold into one matrix, and a batch of whole texts is
@@ -15,22 +16,23 @@ from the landmarks, each held against the others.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from unicodedata import category
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from marketspark.llm.common import fold, joined_spread, settled
 
 NONE = "und"
-GAP, OTHER = 0, 1
+GAP = 1  # no letter, and not 0: so an n-gram is at least 2**(21 * (n - 1)), and those of two lengths are never one number
+BITS = 21
 BATCH = 256
+CELLS = 1 << 24  # of the presence matrix of a batch
 
 
 @dataclass(frozen=True)
@@ -39,58 +41,52 @@ class Settings:
 
     landmarks: int = 48
     training: int = 1500
-    alphabet: int = 94
     ridge: float = 1e-3
 
 
-@lru_cache(maxsize=2)
-def _symbols(alphabet: str) -> np.ndarray:
-    """Symbol of every code point."""
-    place = {c: i + 2 for i, c in enumerate(alphabet)}
-    return np.array([place.get(chr(i).lower(), OTHER) if chr(i).isalpha() else GAP for i in range(0x110000)], np.uint8)
+@lru_cache(maxsize=1)
+def _symbols() -> tuple[np.ndarray, np.ndarray]:
+    """Symbol of every code point, and which are letters."""
+    letters = np.array([chr(i).isalpha() for i in range(0x110000)])
+    symbols = np.full(0x110000, GAP, np.int64)
+    for i in np.flatnonzero(letters):
+        low = chr(i).lower()
+        symbols[i] = ord(low) if len(low) == 1 else i
+    marks = [i for i in np.flatnonzero(~letters) if category(chr(i))[0] == "M"]
+    symbols[marks] = marks
+    return symbols, letters
 
 
-def _all_grams(text: str | None, alphabet: str) -> np.ndarray | None:
-    """Codes of the n-grams of a whole text, as often as they stand there; None for a text without a letter."""
+def counted_grams(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
+    """Distinct n-grams of a whole text in order, and how often each stands there; None for a text without a letter."""
     points = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)
-    found = _symbols(alphabet)[points].astype(np.int32)
-    if not found.any():
+    symbols, letters = _symbols()
+    if not letters[points].any():
         return None
-    found = np.concatenate([[GAP], found, [GAP]]).astype(np.int32)
+    found = np.concatenate([[GAP], symbols[points], [GAP]])
     found = found[np.concatenate([[True], (found[1:] != GAP) | (found[:-1] != GAP)])]  # one gap between words
-    size = len(alphabet) + 2
-    two = found[:-1] * size + found[1:]
-    return np.concatenate([found, size + two, size + size**2 + two[:-1] * size + found[2:]])
+    two = found[:-1] << BITS | found[1:]
+    return np.unique(np.concatenate([found, two, two[:-1] << BITS | found[2:]]), return_counts=True)
 
 
-def _distinct(codes: np.ndarray, alphabet: str) -> np.ndarray:
-    size = len(alphabet) + 2
-    seen = _scratch(size + size**2 + size**3)
-    seen[codes] = True
-    distinct = np.flatnonzero(seen)
-    seen[codes] = False
-    return distinct
-
-
-def grams(text: str | None, alphabet: str) -> np.ndarray | None:
-    """Codes of the distinct n-grams of a whole text; None for a text without a letter."""
-    codes = _all_grams(text, alphabet)
-    return None if codes is None else _distinct(codes, alphabet)
-
-
-@lru_cache(maxsize=2)
-def _scratch(n: int) -> np.ndarray:
-    return np.zeros(n, bool)
+def grams(text: str | None) -> np.ndarray | None:
+    """The distinct n-grams of a whole text in order; None for a text without a letter."""
+    found = counted_grams(text)
+    return None if found is None else found[0]
 
 
 @dataclass
 class Model:
     languages: list[str]
-    alphabet: str
-    place: np.ndarray  # of each code, its row in `weights`, or -1
-    weights: np.ndarray
+    vocabulary: np.ndarray  # n-grams of the landmarks in order
+    weights: np.ndarray  # a row for each of them
     unknown: float = 1.0  # largest share of n-grams unknown to the landmarks in a long text like them
 
+    @property
+    def batch(self) -> int:
+        """Texts whose presence matrix stays within its bound."""
+        return max(1, min(BATCH, CELLS // len(self.vocabulary)))
+
     def _held(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Scores of a batch, which texts have a letter, and which are like the landmarks.
 
@@ -100,14 +96,14 @@ class Model:
         presence = np.zeros((len(texts), len(self.weights)), np.float32)
         norms, letters, like = np.ones(len(texts)), np.zeros(len(texts), bool), np.zeros(len(texts), bool)
         for i, text in enumerate(texts):
-            every = _all_grams(text, self.alphabet)
-            if every is not None:
-                codes = _distinct(every, self.alphabet)
-                known = self.place[codes]
-                known = known[known >= 0]
-                presence[i, known] = 1
+            found = counted_grams(text)
+            if found is not None:
+                codes, times = found
+                at = np.minimum(np.searchsorted(self.vocabulary, codes), len(self.vocabulary) - 1)
+                known = self.vocabulary[at] == codes
+                presence[i, at[known]] = 1
                 norms[i], letters[i] = len(codes) ** 0.5, True
-                share = min(len(known) / len(codes), np.count_nonzero(self.place[every] >= 0) / len(every))
+                share = min(known.mean(), times[known].sum() / times.sum())
                 like[i] = share >= 1 - self.unknown - len(codes) ** -0.5  # the share of a short text varies by as much
         return presence @ self.weights / norms[:, None], letters, like
 
@@ -118,8 +114,8 @@ class Model:
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language and score of each text, and whether it is like the landmarks."""
         names, scores, like = [], [], []
-        for at in range(0, len(texts), BATCH):
-            values, letters, alike = self._held(texts[at : at + BATCH])
+        for at in range(0, len(texts), self.batch):
+            values, letters, alike = self._held(texts[at : at + self.batch])
             best = values.argmax(axis=1)
             names += [self.languages[b] if ok else NONE for b, ok in zip(best, letters)]
             scores.append(np.where(letters, np.clip((values.max(axis=1) + 1) / 2, 0, 1), 0.0))
@@ -127,16 +123,16 @@ class Model:
         return (names, np.concatenate(scores), np.concatenate(like)) if scores else (names, np.empty(0), np.empty(0, bool))
 
 
-def _usual_unknown(found: list[tuple[str, np.ndarray]], place: np.ndarray, n: int) -> float:
+def _usual_unknown(places: list[np.ndarray], n: int) -> float:
     """The share of unknown n-grams that a text like the landmarks may have.
 
     Six times the share that all but a twentieth of the landmarks stay below, each held against the others, and at
     least 0.2. Few landmarks know little, so that then hardly any text is unlike them.
     """
     holders = np.zeros(n, np.int32)
-    for _, codes in found:
-        holders[place[codes]] += 1
-    return max(0.2, 6 * float(np.quantile([np.mean(holders[place[codes]] < 2) for _, codes in found], 0.95)))
+    for at in places:
+        holders[at] += 1
+    return max(0.2, 6 * float(np.quantile([np.mean(holders[at] < 2) for at in places], 0.95)))
 
 
 def _lowest(rows: DataFrame, counts: DataFrame, n: int) -> DataFrame:
@@ -150,18 +146,11 @@ def _lowest(rows: DataFrame, counts: DataFrame, n: int) -> DataFrame:
     return joined_spread(rows, cut, ["lang"]).where("hash <= cut").select("lang", "text")
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _letters(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: sorted({c.lower() for c in set(t) if c.isalpha() and len(c.lower()) == 1}))
-
-
-def _codes(alphabet: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [grams(t, alphabet) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[] if g is None else g.tolist() for g in found], pa.list_(pa.int32()))], ["lang", "codes"])
-
-    return run
+def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [grams(t) for t in batch.column(1).to_pylist()]
+        codes = pa.array([b"" if g is None else g.tobytes() for g in found], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), codes], ["lang", "codes"])
 
 
 def _sums(model: Model, languages: list[str]):
@@ -172,9 +161,9 @@ def _sums(model: Model, languages: list[str]):
         inner, outer, n = np.zeros((m, m)), np.zeros((m, len(languages))), 0
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(names), BATCH):
-                k, letters = model.products(texts.slice(at, BATCH).to_pylist())
-                y = np.where(np.array(names[at : at + BATCH])[:, None] == np.array(languages), 1.0, -1.0)
+            for at in range(0, len(names), model.batch):
+                k, letters = model.products(texts.slice(at, model.batch).to_pylist())
+                y = np.where(np.array(names[at : at + model.batch])[:, None] == np.array(languages), 1.0, -1.0)
                 inner, outer, n = inner + k[letters].T @ k[letters], outer + k[letters].T @ y[letters], n + int(letters.sum())
         yield pa.RecordBatch.from_arrays([pa.array([inner.tobytes()]), pa.array([outer.tobytes()]), pa.array([n])], ["inner", "outer", "n"])
 
@@ -189,23 +178,18 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model | None:
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang"), "text", F.xxhash64("doc_id").alias("hash"))
     counts = settled(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")), "language-counts")
     marks = _lowest(rows, counts, settings.landmarks)
-    letters = Counter()
-    for c, n in marks.select(F.explode(_letters("text")).alias("c")).groupBy("c").count().collect():
-        letters[c] = n
-    alphabet = "".join(sorted(sorted(letters, key=lambda c: (-letters[c], c))[: settings.alphabet]))
-    found = [(r.lang, np.array(r.codes)) for r in marks.mapInArrow(_codes(alphabet), "lang string, codes array<int>").collect() if r.codes]
+    marked = marks.mapInArrow(_codes, "lang string, codes binary").collect()
+    found = [(r.lang, np.frombuffer(r.codes, np.int64)) for r in marked if r.codes]
     if not found:
         return None
     found.sort(key=lambda x: (x[0], x[1].tolist()))
     languages = sorted({x[0] for x in found})
     vocabulary = np.unique(np.concatenate([codes for _, codes in found]))
-    size = len(alphabet) + 2
-    place = np.full(size + size**2 + size**3, -1, np.int32)
-    place[vocabulary] = np.arange(len(vocabulary))
+    places = [np.searchsorted(vocabulary, codes) for _, codes in found]
     landmarks = np.zeros((len(vocabulary), len(found)), np.float32)
-    for j, (_, codes) in enumerate(found):
-        landmarks[place[codes], j] = len(codes) ** -0.5
-    kernels = docs.sparkSession.sparkContext.broadcast(Model(languages, alphabet, place, landmarks))
+    for j, at in enumerate(places):
+        landmarks[at, j] = len(at) ** -0.5
+    kernels = docs.sparkSession.sparkContext.broadcast(Model(languages, vocabulary, landmarks))
 
     def sums(batches):
         return _sums(kernels.value, languages)(batches)
@@ -219,7 +203,7 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model | None:
     good = values > 1e-6 * values[-1]
     root = vectors[:, good] / np.sqrt(values[good])  # K^(-1/2), Nyström features are k @ root
     solved = np.linalg.solve(root.T @ inner @ root + settings.ridge * n * np.eye(root.shape[1]), root.T @ outer)
-    return Model(languages, alphabet, place, (landmarks @ (root @ solved)).astype(np.float32), _usual_unknown(found, place, len(vocabulary)))
+    return Model(languages, vocabulary, (landmarks @ (root @ solved)).astype(np.float32), _usual_unknown(places, len(vocabulary)))
 
 
 def predicted(docs: DataFrame, model: Model | None, text: Column) -> Column:

@@ -340,18 +340,85 @@ def test_language_of_held_out_documents(spark, odd):
     assert kept.columns == odd.columns and {0, 1, 2, 10}.isdisjoint({r.doc_id for r in kept.collect()})
 
 
-def test_presence_kernel_folds_into_one_product(spark):
-    docs = table(spark, SF, "documents")
-    settings = language.Settings(landmarks=5, training=20)
+def plain_grams(text):
+    """Distinct letter n-grams of a text: each word between gaps, all gaps alike, as strings."""
+    run = re.sub(r"[\W\d_]+", " ", f" {(text or '').lower()} ")
+    return {run[i : i + n] for n in (1, 2, 3) for i in range(len(run) - n + 1)} if run.strip() else set()
+
+
+def plain_kernel(a, b):
+    return len(a & b) / math.sqrt(len(a) * len(b))
+
+
+def test_presence_kernel_ridge_against_kernels_and_a_plain_solution(spark):
+    docs = table(spark, SF, "documents").where("text rlike '\\\\p{L}'")
+    settings = language.Settings(landmarks=6, training=40)
     model = language.fit(docs, settings)
-    text = docs.first().text
-    assert set(language.grams("Aab, a", "ab").tolist()) == set(language.grams("  aab\n\na!", "ab").tolist())
-    assert language.grams("123 !", "ab") is None
-    one, _ = model.products([text])
-    many, _ = model.products([text, "", "x", text])
+    rows = [(r.lang, r.text, r.hash) for r in docs.select("lang", "text", F.xxhash64("doc_id").alias("hash")).where("lang is not null").collect()]
+    count = Counter(r[0] for r in rows)
+
+    def lowest(n):
+        return [r for r in rows if count[r[0]] <= n or r[2] <= int(n / count[r[0]] * 2.0**64 - 2.0**63)]
+
+    marks, train = [[(r[0], plain_grams(r[1])) for r in lowest(n)] for n in (settings.landmarks, settings.training)]
+    names = sorted({m[0] for m in marks})
+    inner = np.array([[plain_kernel(a, b) for _, b in marks] for _, a in marks])
+    values, vectors = np.linalg.eigh(inner)
+    good = values > 1e-6 * values[-1]
+    root = vectors[:, good] / np.sqrt(values[good])
+    x = np.array([[plain_kernel(t, m) for _, m in marks] for _, t in train]) @ root
+    y = np.array([[1.0 if lang == n else -1.0 for n in names] for lang, _ in train])
+    w = np.linalg.solve(x.T @ x + settings.ridge * len(train) * np.eye(x.shape[1]), x.T @ y)
+    texts = [r[1] for r in rows[:60]] + ["Ab c", "αβγ"]
+    want = np.array([[plain_kernel(plain_grams(t), m) for _, m in marks] for t in texts]) @ root @ w
+    got, letters = model.products(texts)
+    assert model.languages == names and letters.all() and np.abs(got - want).max() < 2e-3
+    one, _ = model.products(texts[:1])
+    many, _ = model.products([texts[0], "", "x", texts[0]])
     assert np.allclose(one[0], many[0]) and np.allclose(many[0], many[3])
 
 
+def test_grams_tell_all_letters_apart():
+    assert set(language.grams("Aab, a").tolist()) == set(language.grams("  aab\n\na!").tolist())
+    assert language.grams("123 !") is None and language.grams("") is None and language.grams(None) is None and language.grams("\u0301 1") is None
+    for text in ("Aab, a", "Straße über İzmir", "".join(map(chr, range(0x4E00, 0x4E00 + 500))), "한국어 텍스트", "𐐀𐐁 a"):
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+        run = re.sub(r"[\W\d_]+", " ", f" {low} ")
+        want = Counter(run[i : i + n] for n in (1, 2, 3) for i in range(len(run) - n + 1))
+        codes, times = language.counted_grams(text)
+        assert sorted(want.values()) == sorted(times.tolist()) and len(want) == len(codes) and (np.diff(codes) > 0).all()
+    chinese, korean = ("".join(chr(first + i) for i in range(500)) for first in (0x4E00, 0xAC00))
+    assert len(np.intersect1d(language.grams(chinese), language.grams(korean))) == 1  # the gap
+
+
+PLANTED = {
+    "el": "όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα είναι προικισμένοι με λογική και συνείδηση",
+    "ru": "все люди рождаются свободными и равными в своем достоинстве и правах они наделены разумом и совестью и должны поступать",
+    "uk": "всі люди народжуються вільними і рівними у своїй гідності та правах вони наділені розумом і совістю і повинні діяти",
+    "hi": "सभी मनुष्यों को गौरव और अधिकारों के मामले में जन्मजात स्वतन्त्रता और समानता प्राप्त है उन्हें बुद्धि और अन्तरात्मा",
+    "th": "มนุษย์ ทั้งหลาย เกิดมา มีอิสระ และ เสมอภาค กัน ใน ศักดิ์ศรี และ สิทธิ ต่าง มี เหตุผล และ มโนธรรม",
+    "zh": "人人 生而 自由 在 尊严 和 权利 上 一律 平等 他们 赋有 理性 和 良心 并应 以 兄弟 关系 的 精神 相对待",
+    "ja": "すべての 人間は 生まれながらに して 自由で あり かつ 尊厳と 権利とに ついて 平等で ある 人間は 理性と 良心とを",
+    "ko": "모든 인간은 태어날 때부터 자유로우며 그 존엄과 권리에 있어 동등하다 인간은 천부적으로 이성과 양심을 부여받았으며",
+    "ar": "يولد جميع الناس أحرارا متساوين في الكرامة والحقوق وقد وهبوا عقلا وضميرا وعليهم أن يعامل بعضهم بعضا بروح الإخاء",
+    "pl": "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem i sumieniem",
+    "vi": "tất cả mọi người sinh ra đều được tự do và bình đẳng về nhân phẩm và quyền mọi con người đều được tạo hóa ban cho",
+    "fi": "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto",
+}
+
+
+def test_languages_of_any_script(spark):
+    """Twelve languages in nine scripts, short texts of a language's words, next to the given documents."""
+    rng = random.Random(4)
+    rows = [(10_000 + i, " ".join(rng.choices(text.split(), k=rng.randint(8, 40))), lang) for i, (lang, text) in enumerate((x for _ in range(60) for x in PLANTED.items()))]
+    docs = table(spark, SF, "documents").select("doc_id", "text", "lang").unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    got = {r.doc_id: r for r in language.identify(docs, language.Settings(landmarks=12, training=40)).collect()}
+    held = [(d, lang) for d, _, lang in rows if got[d].held_out]
+    assert len(held) > 150 and sum(got[d].lang_pred == lang for d, lang in held) / len(held) > 0.97
+    kept = {r.doc_id for r in language.keep_known(docs, settings=language.Settings(landmarks=12, training=40)).select("doc_id").collect()}
+    assert sum(d in kept for d, _, _ in rows) / len(rows) > 0.97
+
+
 def test_quality_of_held_out_documents(spark, odd):
     sf = "/root/testdata/sf0.01"
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
@@ -368,6 +435,26 @@ def test_quality_of_held_out_documents(spark, odd):
     assert quality.classify(empty(spark), marks).collect() == []
 
 
+def test_quality_scores_against_plain_densities(spark):
+    """Means, covariances and normal densities written out over the labelled rows, without sums or Cholesky factors."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    truth = {r.doc_id: r.quality for r in labels.collect()}
+    x = {r.doc_id: np.array(quality.statistics(r.text)) for r in docs.collect()}
+    own = {k: np.array([x[d] for d in sorted(x) if truth.get(d) == k and zlib.crc32(str(d).encode()) % 5]) for k in (0, 1)}
+    n, d = sum(map(len, own.values())), len(quality.FEATURES)
+    pooled = sum(np.cov(v.T, bias=True) * len(v) for v in own.values()) / n
+    density = {}
+    for k, v in own.items():
+        shrunk = 0.9 * np.cov(v.T, bias=True) + 0.1 * pooled
+        shrunk = 0.98 * shrunk + 0.02 * np.trace(shrunk) / d * np.eye(d)
+        away = np.array(list(x.values())) - v.mean(axis=0)
+        density[k] = np.log(len(v) / n) - 0.5 * np.einsum("ij,jk,ik->i", away, np.linalg.inv(shrunk), away) - 0.5 * np.linalg.slogdet(shrunk)[1]
+    want = dict(zip(x, 1 / (1 + np.exp(np.clip(density[0] - density[1], -700, 700)))))
+    got = {r.doc_id: r.score for r in quality.classify(docs, labels).collect()}
+    assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in got) < 1e-6
+
+
 # ---------------------------------------------------------------- language model
 
 
