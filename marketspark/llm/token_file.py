@@ -147,11 +147,14 @@ def _byte_characters() -> dict[int, str]:
 _BYTE_CHARACTERS = _byte_characters()
 
 
+LONGEST = 40  # characters of a piece that is remembered beyond the texts at hand
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library, of a byte-level BPE vocabulary.
 
     Merges never cross the pieces of a text, so each distinct piece is encoded once and remembered (a bounded number of
-    them). Texts beyond Latin-1 are encoded in one go by the library, whose classes of letters decide there, and so are
+    them, of at most LONGEST characters, so that their bytes are bounded too). Texts beyond Latin-1 are encoded in one go by the library, whose classes of letters decide there, and so are
     texts that hold the name of an added token, which the library gives that token's id.
     """
 
@@ -185,8 +188,9 @@ class Encoder:
         known.update(zip(new, map(self._piece, new)))
         whole = iter(self._plain([t for t, ok in zip(texts, latin) if not ok]))
         coded = [next(whole) if found is None else b"".join(map(known.__getitem__, found)) for found in pieces]
-        if len(known) > self.remembered:  # the first ones seen are the frequent ones; those of these texts go
-            for piece in new:
+        full = len(known) > self.remembered  # the first ones seen are the frequent ones; those of these texts go
+        for piece in new:
+            if full or len(piece) > LONGEST:
                 del known[piece]
         return [np.frombuffer(x + self.end, self.width) for x in coded]
 

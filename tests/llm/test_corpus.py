@@ -168,6 +168,19 @@ def test_token_file_round_trip(spark, odd, tmp_path):
     assert token_file.round_trip(empty(spark), queries.TOKENIZER).collect() == []
 
 
+def test_remembered_pieces_have_bounded_bytes():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, plain = token_file.Encoder(path, 0), Tokenizer.from_file(path)
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choices("abcÀé07-#", k=rng.choice([3, 8, 40, 41, 3000]))) for _ in range(30)) for _ in range(20)] + ["a" * 41, "a" * 40, "", " " * 500]
+    for _ in range(2):
+        assert [x.tolist() for x in encoder.encode(texts)] == [plain.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+        assert encoder.known and max(map(len, encoder.known)) == token_file.LONGEST
+
+
 def test_names_of_added_tokens_are_those_tokens(spark, tmp_path):
     from tokenizers import Tokenizer
 
