@@ -193,7 +193,7 @@ def _stacked(frames):
 
 
 def _report(spark, sf):
-    return bundles.market_report(tables.transactions(spark, sf), intel.Q2, intel.SEASON_START, tables.SAMPLE)
+    return bundles.market_report(tables.transactions(spark, sf), intel.Q2, intel.SEASON_START, tables.SAMPLE, max_discount=-1.0)
 
 
 @register("i1_market_report", TX + f"""SELECT 'record_transactions' AS section, CAST(transaction_id AS VARCHAR) AS name, actual_worth AS value FROM ({_inner("a1_record_sales")})
@@ -271,6 +271,7 @@ UNION ALL SELECT * FROM (SELECT 'volume_drops', area_name_en, change_pct FROM ar
 UNION ALL SELECT * FROM (SELECT 'developer_surges', developer, change_pct FROM developers WHERE historical_monthly_avg >= 10 AND current_count > 0 AND change_pct >= 50 ORDER BY change_pct DESC, developer LIMIT 10)
 UNION ALL SELECT 'emerging_hotspots', area_name_en, momentum_score FROM ({_inner("o1_emerging_hotspots").replace("tx_growth >= 5", "tx_growth >= 15")})
 UNION ALL SELECT 'price_arbitrage', property_type || '/' || rooms_en, arbitrage_pct FROM ({_inner("o3_price_arbitrage").replace(intel.IN_YEAR, intel.IN_Q2).replace("HAVING count(*) >= 6", "HAVING count(*) >= 10")})
+UNION ALL SELECT 'undervalued_areas', area_name_en, price_discount FROM ({_inner("o2_undervalued_areas").replace(intel.IN_YEAR, intel.IN_Q2)})
 UNION ALL SELECT 'developer_momentum', developer, share_change FROM ({_inner("o4_developer_momentum").replace("current_tx >= 8", "current_tx >= 20")})""", r6="value")
 def i1b(spark, sf):
     report = _report(spark, sf)
@@ -282,6 +283,7 @@ def i1b(spark, sf):
             "developer_surges": (report["developer_surges"], "developer", "change_pct"),
             "emerging_hotspots": (report["emerging_hotspots"], "area_name_en", "momentum_score"),
             "price_arbitrage": (arbitrage, "kind", "arbitrage_pct"),
+            "undervalued_areas": (report["undervalued_areas"], "area_name_en", "price_discount"),
             "developer_momentum": (report["developer_momentum"], "developer", "share_change"),
         }
     )
@@ -301,6 +303,7 @@ def i1c(spark, sf):
 hs AS (SELECT area_name_en, count(*) FILTER ({intel.IN_JUNE}) AS c, count(*) FILTER (instance_date >= DATE '2000-05-02' AND instance_date < DATE '2000-06-01') AS p,
   avg(actual_worth) FILTER ({intel.IN_JUNE}) AS cp, avg(actual_worth) FILTER (instance_date >= DATE '2000-05-02' AND instance_date < DATE '2000-06-01') AS pp FROM tx GROUP BY 1)
 SELECT * FROM (SELECT 'volume_spikes' AS section, area_name_en AS name, change_pct AS value FROM s WHERE historical_monthly_avg > 5 AND current_count > 0 AND change_pct >= 30 ORDER BY change_pct DESC, area_name_en LIMIT 10)
+UNION ALL SELECT * FROM (SELECT 'new_developers', developer, count(*) FILTER ({intel.IN_JUNE}) AS n FROM tx WHERE developer <> '' GROUP BY 2 HAVING min(instance_date) >= DATE '1999-06-01' AND n >= 5 ORDER BY n DESC, developer LIMIT 10)
 UNION ALL SELECT * FROM (SELECT 'developer_surges', developer, (c - h) / h * 100 AS x FROM gd WHERE h >= 10 AND x >= 50 ORDER BY x DESC, developer LIMIT 10)
 UNION ALL SELECT * FROM (SELECT 'emerging_hotspots', area_name_en, (c - p)::DOUBLE / p * 100 * 0.6 + (cp - pp) / pp * 100 * 0.4 AS x FROM hs WHERE c >= 20 AND p >= 10 AND (c - p)::DOUBLE / p * 100 >= 15 AND cp > pp ORDER BY x DESC, area_name_en LIMIT 10)""",
           r6="value")
@@ -308,6 +311,7 @@ def i5(spark, sf):
     bundle = bundles.offplan_intelligence(tables.transactions(spark, sf, "area", "developer"), intel.JUNE)
     return _stacked(
         {
+            "new_developers": (bundle["new_developers"], "developer", "transaction_count"),
             "volume_spikes": (bundle["volume_spikes"], "area_name_en", "change_pct"),
             "developer_surges": (bundle["developer_surges"], "developer", "change_pct"),
             "emerging_hotspots": (bundle["emerging_hotspots"], "area_name_en", "momentum_score"),
@@ -316,30 +320,60 @@ def i5(spark, sf):
 
 
 @register("i6_supply_forecast", f"""SELECT 'delivery_waves' AS section, delivery_quarter AS name, wave_intensity_pct AS value FROM ({_inner("u8_delivery_waves")})
-UNION ALL SELECT * FROM (SELECT 'saturation', area, supply_demand_ratio FROM ({_inner("u5_supply_saturation")}) ORDER BY 3 DESC, 2 LIMIT 10)""", r6="value")
+UNION ALL SELECT * FROM (SELECT 'saturation', area, supply_demand_ratio FROM ({_inner("u5_supply_saturation")}) ORDER BY 3 DESC, 2 LIMIT 10)
+UNION ALL SELECT 'hotspots', area, momentum_score FROM ({_inner("u6_supply_hotspots")})
+UNION ALL SELECT 'alerts', area || ' ' || alert_type || ' ' || severity || ': ' || message, NULL FROM ({_inner("u11_market_alerts")})""", r6="value")
 def i6(spark, sf):
-    bundle = bundles.supply_forecast(sup.areas(spark, sf), sup.quarters(spark, sf), "Q1 2001")
+    limits = {"min_projects": 1, "min_tx_growth": -5.0, "max_ratio": 60.0, "min_developers": 1}
+    bundle = bundles.supply_forecast(sup.areas(spark, sf), sup.quarters(spark, sf), "Q1 2001", hotspot_limits=limits, decline=-2.0)
+    said = F.concat("area", F.lit(" "), "alert_type", F.lit(" "), "severity", F.lit(": "), "message")
+    alerts = bundle["alerts"].select(said.alias("alert"), F.lit(None).cast("double").alias("value"))
     return _stacked(
         {
             "delivery_waves": (bundle["delivery_waves"], "delivery_quarter", "wave_intensity_pct"),
             "saturation": (bundle["saturation"], "area", "supply_demand_ratio"),
+            "hotspots": (bundle["hotspots"], "area", "momentum_score"),
+            "alerts": (alerts, "alert", "value"),
         }
     )
 
 
-@register("i8_serialised_findings", f"""SELECT 'record_transactions' AS finding, '{{"area_name_en":"' || area_name_en || '","property_type":"' || property_type || '","rank":' || rank || '}}' AS value FROM ({_inner("a1_record_sales")})
-UNION ALL SELECT 'market_cycle', '{{"phase":"' || phase || '"}}' FROM ({_inner("t5_market_cycle")})""")
-def i8(spark, sf):
-    from marketspark.operators import anomalies, trends
+# The registered query behind each finding, and which of its serialised fields are broken numbers or texts; the others are counts.
+FINDINGS = {
+    "record_transactions": "a1_record_sales",
+    "volume_spikes": "a3_volume_spikes",
+    "new_developers": "a5_new_developers",
+    "emerging_hotspots": "o1_emerging_hotspots",
+    "undervalued_areas": "o2_undervalued_areas",
+    "developer_momentum": "o4_developer_momentum",
+    "price_momentum": "t1_price_momentum_mid_month",
+    "market_cycle": "t5_market_cycle",
+}
+BROKEN = {
+    "actual_worth", "change_pct", "total_value", "tx_growth", "price_growth", "price_discount", "avg_price_sqm", "share_change", "momentum_3m", "momentum_6m",
+    "momentum_12m", "phase_confidence",
+}
+TEXTS = {"area_name_en", "property_type", "developer", "trend", "trajectory", "phase"}
+NUDGE = 0.025e-4  # as in register: halves of the last place go one way on both sides
+
 
-    df = tables.transactions(spark, sf, "area", "type")
+def _field(name):
+    if name in TEXTS:
+        return f"""'"{name}":"' || {name} || '"'"""
+    value = f"CAST(round(CAST({name} AS DOUBLE) + {NUDGE!r}, 4) AS DECIMAL(24, 4))" if name in BROKEN else name
+    return f"""'"{name}":' || {value}"""
+
+
+@register("i8_serialised_findings", " UNION ALL ".join(
+    f"SELECT '{finding}' AS finding, '{{' || concat_ws(',', {', '.join(map(_field, bundles.SERIALISED[finding]))}) || '}}' AS value FROM ({_inner(query)})"
+    for finding, query in FINDINGS.items()))
+def i8(spark, sf):
+    found = {finding: REGISTERED[query].build(spark, sf) for finding, query in FINDINGS.items()}
     bundle = {
-        "record_transactions": anomalies.record_sales(df, intel.Q2),
-        "market_cycle": trends.market_cycle(df, intel.AREA, intel.AS_OF),
+        finding: df.withColumns({c: F.round(F.col(c).cast("double") + F.lit(NUDGE), 4) for c in df.columns if c in BROKEN})
+        for finding, df in found.items()
     }
-    out = bundles.serialised(bundle)
-    # Prices and confidences are left out here: the two engines print doubles differently.
-    return out.withColumn("value", F.regexp_replace("value", r',?"(actual_worth|phase_confidence)":[^,}]+', ""))
+    return bundles.serialised(bundle)
 
 
 @register("d12_chart_data", TX + """SELECT 'monthly_trend' AS section, CAST(transaction_month AS VARCHAR) AS name, count(*)::DOUBLE AS value FROM tx WHERE transaction_year = 2000 GROUP BY 2

@@ -97,7 +97,8 @@ def trend_parts(sales: DataFrame, keys: Sequence[str], as_of: date, season_start
 
 
 def market_report(
-    sales: DataFrame, period: Period, season_start: date, config: MarketConfig = MarketConfig(), lookback_months: int = 12
+    sales: DataFrame, period: Period, season_start: date, config: MarketConfig = MarketConfig(), lookback_months: int = 12,
+    max_discount: float = -10.0,
 ) -> dict[str, DataFrame]:
     """Anomalies, opportunities, market-wide trends and concentration for a market report."""
     last_day = date.fromordinal(period.end.toordinal() - 1)
@@ -109,7 +110,7 @@ def market_report(
         "new_developers": anomalies.new_developers(sales, period, lookback_months),
         "developer_surges": anomalies.developer_surges(sales, period, lookback_months),
         "emerging_hotspots": opportunities.emerging_hotspots(sales, period),
-        "undervalued_areas": opportunities.undervalued_areas(sales, period),
+        "undervalued_areas": opportunities.undervalued_areas(sales, period, max_discount=max_discount),
         "price_arbitrage": opportunities.price_arbitrage(sales, period),
         "developer_momentum": opportunities.developer_momentum(sales, period),
         **trend_parts(sales, [], last_day, season_start),
@@ -160,13 +161,15 @@ def offplan_intelligence(sales: DataFrame, period: Period, lookback_months: int
     }
 
 
-def supply_forecast(areas: DataFrame, quarters: DataFrame, start_quarter: str, ahead: int = 8) -> dict[str, DataFrame]:
+def supply_forecast(
+    areas: DataFrame, quarters: DataFrame, start_quarter: str, ahead: int = 8, hotspot_limits: dict[str, float] | None = None, **alert_limits: float
+) -> dict[str, DataFrame]:
     saturation = supply.supply_saturation(areas).orderBy(F.desc("supply_demand_ratio"), "area").limit(10)
     return {
         "delivery_waves": supply.delivery_waves(quarters, start_quarter, ahead),
         "saturation": saturation,
-        "hotspots": supply.supply_hotspots(areas),
-        "alerts": supply.market_alerts(areas, supply.market_opportunities(areas)),
+        "hotspots": supply.supply_hotspots(areas, **(hotspot_limits or {})),
+        "alerts": supply.market_alerts(areas, supply.market_opportunities(areas), **alert_limits),
     }
 
 
@@ -183,12 +186,18 @@ SERIALISED = {
 }
 
 
-def serialised(bundle: dict[str, DataFrame]) -> DataFrame:
-    """Findings of a bundle as one table of (finding, JSON object)."""
+def serialised(bundle: dict[str, DataFrame], places: int = 4) -> DataFrame:
+    """Findings of a bundle as one table of (finding, JSON object).
+
+    Broken numbers have a fixed number of places, so that every engine and every size of a number gives the same text; a
+    field without a value is left out.
+    """
     out = None
     for name, fields in SERIALISED.items():
         if name in bundle:
-            part = bundle[name].select(F.lit(name).alias("finding"), F.to_json(F.struct(*fields)).alias("value"))
+            kinds = dict(bundle[name].dtypes)
+            shown = [F.col(f).cast(f"decimal({20 + places},{places})").alias(f) if kinds[f] in ("double", "float") else F.col(f) for f in fields]
+            part = bundle[name].select(F.lit(name).alias("finding"), F.to_json(F.struct(*shown)).alias("value"))
             out = part if out is None else out.unionByName(part)
     if out is None:
         raise ValueError("the bundle holds no finding with a serialised form")
