@@ -7,14 +7,14 @@ import uuid
 from pyspark.sql import functions as F
 
 from marketspark.catalog.metric_queries import M3_CTE
-from marketspark.catalog.registry import TX, register
+from marketspark.catalog.registry import REGISTERED, TX, register
 from marketspark.catalog.service_queries import SIZES
 from marketspark.functions.lineage import shared, shared_folder
-from marketspark.operators import distinct_cells, metrics
+from marketspark.operators import distinct_cells, lookups, metrics
 from marketspark.plans import refresh
 from marketspark.sources import driver_tables as tables
 from marketspark.sources.readers import read_table
-from marketspark.sources.sinks import commit_table
+from marketspark.sources.sinks import bucketed_table, commit_table
 
 _NAMES = "count(DISTINCT project_name_en) AS unique_projects, count(DISTINCT developer) AS unique_developers"
 _ALL = f"count(DISTINCT area_name_en) AS unique_areas, {_NAMES}"
@@ -63,6 +63,17 @@ def s6_committed(spark, sf):
     return read_table(spark, path).select("developer", "total_transactions", "luxury_units")
 
 
+@register("l2_area_overview_of_bucketed_tables", f"""SELECT area_name_en, total_transactions, avg_price, ready_count, avg_offplan_price, avg_ready_price, offplan_percentage
+FROM ({REGISTERED["m1_area_metrics"].sql}) LEFT JOIN (SELECT area_name_en, ready_count, avg_offplan_price, avg_ready_price, offplan_percentage FROM ({REGISTERED["m14_offplan_comparison"].sql})) USING (area_name_en)""")
+def l2_bucketed(spark, sf):
+    """Two metric tables stored in buckets of the area and joined bucket by bucket."""
+    stored = []
+    for query in ("m1_area_metrics", "m14_offplan_comparison"):
+        name = f"{query}_{uuid.uuid4().hex}"
+        stored.append(bucketed_table(REGISTERED[query].build(spark, sf), name, f"{shared_folder(spark)}/{name}", ["area_name_en"], 8))
+    return lookups.area_overview(*stored).select("area_name_en", "total_transactions", "avg_price", "ready_count", "avg_offplan_price", "avg_ready_price", "offplan_percentage")
+
+
 _SIZES = SIZES | {
     "metrics_monthly_trend_ids": "SELECT 1 FROM tx JOIN m3 USING (area_name_en, transaction_year, transaction_month, property_type)",
     "metrics_price_changes": "SELECT 1 FROM m3",

@@ -59,6 +59,13 @@ def area_detail(
     }
 
 
+def area_overview(area_metrics: DataFrame, comparison: DataFrame, area: str | None = None) -> DataFrame:
+    """Metrics next to the off-plan comparison, of one area or of every area. Tables bucketed by area need no exchange."""
+    kept = _matching(area_metrics, area_name_en=area)
+    shown = _matching(comparison, area_name_en=area).select("area_name_en", "ready_count", "avg_offplan_price", "avg_ready_price", "offplan_percentage")
+    return kept.join(shown, "area_name_en", "left")
+
+
 def price_changes(changes: DataFrame, area: str, property_type: str | None = None) -> DataFrame:
     kept = _matching(changes, area_name_en=area, property_type=property_type)
     return kept.orderBy("transaction_year", "transaction_month", "property_type")

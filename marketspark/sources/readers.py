@@ -166,6 +166,14 @@ def column_catalog(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "column_name string, data_type string")
 
 
+def open_bucketed(spark: SparkSession, name: str, path: str, keys: list[str], buckets: int = 64) -> DataFrame:
+    """Names the files of sinks.bucketed_table, with the keys and buckets they were written by, in the catalog of this session."""
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema.fields)
+    by = ", ".join(f"`{k}`" for k in keys)
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
 # The pointer of a table written by sinks.commit_table: its rows name the snapshots in the order of their numbers.
 POINTER = "_pointer"
 POINTER_SCHEMA = "number long, snapshot string, committed_at timestamp"

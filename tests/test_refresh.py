@@ -7,11 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketspark.functions.lineage import shared
-from marketspark.operators import distinct_cells
+from marketspark.operators import distinct_cells, lookups
 from marketspark.plans import refresh
 from marketspark.sources import driver_tables as tables
-from marketspark.sources.readers import latest_snapshot, read_table
-from marketspark.sources.sinks import commit_table
+from marketspark.sources.readers import latest_snapshot, open_bucketed, read_table
+from marketspark.sources.sinks import bucketed_table, commit_table
 
 SF = "/root/testdata/sf0.001"
 
@@ -94,3 +94,27 @@ def test_refreshed_tables_equal_a_full_rebuild(spark, tmp_path):
     for name in refresh.TABLES:
         kept, anew = (refresh.stored(spark, str(tmp_path / f), name) for f in ("kept", "anew"))
         assert plain(kept) == plain(anew.select(*kept.columns)), name
+
+
+def test_bucketed_tables_prune_and_join_without_an_exchange(spark, tmp_path):
+    areas = spark.range(200).select(F.concat(F.lit("a"), "id").alias("area_name_en"), F.col("id").alias("total_transactions"))
+    shares = areas.select("area_name_en", *[F.col("total_transactions").cast("double").alias(c) for c in ("ready_count", "avg_offplan_price", "avg_ready_price", "offplan_percentage")])
+    left = bucketed_table(areas, "buckets_left", str(tmp_path / "left"), ["area_name_en"], 8)
+    bucketed_table(shares, "buckets_right", str(tmp_path / "right"), ["area_name_en"], 8)
+    assert len(list((tmp_path / "left").glob("part-*"))) == 8
+    right = open_bucketed(spark, "buckets_right_again", str(tmp_path / "right"), ["area_name_en"], 8)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        every = lookups.area_overview(left, right)
+        plan = every._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and plan.count("SelectedBucketsCount: 8 out of 8") == 2
+        assert sorted(map(tuple, every.collect())) == sorted((f"a{i}", i, *[float(i)] * 4) for i in range(200))
+        one = lookups.area_overview(left, right, "a7")
+        plan = one._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and plan.count("SelectedBucketsCount: 1 out of 8") == 2
+        assert [tuple(r) for r in one.collect()] == [("a7", 7, 7.0, 7.0, 7.0, 7.0)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        for name in ("buckets_left", "buckets_right", "buckets_right_again"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
