@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from marketspark.catalog.registry import TX, register
 from marketspark.config import SEGMENTS
+from marketspark.functions.lineage import shared
 from marketspark.operators import metrics
 from marketspark.sources import driver_tables as tables
 
@@ -66,7 +67,7 @@ M3_CTE = TX + f", m3 AS ({M3})"
 
 
 def trends(spark, sf):
-    return metrics.monthly_trends(tables.transactions(spark, sf, "area", "type"))
+    return metrics.monthly_trends(shared(tables.transactions(spark, sf, "area", "type")))
 
 
 @register("m3_monthly_trends", TX + M3, r6="avg_price median_price avg_price_sqm")
@@ -116,7 +117,7 @@ SELECT area_name_en, transaction_year, transaction_month, count(*) AS luxury_tx_
   array_to_string(list_sort(list(DISTINCT project_name_en)), ', ') AS luxury_projects, array_to_string(list_sort(list(DISTINCT developer)), ', ') AS luxury_developers
 FROM tx WHERE is_luxury GROUP BY 1, 2, 3 HAVING count(*) >= 3""", r6="avg_luxury_price median_luxury_price")
 def m7(spark, sf):
-    return metrics.luxury_monthly(tables.transactions(spark, sf, "area", "developer", "project"))
+    return metrics.luxury_monthly(shared(tables.transactions(spark, sf, "area", "developer", "project")))
 
 
 @register("m8_luxury_yearly", TX + """
@@ -141,7 +142,7 @@ SELECT project_name_en, developer, area_name_en, transaction_type, count(*) AS t
   count(*) FILTER (is_luxury) AS luxury_units, array_to_string(list_sort(list(DISTINCT rooms_en)), ', ') AS unit_types_available
 FROM tx WHERE project_name_en IS NOT NULL AND project_name_en <> '' GROUP BY 1, 2, 3, 4 HAVING count(*) >= 5""", r6="avg_price median_price avg_price_sqm")
 def m10(spark, sf):
-    return _texts(metrics.project_metrics(tables.transactions(spark, sf)), "first_sale_date", "last_sale_date")
+    return _texts(metrics.project_metrics(shared(tables.transactions(spark, sf))), "first_sale_date", "last_sale_date")
 
 
 @register("m11_project_metrics_public", PUB + """
@@ -161,7 +162,7 @@ FROM tx WHERE developer <> '' GROUP BY 1 HAVING count(*) >= 10"""
 
 @register("m12_developer_metrics", TX + M12, r6="avg_price median_price", r2="total_sales_volume")
 def m12(spark, sf):
-    df = metrics.developer_metrics(tables.transactions(spark, sf, "area", "developer", "project"))
+    df = metrics.developer_metrics(shared(tables.transactions(spark, sf, "area", "developer", "project")))
     return _texts(df, "first_sale_date", "last_sale_date")
 
 
@@ -169,7 +170,7 @@ def m12(spark, sf):
 SELECT area_name_en, transaction_year, transaction_month, transaction_type, count(*) AS tx_count, avg(actual_worth) AS avg_price,
   {MEDIAN} AS median_price, avg(meter_sale_price) AS avg_price_sqm FROM tx GROUP BY 1, 2, 3, 4 HAVING count(*) >= 3""", r6="avg_price median_price avg_price_sqm")
 def m13(spark, sf):
-    return metrics.offplan_monthly(tables.transactions(spark, sf, "area"))
+    return metrics.offplan_monthly(shared(tables.transactions(spark, sf, "area")))
 
 
 @register("m14_offplan_comparison", TX + """

@@ -57,7 +57,7 @@ def p9_distinct(spark, sf):
 def s6_committed(spark, sf):
     """The developer table, written for the sales up to 1999, replaced by that of all sales, and read through the pointer."""
     path = f"{shared_folder(spark)}/developers-{uuid.uuid4().hex}"
-    sales = tables.transactions(spark, sf, "area", "developer", "project")
+    sales = shared(tables.transactions(spark, sf, "area", "developer", "project"))
     commit_table(metrics.developer_metrics(sales.where("transaction_year <= 1999")), path)
     commit_table(metrics.developer_metrics(sales), path)
     return read_table(spark, path).select("developer", "total_transactions", "luxury_units")

@@ -87,7 +87,7 @@ def monthly_trends(df: DataFrame, min_rows: int = 3, with_median: bool = True, k
     aggregates = [rows().alias("tx_count"), average(PRICE, "avg_price"), average(SQM, "avg_price_sqm")]
     if with_median:
         aggregates.append(count_where(offplan()).alias("offplan_count"))
-    table = summarise(df, list(keys), aggregates, [MEDIAN] if with_median else [])
+    table = summarise(df, list(keys), aggregates, [MEDIAN] if with_median else [], by_size=True)
     return table.where(F.col("tx_count") >= min_rows)
 
 
@@ -148,6 +148,7 @@ def luxury_monthly(df: DataFrame, min_rows: int = 3) -> DataFrame:
             F.max(PRICE).alias("max_luxury_price"),
         ],
         [Quantile("median_luxury_price", PRICE, 0.5)],
+        by_size=True,
     ).where(F.col("luxury_tx_count") >= min_rows)
     table = join_on(table, name_list(sales, keys, "project_name_en", "luxury_projects"), keys)
     return join_on(table, name_list(sales, keys, "developer", "luxury_developers"), keys)
@@ -199,6 +200,7 @@ def project_metrics(df: DataFrame, min_rows: int = 5) -> DataFrame:
             count_where(F.col("is_luxury")).alias("luxury_units"),
         ],
         [MEDIAN],
+        by_size=True,
     ).where(F.col("tx_count") >= min_rows)
     return join_on(table, name_list(sales, keys, "rooms_en", "unit_types_available"), keys)
 
@@ -238,6 +240,7 @@ def developer_metrics(df: DataFrame, min_rows: int = 10) -> DataFrame:
         ],
         [MEDIAN],
         distinct={"areas_active": "area_name_en", "projects_count": "project_name_en"},
+        by_size=True,
     ).where(F.col("total_transactions") >= min_rows)
 
 
@@ -247,6 +250,7 @@ def offplan_monthly(df: DataFrame, min_rows: int = 3) -> DataFrame:
         ["area_name_en", "transaction_year", "transaction_month", "transaction_type"],
         [rows().alias("tx_count"), average(PRICE, "avg_price"), average(SQM, "avg_price_sqm")],
         [MEDIAN],
+        by_size=True,
     ).where(F.col("tx_count") >= min_rows)
 
 

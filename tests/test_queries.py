@@ -56,3 +56,10 @@ def test_queries_match_their_sql(spark, name):
 
 def test_entry_gives_rows(spark):
     assert entry.entry(spark).count() > 0
+
+
+# Queries of several summaries that read the sample tables once and go on from the stored sales.
+@pytest.mark.parametrize("name", ["m10_project_metrics"])
+def test_summaries_of_a_query_share_its_sales(spark, name):
+    files = entry.queries()[name](spark, SF).inputFiles()
+    assert files and not [f for f in files if "lineitem" in f]
