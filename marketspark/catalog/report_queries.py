@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from marketspark.catalog.metric_queries import M12, MEDIAN
 from marketspark.catalog.registry import TX, register
 from marketspark.functions.periods import Period
+from marketspark.functions.lineage import shared
 from marketspark.operators import charts, metrics, reports
 from marketspark.sources import driver_tables as tables
 
@@ -373,7 +374,7 @@ def c12e(spark, sf):
 SELECT d.*, coalesce(project_rank, 0) AS project_rank, project_name_en, area_name_en, transaction_type, coalesce(project_tx_count, 0) AS project_tx_count, project_avg_price
 FROM d LEFT JOIN pr USING (developer)""", r6="project_avg_price", r4="avg_price median_price", r2="total_sales_volume")
 def c13(spark, sf):
-    df = tables.transactions(spark, sf)
+    df = shared(tables.transactions(spark, sf))
     out = reports.developer_reports(metrics.developer_metrics(df), metrics.project_metrics(df))
     return out.fillna(0, subset=["project_rank", "project_tx_count"]).withColumns(
         {c: F.col(c).cast("string") for c in ("first_sale_date", "last_sale_date")}
