@@ -37,13 +37,13 @@ DETAIL = TX + f""", m3 AS ({M3}), mo AS (SELECT *, row_number() OVER (PARTITION
 
 @register("l2_area_months", DETAIL + "SELECT * FROM mo", r6="avg_price median_price avg_price_sqm")
 def l2a(spark, sf):
-    return lookups.area_months(metrics.monthly_trends(tables.transactions(spark, sf, "area", "type")))
+    return lookups.area_months(metrics.monthly_trends(shared(tables.transactions(spark, sf, "area", "type"))))
 
 
 @register("l2_area_projects", TX + """SELECT area_name_en, project_name_en, developer, transaction_type, count(*) AS tx_count, avg(actual_worth) AS avg_price,
   row_number() OVER (PARTITION BY area_name_en ORDER BY count(*) DESC, project_name_en, developer, transaction_type) AS row FROM tx GROUP BY 1, 2, 3, 4 HAVING count(*) >= 5 QUALIFY row <= 10""", r6="avg_price")
 def l2b(spark, sf):
-    out = lookups.area_projects(metrics.project_metrics(tables.transactions(spark, sf)))
+    out = lookups.area_projects(metrics.project_metrics(shared(tables.transactions(spark, sf))))
     return out.select("area_name_en", "project_name_en", "developer", "transaction_type", "tx_count", "avg_price", "row")
 
 
@@ -79,14 +79,14 @@ def l2c(spark, sf):
 @register("l3_area_price_changes", TX + f", m3 AS ({M3}), w AS ({W1}) SELECT transaction_year, transaction_month, avg_price, pct_change_mom FROM w WHERE area_name_en = 'NATION_7' AND property_type = 'LARGE'",
           r6="avg_price pct_change_mom")
 def l3(spark, sf):
-    changes = metrics.month_over_month(metrics.monthly_trends(tables.transactions(spark, sf, "area", "type")))
+    changes = metrics.month_over_month(metrics.monthly_trends(shared(tables.transactions(spark, sf, "area", "type"))))
     return lookups.price_changes(changes, "NATION_7", "LARGE").select("transaction_year", "transaction_month", "avg_price", "pct_change_mom")
 
 
 @register("l4_luxury_months", TX + f"""SELECT area_name_en, transaction_year, transaction_month, count(*) AS luxury_tx_count, avg(actual_worth) AS avg_luxury_price, {MEDIAN} AS median_luxury_price
 FROM tx WHERE is_luxury AND transaction_year = 2000 GROUP BY 1, 2, 3 HAVING count(*) >= 4""", r6="avg_luxury_price median_luxury_price")
 def l4(spark, sf):
-    out = lookups.luxury_months(metrics.luxury_monthly(tables.transactions(spark, sf, "area", "developer", "project")), 2000, 4)
+    out = lookups.luxury_months(metrics.luxury_monthly(shared(tables.transactions(spark, sf, "area", "developer", "project"))), 2000, 4)
     return out.select("area_name_en", "transaction_year", "transaction_month", "luxury_tx_count", "avg_luxury_price", "median_luxury_price")
 
 
@@ -99,14 +99,14 @@ def l4b(spark, sf):
 
 @register("l5_developers", TX + """SELECT developer, count(*) AS total_transactions, sum(actual_worth) AS total_sales_volume FROM tx GROUP BY 1 HAVING count(*) >= 300 ORDER BY 2 DESC, 1 LIMIT 50""", r2="total_sales_volume")
 def l5(spark, sf):
-    out = lookups.developers(metrics.developer_metrics(tables.transactions(spark, sf, "area", "developer", "project")), 300)
+    out = lookups.developers(metrics.developer_metrics(shared(tables.transactions(spark, sf, "area", "developer", "project"))), 300)
     return out.select("developer", "total_transactions", "total_sales_volume")
 
 
 @register("l5_developer_detail", TX + """SELECT project_name_en, area_name_en, transaction_type, count(*) AS tx_count, avg(actual_worth) AS avg_price FROM tx WHERE developer = 'Supplier#000000007'
 GROUP BY 1, 2, 3 HAVING count(*) >= 5 ORDER BY 4 DESC, 1, 2, 3 LIMIT 20""", r6="avg_price")
 def l5b(spark, sf):
-    df = tables.transactions(spark, sf)
+    df = shared(tables.transactions(spark, sf))
     detail = lookups.developer_detail("Supplier#000000007", metrics.developer_metrics(df), metrics.project_metrics(df))
     return detail["projects"].select("project_name_en", "area_name_en", "transaction_type", "tx_count", "avg_price")
 
@@ -114,7 +114,7 @@ def l5b(spark, sf):
 @register("l5_developer_metrics", TX + """SELECT developer, count(*) AS total_transactions, sum(actual_worth) AS total_sales_volume FROM tx WHERE developer = 'Supplier#000000007'
 GROUP BY 1""", r2="total_sales_volume")
 def l5c(spark, sf):
-    df = tables.transactions(spark, sf)
+    df = shared(tables.transactions(spark, sf))
     detail = lookups.developer_detail("Supplier#000000007", metrics.developer_metrics(df), metrics.project_metrics(df))
     return detail["metrics"].select("developer", "total_transactions", "total_sales_volume")
 
@@ -122,7 +122,7 @@ def l5c(spark, sf):
 @register("l6_projects", TX + """SELECT project_name_en, developer, area_name_en, transaction_type, count(*) AS tx_count FROM tx WHERE transaction_type = 'Off-Plan' GROUP BY 1, 2, 3, 4 HAVING count(*) >= 6
 ORDER BY 5 DESC, 1, 2, 3, 4 LIMIT 50""")
 def l6(spark, sf):
-    out = lookups.projects(metrics.project_metrics(tables.transactions(spark, sf)), sale_type="Off-Plan", min_transactions=6)
+    out = lookups.projects(metrics.project_metrics(shared(tables.transactions(spark, sf))), sale_type="Off-Plan", min_transactions=6)
     return out.select("project_name_en", "developer", "area_name_en", "transaction_type", "tx_count")
 
 
