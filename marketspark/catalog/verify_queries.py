@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from marketspark.catalog.intelligence_queries import YEARS, _study_sql
 from marketspark.catalog.metric_queries import M1, M3
 from marketspark.catalog.registry import TX, register
+from marketspark.functions.lineage import shared
 from marketspark.operators import claims, metrics, opportunities, verify
 from marketspark.sources import driver_tables as tables
 
@@ -230,8 +231,8 @@ named AS (SELECT *, coalesce(nullif(trim(regexp_extract(text, '(?m)^area:[ \t]*(
   nullif(trim(regexp_extract(text, '(?m)^#[ \t]+([^\r\n]+?)[ \t]+Real Estate', 1)), '')) AS subject FROM docs)"""
 
 
-def _reports(spark, sf):
-    docs = tables.area_reports(spark, sf)
+def _reports(spark, sf, sales=None):
+    docs = tables.area_reports(spark, sf, sales)
     return docs.withColumn("subject", claims.subject("text", "file_name"))
 
 
@@ -342,8 +343,7 @@ facts AS (SELECT area_name_en, total_transactions, avg_price, median_price, min_
   (SELECT arg_max(ch, (y, m, t)) FROM mom WHERE ch IS NOT NULL AND mom.area_name_en = m1.area_name_en) AS recent_mom_change FROM m1)"""
 
 
-def _facts(spark, sf):
-    df = tables.transactions(spark, sf)
+def _facts(df):
     return claims.area_facts(
         metrics.area_metrics(df), df, metrics.property_type_metrics(df), metrics.month_over_month(metrics.monthly_trends(df))
     )
@@ -353,7 +353,7 @@ def _facts(spark, sf):
           r6="avg_price_sqm avg_size_sqm recent_mom_change", r4="avg_price median_price")
 def x8(spark, sf):
     shown = F.transform("room_prices", lambda p: p.cast("decimal(12,1)").cast("string"))
-    return _facts(spark, sf).withColumn("room_prices", F.array_join(shown, ", "))
+    return _facts(shared(tables.transactions(spark, sf))).withColumn("room_prices", F.array_join(shown, ", "))
 
 
 def _near(values, fact, tolerance):
@@ -375,7 +375,8 @@ cz AS (SELECT * FROM cx WHERE status IS NOT NULL)"""
 
 
 def _checked(spark, sf):
-    return claims.checked_claims(_reports(spark, sf), _facts(spark, sf))
+    sales = shared(tables.transactions(spark, sf))
+    return claims.checked_claims(_reports(spark, sf, sales), _facts(sales))
 
 
 @register("x3_checked_claims", CHECKED + "SELECT * FROM cz")
@@ -396,4 +397,5 @@ def _present(fact):
 @register("x9_minimum_evidence", CHECKED + f"""SELECT doc_id, subject, {_present("avg_price")} + {_present("median_price")} + {_present("avg_price_sqm")} AS facts_found,
   {_present("avg_price")} + {_present("median_price")} + {_present("avg_price_sqm")} >= 2 AS has_evidence FROM jf""")
 def x9(spark, sf):
-    return claims.minimum_evidence(_reports(spark, sf), _facts(spark, sf))
+    sales = shared(tables.transactions(spark, sf))
+    return claims.minimum_evidence(_reports(spark, sf, sales), _facts(sales))

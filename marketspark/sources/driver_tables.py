@@ -252,9 +252,10 @@ def page_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def area_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A short article per area and year as text, a third of them with a wrong average price."""
-    sales = transactions(spark, sf_dir, "area", "developer", "project")
+def area_reports(spark: SparkSession, sf_dir: str, sales: DataFrame | None = None) -> DataFrame:
+    """A short article per area and year as text, a third of them with a wrong average price. `sales`: the clean sales, where stored."""
+    if sales is None:
+        sales = transactions(spark, sf_dir, "area", "developer", "project")
     grouped = sales.groupBy("area_name_en", "transaction_year").agg(
         F.count(F.lit(1)).alias("n"),
         F.avg("actual_worth").alias("mean"),

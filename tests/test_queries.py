@@ -59,7 +59,7 @@ def test_entry_gives_rows(spark):
 
 
 # Queries of several summaries that read the sample tables once and go on from the stored sales.
-@pytest.mark.parametrize("name", ["c13_developer_reports", "l5_developer_detail", "l2_area_detail", "m10_project_metrics"])
+@pytest.mark.parametrize("name", ["c13_developer_reports", "l5_developer_detail", "l2_area_detail", "x3_document_verdicts", "m10_project_metrics"])
 def test_summaries_of_a_query_share_its_sales(spark, name):
     files = entry.queries()[name](spark, SF).inputFiles()
     assert files and not [f for f in files if "lineitem" in f]
