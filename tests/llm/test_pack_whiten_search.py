@@ -306,3 +306,41 @@ def test_stepwise_model_scores_held_out_texts_as_well_as_whole_steps(spark):
         mean[name] = sum(r.score for r in rows) / sum(r.n_tokens for r in rows)
     print(mean)
     assert mean["stepwise"] > mean["whole"] - 0.02
+
+
+# ---------------------------------------------------------------- texts encoded once
+
+
+def test_texts_are_split_into_words_once_for_training_and_scores(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"a b w{i} x{i} W{i}" if i % 7 else None) for i in range(200)], "doc_id long, text string").repartition(3)
+    settings = hmm.Settings(states=2, classes=8, slices=3, first_steps=1, steps=1, head=2)
+    # `settled` and `encoded` are all that reads texts: counts of words, then classes and rare words together.
+    taken, trained = [], hmm.fitted
+    monkeypatch.setattr(hmm, "fitted", lambda texts, *a: taken.append(texts) or trained(texts, *a))
+    rows = hmm.score(docs, settings).collect()
+    (texts,) = taken
+    kinds = {r.slice: r.n for r in texts.groupBy("slice").agg(F.count("*").alias("n")).collect()}
+    assert sum(n for s, n in kinds.items() if s >= 0) == sum(not r.held_out for r in rows) and kinds[hmm.HELD_OUT] == sum(r.held_out for r in rows)
+    tails = texts.where(F.col("slice") == hmm.TAIL)
+    pairs = tails.select(F.inline("tail")).collect()
+    with_text = [i for i in range(200) if i % 7]
+    assert sorted((bytes(p.word), p.tf) for p in pairs) == sorted([(f"w{i}".encode(), 2) for i in with_text] + [(f"x{i}".encode(), 1) for i in with_text])
+    for r in tails.collect():  # in the order of the words, so alike ones stand together in files and shuffles
+        words = [bytes(t.word) for t in r.tail]
+        assert words == sorted(words)
+
+
+def test_recursions_keep_within_doubles_where_emissions_are_tiny():
+    model = hmm.Hmm(np.array([0.5, 0.5]), np.array([[0.9, 0.1], [0.2, 0.8]]), np.array([[1e-19, 1e-25], [1e-24, 1e-19], [0.7, 0.6]]))
+    rng = np.random.default_rng(3)
+    sequences = [rng.integers(0, 2, n) for n in (400, 33, 8, 9, 1)]
+    logs = []
+    for s in sequences:
+        a = np.log(model.start) + np.log(model.emit[s[0]])
+        for c in s[1:]:
+            a = np.logaddexp.reduce(a[:, None] + np.log(model.move), axis=0) + np.log(model.emit[c])
+        logs.append(np.logaddexp.reduce(a) / np.log(10))
+    assert np.allclose(hmm.forward(model, sequences), logs)
+    for piece in (1 << 16, 7):
+        sums = hmm.expected(model, sequences, piece)
+        assert np.isclose(sums[:2].sum(), 5) and np.isclose(sums[2:6].sum(), 451 - 5) and np.allclose(sums[6:].reshape(-1, 2).sum(axis=1), np.bincount(np.concatenate(sequences), minlength=3))
