@@ -311,10 +311,9 @@ def test_stepwise_model_scores_held_out_texts_as_well_as_whole_steps(spark):
 # ---------------------------------------------------------------- texts encoded once
 
 
-def test_texts_are_split_into_words_once_for_training_and_scores(spark, monkeypatch):
+def test_classes_and_rare_words_come_from_one_stored_pass(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"a b w{i} x{i} W{i}" if i % 7 else None) for i in range(200)], "doc_id long, text string").repartition(3)
     settings = hmm.Settings(states=2, classes=8, slices=3, first_steps=1, steps=1, head=2)
-    # `settled` and `encoded` are all that reads texts: counts of words, then classes and rare words together.
     taken, trained = [], hmm.fitted
     monkeypatch.setattr(hmm, "fitted", lambda texts, *a: taken.append(texts) or trained(texts, *a))
     rows = hmm.score(docs, settings).collect()
