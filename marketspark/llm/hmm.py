@@ -59,7 +59,7 @@ class Settings:
 
 # Two passes over all texts, a step after each 32nd part of them; model and sums have at most 2 MB.
 STEPWISE = Settings(first_steps=1, steps=1, slices=32, most_classes=1 << 15)
-TASK_TOKENS = 1 << 22  # of a task of a step, on the average at least; each task shuffles its sums, up to 1 MB, in every step
+TASK_TOKENS = 1 << 22  # of a task of a step, on the average at least; each task shuffles its sums, about 1 MB, in every step
 PART_BYTES = 8 << 20  # of texts that are encoded together
 TAIL_ROWS = 1 << 16  # rare words that are stored as one row
 FORGET = 0.6  # weight of step k's sums among those so far: (k + 1) to the power of minus this

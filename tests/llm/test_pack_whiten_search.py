@@ -329,6 +329,19 @@ def test_classes_and_rare_words_come_from_one_stored_pass(spark, monkeypatch):
         assert words == sorted(words)
 
 
+def test_sums_of_several_tasks_add_up_to_those_of_one(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = [(" ".join(rng.choices("abcdefgh", k=rng.randint(0, 40))).encode(),) for _ in range(120)]
+    docs = spark.createDataFrame(texts, "text binary").repartition(6)
+    settings = hmm.Settings(states=2, classes=8, slices=2, first_steps=1, steps=1)
+    corpus = hmm.count_corpus(docs, settings)
+    stored = hmm.encoded(docs.select(F.lit(None).cast("long").alias("doc_id"), F.lit(False).alias("held_out"), "text"), corpus, settings)
+    one = hmm.fitted(stored, corpus, settings)
+    monkeypatch.setattr(hmm, "TASK_TOKENS", 200)
+    several = hmm.fitted(stored, corpus, settings)
+    assert np.allclose(one.start, several.start) and np.allclose(one.move, several.move, rtol=1e-4) and np.allclose(one.emit, several.emit, rtol=1e-4)
+
+
 def test_recursions_keep_within_doubles_where_emissions_are_tiny():
     model = hmm.Hmm(np.array([0.5, 0.5]), np.array([[0.9, 0.1], [0.2, 0.8]]), np.array([[1e-19, 1e-25], [1e-24, 1e-19], [0.7, 0.6]]))
     rng = np.random.default_rng(3)
