@@ -85,7 +85,7 @@ def many_names(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["l1_areas", "m1_area_metrics"])
+@pytest.mark.parametrize("name", ["l1_areas", "m1_area_metrics", "m7_luxury_monthly"])
 def test_lists_of_any_number_of_names_match_their_sql(spark, many_names, name):
     con = duckdb.connect()
     for t in ("nation", "supplier", "part", "lineitem"):
